@@ -6,6 +6,8 @@ All of them stay inside the JVM; a column of any length is processed whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,10 +59,64 @@ ERROR_CHARS = 500
 GENERIC_ERROR = "An internal error occurred."
 
 
+# Text every match of a pattern has to contain, in lower case for the patterns that
+# ignore case. A plain substring test is far cheaper than the pattern itself, so the patterns only
+# run on texts that can match at all.
+INJECTION_CLUES = (
+    "system>", "system]", "inst]", "previous instructions", "you are now ", "developer mode",
+    "disregard ", "instruction", "override ", "act as ",
+)
+CREDENTIAL_CLUES = {
+    "api_key": ("sk-", "sk_", "pk-", "pk_", "rk-", "rk_", "ak-", "ak_"),
+    "bearer_token": ("Bearer",),
+    "aws_key": ("AKIA",),
+    "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "generic_secret": ("password", "secret", "token", "key"),
+    "connection_string": ("://",),
+}
+INFRA_CLUES = {
+    "internal_host": ("localhost:", "127.0.0.1:", "0.0.0.0:", "10.", "172.", "192.168."),
+    "stack_trace": ("Traceback (most recent call last)",),
+    "file_path": (".py",),
+}
+IGNORES_CASE = ("generic_secret", "connection_string")
+# The one letter whose lower case is two characters long; texts with it are never ruled out.
+DOTTED_CAPITAL_I = chr(0x130)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _folded(text: Column) -> Column:
+    """Letters that are equal when case is ignored become the same letter."""
+    return F.lower(F.upper(text))
+
+
+def _any_clue(text: Column, clues: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(clue)) for clue in clues])
+
+
+def _may_inject(text: Column) -> Column:
+    return F.contains(text, F.lit(DOTTED_CAPITAL_I)) | _let(
+        _folded(text), lambda folded: _any_clue(folded, INJECTION_CLUES)
+    )
+
+
+def _may_hold(text: Column, name: str, clues: tuple[str, ...]) -> Column:
+    if name not in IGNORES_CASE:
+        return _any_clue(text, clues)
+    return F.contains(text, F.lit(DOTTED_CAPITAL_I)) | _let(
+        _folded(text), lambda folded: _any_clue(folded, clues)
+    )
+
+
 def strip_injections(text: Column) -> Column:
+    stripped = text
     for pattern in INJECTION_PATTERNS:
-        text = F.regexp_replace(text, f"(?iu){pattern}", STRIPPED)
-    return text
+        stripped = F.regexp_replace(stripped, f"(?iu){pattern}", STRIPPED)
+    return F.when(_may_inject(text), stripped).otherwise(text)
 
 
 def strip_unicode_control(text: Column) -> Column:
@@ -90,8 +146,10 @@ def sanitize_literal(text: Column) -> Column:
 def leak_findings(text: Column) -> Column:
     """array<struct<type, match>> of every credential and infrastructure match."""
 
-    def found(kind: str, name: str, pattern: str, shown: int) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    def found(kind: str, name: str, pattern: str, clues: tuple[str, ...], shown: int) -> Column:
+        hits = F.when(
+            _may_hold(text, name, clues), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        ).otherwise(F.array().cast("array<string>"))
         return F.transform(
             hits,
             lambda hit: F.struct(
@@ -100,25 +158,43 @@ def leak_findings(text: Column) -> Column:
             ),
         )
 
-    parts = [found("credential", n, p, CREDENTIAL_SHOWN) for n, p in CREDENTIAL_PATTERNS]
-    parts += [found("infra", n, p, INFRA_SHOWN) for n, p in INFRA_PATTERNS]
+    parts = [
+        found("credential", n, p, CREDENTIAL_CLUES[n], CREDENTIAL_SHOWN)
+        for n, p in CREDENTIAL_PATTERNS
+    ]
+    parts += [found("infra", n, p, INFRA_CLUES[n], INFRA_SHOWN) for n, p in INFRA_PATTERNS]
     return F.concat(*parts)
 
 
+def _replaced(
+    text: Column,
+    patterns: tuple[tuple[str, str], ...],
+    clues: dict[str, tuple[str, ...]],
+    shape: str,
+) -> Column:
+    """Patterns applied in order. All of them run as soon as one clue of any is present."""
+    out = text
+    for name, pattern in patterns:
+        out = F.regexp_replace(out, pattern, shape.format(name=name))
+    may = reduce(Column.__or__, [_may_hold(text, n, clues[n]) for n, _ in patterns])
+    return F.when(may, out).otherwise(text)
+
+
 def redact_secrets(text: Column) -> Column:
-    for name, pattern in CREDENTIAL_PATTERNS:
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{name}]")
-    return text
+    return _replaced(text, CREDENTIAL_PATTERNS, CREDENTIAL_CLUES, "[REDACTED:{name}]")
+
+
+def has_credential(text: Column) -> Column:
+    checks = [
+        _may_hold(text, name, CREDENTIAL_CLUES[name]) & F.regexp_like(text, F.lit(pattern))
+        for name, pattern in CREDENTIAL_PATTERNS
+    ]
+    return reduce(Column.__or__, checks)
 
 
 def sanitize_error(text: Column) -> Column:
-    has_secret = F.lit(False)
-    for _, pattern in CREDENTIAL_PATTERNS:
-        has_secret = has_secret | F.regexp_like(text, F.lit(pattern))
-    body = text
-    for name, pattern in INFRA_PATTERNS:
-        body = F.regexp_replace(body, pattern, f"[{name}]")
+    body = _replaced(text, INFRA_PATTERNS, INFRA_CLUES, "[{name}]")
     body = F.when(
         F.length(body) > ERROR_CHARS, F.concat(F.substring(body, 1, ERROR_CHARS), F.lit("..."))
     ).otherwise(body)
-    return F.when(has_secret, F.lit(GENERIC_ERROR)).otherwise(body)
+    return F.when(has_credential(text), F.lit(GENERIC_ERROR)).otherwise(body)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import sanitize_literal
@@ -66,9 +66,10 @@ def merge_passes(hits: DataFrame, limit: int, keys: tuple[str, ...] = ("query_id
     first = number_rows(known, [*keys, "id"], [F.asc("pass_no"), F.asc("rank")], "_n")
     first = first.where(F.col("_n") == 1).drop("_n")
     order = [F.desc_nulls_last("score"), F.asc("pass_no"), F.asc("rank")]
-    sized = number_rows(first, keys, order, "position")
-    totals = first.groupBy(*keys).agg(F.count("*").alias("total"))
-    return sized.where(F.col("position") <= limit).join(totals, keys)
+    sized = number_rows(first, keys, order, "position").withColumn(
+        "total", F.count("*").over(Window.partitionBy(*keys))
+    )
+    return sized.where(F.col("position") <= limit)
 
 
 def apply_ranking(

@@ -54,3 +54,18 @@ def top_counts(df: DataFrame, key: str, limit: int, count: str = "n") -> DataFra
         [F.desc(count), F.asc(key)],
         limit,
     )
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spreads rows over all cores when the input is too small to fill the cluster.
+
+    For work that is heavy per row. The size comes from the optimizer's estimate, so nothing runs;
+    an input with at least one scan partition per core passes through without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    scan_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if estimate >= cores * scan_bytes:
+        return df
+    return df.repartition(cores, *keys)

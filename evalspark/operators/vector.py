@@ -9,12 +9,13 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark import schemas
 from evalspark.functions.columns import embedding_text, metadata_text
-from evalspark.operators.ranking import top_k_per_key
+from evalspark.operators.ranking import spread, top_k_per_key
 from evalspark.operators.search import RESULT_COLUMNS, SearchRequest
 
 METRICS = ("COSINE", "EUCLID", "DOT")
@@ -59,36 +60,56 @@ def _similarities(block: np.ndarray, queries: np.ndarray, metric: str) -> np.nda
     return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
+def _scopes(
+    requests: list[SearchRequest], filters: tuple[str, ...]
+) -> dict[tuple[tuple[str, str], ...], list[SearchRequest]]:
+    """Requests grouped by what a point has to equal: the collection and the filters that are set."""
+    scopes: dict[tuple[tuple[str, str], ...], list[SearchRequest]] = {}
+    for request in requests:
+        wanted = [("collection", request.collection)]
+        wanted += [(f, getattr(request, f)) for f in filters if getattr(request, f) is not None]
+        scopes.setdefault(tuple(wanted), []).append(request)
+    return scopes
+
+
 def _scorer(
-    requests: list[SearchRequest], k: int, threshold: float | None, metric: str
+    requests: list[SearchRequest],
+    filters: tuple[str, ...],
+    k: int,
+    threshold: float | None,
+    metric: str,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores a partition block by block and keeps only k candidates per query in memory."""
-    by_collection: dict[str, list[SearchRequest]] = {}
-    for request in requests:
-        by_collection.setdefault(request.collection, []).append(request)
+    scopes = _scopes(requests, filters)
     queries = {
-        name: np.asarray([r.vector for r in group], dtype=np.float64)
-        for name, group in by_collection.items()
+        scope: np.asarray([r.vector for r in group], dtype=np.float64)
+        for scope, group in scopes.items()
     }
 
     def keep_best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
 
+    def rows_in(batch: pa.RecordBatch, scope: tuple[tuple[str, str], ...]) -> np.ndarray:
+        mask = np.ones(batch.num_rows, dtype=bool)
+        for name, value in scope:
+            equal = pc.fill_null(pc.equal(batch.column(name), value), False)
+            mask &= equal.to_numpy(zero_copy_only=False)
+        return np.flatnonzero(mask)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            names = np.asarray(batch.column("collection").to_pylist(), dtype=object)
             ids = batch.column("example_id").to_numpy(zero_copy_only=False)
             column = batch.column("vector")
-            for name, group in by_collection.items():
-                rows = np.flatnonzero(names == name)
-                width = queries[name].shape[1]
+            for scope, group in scopes.items():
+                rows = rows_in(batch, scope)
+                width = queries[scope].shape[1]
                 for start in range(0, len(rows), BLOCK_ROWS):
                     part = rows[start : start + BLOCK_ROWS]
                     flat = column.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False)
                     block = flat.astype(np.float64).reshape(len(part), width)
-                    scores = np.round(_similarities(block, queries[name], metric), SCORE_DIGITS)
+                    scores = np.round(_similarities(block, queries[scope], metric), SCORE_DIGITS)
                     for j, request in enumerate(group):
                         new_ids, new_scores = ids[part], scores[:, j]
                         if threshold is not None:
@@ -114,11 +135,13 @@ def nearest(
     k: int,
     threshold: float | None = None,
     metric: str = "COSINE",
+    filters: tuple[str, ...] = (),
 ) -> DataFrame:
     """(query_id, example_id, score, rank) of the k nearest points in each request's collection.
 
     Every task reads its own vectors once, multiplies them with the bounded query matrix and emits
-    at most k rows per request, so the shuffle carries candidates, never vectors.
+    at most k rows per request, so the shuffle carries candidates, never vectors. ``filters`` names
+    columns of ``vectors`` that have to equal the request's field of the same name before ranking.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -129,8 +152,8 @@ def nearest(
     collections = sorted({r.collection for r in requests})
     scored = (
         vectors.where(F.col("collection").isin(collections))
-        .select("collection", "example_id", "vector")
-        .mapInArrow(_scorer(requests, k, threshold, metric), HIT_SCHEMA)
+        .select("collection", "example_id", "vector", *filters)
+        .mapInArrow(_scorer(requests, filters, k, threshold, metric), HIT_SCHEMA)
     )
     return top_k_per_key(
         scored, ["query_id"], [F.desc("score"), F.asc("example_id")], k, spread=["example_id"]
@@ -162,11 +185,14 @@ def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:
 
 def payload_of(examples: DataFrame, datasets: DataFrame) -> DataFrame:
     """What is stored beside each vector."""
-    names = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
+    names = datasets.select(
+        F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), "task_type"
+    )
     return examples.join(names, "dataset_id", "left").select(
         "id",
         "dataset_id",
         "dataset_name",
+        "task_type",
         F.substring("question", 1, PAYLOAD_CHARS).alias("question"),
         metadata_text(examples, "subject").alias("subject"),
         metadata_text(examples, "split").alias("split"),
@@ -180,18 +206,25 @@ def semantic_search(
     limit: int = 20,
     score_threshold: float | None = None,
     subject: str | None = None,
+    filters: tuple[str, ...] = ("subject",),
 ) -> DataFrame:
-    """Nearest points with their payload. The subject filter acts before the ranking."""
+    """Nearest points with their payload. The filters act before the ranking.
+
+    ``subject`` sets one subject for all requests. Filter columns come from the vector table where
+    it stores them, else from the payload, and only when a request asks for them.
+    """
     if score_threshold is not None:
         schemas.check_unit(score_threshold, "score_threshold")
     if subject is not None:
-        # Query vectors come from the whole table, the candidates only from the subject.
-        requests = resolve_vectors(vectors, requests)
-        allowed = payload.where(F.col("subject") == subject).select(
-            F.col("id").alias("example_id")
-        )
-        vectors = vectors.join(allowed, "example_id", "left_semi")
-    return with_payload(nearest(vectors, requests, limit, score_threshold), payload)
+        requests = [replace(r, subject=subject) for r in requests]
+    requests = resolve_vectors(vectors, requests)
+    used = tuple(f for f in filters if any(getattr(r, f) is not None for r in requests))
+    missing = [f for f in used if f not in vectors.columns]
+    if missing:
+        stored = payload.select(F.col("id").alias("example_id"), *missing)
+        vectors = vectors.join(stored, "example_id", "left")
+    found = nearest(vectors, requests, limit, score_threshold, filters=used)
+    return with_payload(found, payload)
 
 
 def collections_present(vectors: DataFrame, names: list[str]) -> set[str]:
@@ -204,8 +237,8 @@ def audit(vectors: DataFrame, neighbours: int = 3) -> DataFrame:
     """Per collection: size, dimensions, a sample point, and the sample's own neighbours."""
     facts = vectors.groupBy("collection").agg(
         F.count("*").alias("points"),
-        F.min(F.size("vector")).alias("min_dims"),
-        F.max(F.size("vector")).alias("max_dims"),
+        F.min(F.size("vector")).cast("long").alias("min_dims"),
+        F.max(F.size("vector")).cast("long").alias("max_dims"),
         F.min("example_id").alias("sample_id"),
     )
     samples = facts.select("collection", "sample_id").limit(schemas.MAX_BATCH + 1).collect()
@@ -285,4 +318,4 @@ def embed(
                 yield pd.DataFrame({"example_id": part["id"].to_numpy(), "vector": vectors})
 
     texts = examples.select("id", embedding_text(F.col("question"), F.col("choices")).alias("text"))
-    return texts.mapInPandas(run, "example_id long, vector array<float>")
+    return spread(texts, "id").mapInPandas(run, "example_id long, vector array<float>")

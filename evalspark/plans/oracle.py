@@ -577,8 +577,6 @@ def _facets(where: str) -> str:
 
 SQL["facets"] = _facets("true")
 SQL["facets_query"] = _facets(_ilike("ion"))
-# The plain semantic queries take one subject for all requests, not the subject of a request.
-_PLAIN = [type(r)(r.query_id, r.query, vec_id=r.vec_id, collection=r.collection) for r in REQUESTS]
 
 
 def _semantic_page(rows: str) -> str:
@@ -590,9 +588,9 @@ def _semantic_page(rows: str) -> str:
     LEFT JOIN v_datasets d ON d.id = e.dataset_id"""
 
 
-SQL["semantic_search"] = _semantic_page(_semantic(_PLAIN, 20))
-SQL["semantic_search_threshold"] = _semantic_page(_semantic(_PLAIN, 50, threshold=0.25))
-SQL["semantic_search_filtered"] = _semantic_page(_semantic(_PLAIN, 20, subject="en"))
+SQL["semantic_search"] = _semantic_page(_semantic(REQUESTS, 20))
+SQL["semantic_search_threshold"] = _semantic_page(_semantic(REQUESTS, 50, threshold=0.25))
+SQL["semantic_search_filtered"] = _semantic_page(_semantic(REQUESTS, 20, subject="en"))
 SQL["rrf_fusion"] = """
     WITH items AS (
       SELECT l_partkey AS id, p_brand AS query_id, count(*) AS picks, sum(l_quantity) AS quantity

@@ -21,7 +21,7 @@ from evalspark.operators import (
     search,
     vector,
 )
-from evalspark.operators.ranking import top_k_per_key
+from evalspark.operators.ranking import spread, top_k_per_key
 from evalspark.operators.search import SearchRequest
 from evalspark.plans import search as plans
 from evalspark.sources import splits
@@ -603,7 +603,7 @@ def _(v: Views) -> DataFrame:
 
 @query("embedding_payload")
 def _(v: Views) -> DataFrame:
-    return vector.payload_of(v.examples(answers=False), v.datasets())
+    return vector.payload_of(v.examples(answers=False), v.datasets()).drop("task_type")
 
 
 @query("embed_dataset")
@@ -770,7 +770,7 @@ def _(v: Views) -> DataFrame:
 def _guard(function: Callable[[Column], Column]) -> Callable[[Views], DataFrame]:
     def build(v: Views) -> DataFrame:
         out = function(F.col("text"))
-        return v.texts().select(
+        return spread(v.texts(), "kind", "text_id").select(
             "kind", "text_id", F.md5(out).alias("out_md5"), F.length(out).cast("long").alias("chars")
         )
 
@@ -790,13 +790,15 @@ for _key, _function in {
 
 @query("leak_scan")
 def _(v: Views) -> DataFrame:
-    found = v.texts().select("kind", "text_id", F.inline(text.leak_findings(F.col("text"))))
+    texts = spread(v.texts(), "kind", "text_id")
+    found = texts.select("kind", "text_id", F.inline(text.leak_findings(F.col("text"))))
     return found
 
 
 @query("leak_summary")
 def _(v: Views) -> DataFrame:
-    found = v.texts().select("kind", F.inline(text.leak_findings(F.col("text"))))
+    texts = spread(v.texts(), "kind", "text_id")
+    found = texts.select("kind", F.inline(text.leak_findings(F.col("text"))))
     return found.groupBy("kind", "type").agg(F.count("*").alias("n"))
 
 

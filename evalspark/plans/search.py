@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark import schemas
@@ -49,11 +49,10 @@ def fused_lists(
     and task type too.
     """
     keyword = keyword_lists(corpus.examples, corpus.datasets, requests, fetch)
-    resolved = vector.resolve_vectors(corpus.vectors, requests)
-    branches = []
-    for filters, group in _by_filters(resolved, strict_filters).items():
-        branches.append(_semantic_branch(corpus, group, fetch, filters))
-    semantic = reduce(DataFrame.unionByName, branches)
+    filters = ("subject", "dataset_name", "task_type") if strict_filters else ("subject",)
+    semantic = vector.semantic_search(
+        corpus.vectors, corpus.payload, requests, fetch, filters=filters
+    )
     return fusion.reciprocal_rank_fusion(
         keyword,
         semantic,
@@ -62,32 +61,9 @@ def fused_lists(
     )
 
 
-def _by_filters(
-    requests: list[SearchRequest], strict: bool
-) -> dict[tuple[str | None, ...], list[SearchRequest]]:
-    groups: dict[tuple[str | None, ...], list[SearchRequest]] = {}
-    for r in requests:
-        key = (r.subject, r.dataset_name if strict else None, r.task_type if strict else None)
-        groups.setdefault(key, []).append(r)
-    return groups
-
-
-def _semantic_branch(
-    corpus: Corpus, requests: list[SearchRequest], fetch: int, filters: tuple[str | None, ...]
-) -> DataFrame:
-    subject, dataset_name, task_type = filters
-    vectors = corpus.vectors
-    if dataset_name is not None or task_type is not None:
-        allowed = corpus.payload
-        if dataset_name is not None:
-            allowed = allowed.where(F.col("dataset_name") == dataset_name)
-        if task_type is not None:
-            kinds = corpus.datasets.where(F.col("task_type") == task_type)
-            allowed = allowed.join(kinds.select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
-        vectors = vectors.join(
-            allowed.select(F.col("id").alias("example_id")), "example_id", "left_semi"
-        )
-    return vector.semantic_search(vectors, corpus.payload, requests, fetch, subject=subject)
+def _totalled(rows: DataFrame) -> DataFrame:
+    """Adds the list length; a list holds at most two fetch caps per request."""
+    return rows.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
 
 
 def hybrid_search(
@@ -101,9 +77,7 @@ def hybrid_search(
     """One page of fused hits per request, with ``rank`` and the fused ``total``."""
     schemas.check_page(limit, offset, max_limit)
     fused = fused_lists(corpus, requests, fetch_cap(limit, offset, HYBRID_EXTRA), strict_filters)
-    totals = fused.groupBy("query_id").agg(F.count("*").alias("total"))
-    rows = fused.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    return rows.join(totals, "query_id")
+    return _totalled(fused).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
 def hybrid_with_fallback(
@@ -143,12 +117,8 @@ def assisted_search(
     schemas.check_page(limit, offset)
     fetch = fetch_cap(limit, offset, RANKED_EXTRA)
     found = hybrid_with_fallback(corpus, requests, fetch, max_limit=schemas.MAX_FETCH)
-    ordered = fusion.apply_ranking(found, ranks)
-    totals = ordered.groupBy("query_id").agg(F.count("*").alias("total"))
-    rows = ordered.where(
-        (F.col("final_rank") > offset) & (F.col("final_rank") <= offset + limit)
-    )
-    return rows.join(totals, "query_id")
+    ordered = _totalled(fusion.apply_ranking(found, ranks))
+    return ordered.where((F.col("final_rank") > offset) & (F.col("final_rank") <= offset + limit))
 
 
 def parsed_requests(

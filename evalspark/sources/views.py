@@ -61,12 +61,16 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """The scan of one table; its schema is read once per view set."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(self.path(name))
+        return self._tables[name]
 
     # -- datasets and examples ---------------------------------------------------------------
 
@@ -137,7 +141,8 @@ class Views:
             "lang",
             "n_chars",
             cycle(F.col("doc_id"), MEMBERS).alias("split"),
-            F.split("text", " ").alias("words"),
+            # The raw shapes use at most the first 30 words; the rest stays in one last piece.
+            F.split("text", " ", 31).alias("words"),
         )
         return docs.select("pos", "split", *self._raw_columns(name))
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,32 +23,37 @@ DAY_SECONDS = 86_400
 # A key with more rows than this is replayed slice after slice instead of in one group.
 HOT_ROWS = 1_000_000
 
-Step = Callable[[list[int], pd.DataFrame], tuple[np.ndarray, list[int]]]
+Columns = dict[str, list]
+Step = Callable[[list[int], Columns, int, int], tuple[list[bool | None], list[int]]]
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-# -- step functions: (state, rows of one key in order) -> (admitted flags, new state) ---------------
+# -- step functions: rows [low, high) of one key in order, after a state -> (admitted, new state) ---
 
 
 def admission_step(window_us: int) -> Step:
-    """State: times of the accepted calls inside the window. Rejected calls leave no trace."""
-
-    def step(log: list[int], rows: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
-        out = np.zeros(len(rows), dtype=bool)
-        start = 0
-        log = list(log)
-        for i, (now, limit, seed) in enumerate(
-            zip(rows["us"].tolist(), rows["allowed"].tolist(), rows["seed"].tolist())
-        ):
-            while start < len(log) and log[start] <= now - window_us:
-                start += 1
-            if seed or len(log) - start < limit:
+    """State: times of the accepted calls inside the window. Rejected calls leave no trace.
+
+    Seed rows are accepted already; they enter the log and get no decision.
+    """
+
+    def step(
+        log: list[int], rows: Columns, low: int, high: int
+    ) -> tuple[list[bool | None], list[int]]:
+        times, limits, seeds = rows["us"], rows["allowed"], rows["seed"]
+        log, oldest, out = list(log), 0, []
+        for i in range(low, high):
+            now = times[i]
+            while oldest < len(log) and log[oldest] <= now - window_us:
+                oldest += 1
+            admitted = seeds[i] or len(log) - oldest < limits[i]
+            if admitted:
                 log.append(now)
-                out[i] = True
-        return out, log[start:]
+            out.append(None if seeds[i] else admitted)
+        return out, log[oldest:]
 
     return step
 
@@ -58,25 +62,19 @@ def quota_step(day_us: int) -> Step:
     """State: [reset time, calls counted per kind...]. The first call at or after the reset time
     zeroes all counters and moves the reset one day past itself."""
 
-    def step(state: list[int], rows: pd.DataFrame) -> tuple[np.ndarray, list[int]]:
-        out = np.zeros(len(rows), dtype=bool)
-        reset_at, counts = (state[0], state[1:]) if state else (None, [0, 0])
-        for i, (now, limit, kind, first_reset) in enumerate(
-            zip(
-                rows["us"].tolist(),
-                rows["allowed"].tolist(),
-                rows["kind"].tolist(),
-                rows["first_reset"].tolist(),
-            )
-        ):
-            if reset_at is None:
-                reset_at = first_reset
-            if reset_at <= now:
-                counts = [0] * len(counts)
-                reset_at = now + day_us
-            if limit == UNLIMITED or counts[kind] < limit:
-                counts[kind] += 1
-                out[i] = True
+    def step(
+        state: list[int], rows: Columns, low: int, high: int
+    ) -> tuple[list[bool], list[int]]:
+        times, limits, kinds = rows["us"], rows["allowed"], rows["kind"]
+        reset_at, *counts = state or [rows["first_reset"][low], 0, 0]
+        out = []
+        for i in range(low, high):
+            if reset_at <= times[i]:
+                reset_at, counts = times[i] + day_us, [0] * len(counts)
+            admitted = limits[i] == UNLIMITED or counts[kinds[i]] < limits[i]
+            if admitted:
+                counts[kinds[i]] += 1
+            out.append(admitted)
         return out, [reset_at, *counts]
 
     return step
@@ -88,47 +86,70 @@ def quota_step(day_us: int) -> Step:
 def replay(rows: DataFrame, keys: list[str], step: Step, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys, event_id, admitted) of ordered rows per key.
 
-    Keys up to ``hot_rows`` rows are replayed as groups, in parallel. Larger keys are cut at common
-    points in time; each slice is one job that starts from the state the slice before it wrote to
-    the shared folder. No task ever holds more than a slice.
+    Rows are partitioned by key, sorted by Spark and streamed through the step, which carries the
+    state of one key at a time. Keys with more than ``hot_rows`` rows would keep one task busy for
+    too long; they are cut at common points in time instead, each slice being one job that starts
+    from the states the slice before it wrote to the shared folder.
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
     total = sizes.agg(F.sum("n").alias("n")).first()["n"]
-    key_fields = [rows.schema[k] for k in keys]
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
-    schema = f"{names}, event_id long, admitted boolean"
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["us", "event_id"])
-        admitted, _ = step([], frame)
-        return frame[[*keys, "event_id"]].assign(admitted=admitted)
-
+    names = ", ".join(
+        f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys
+    )
     if not total:
-        return rows.groupBy(*keys).applyInPandas(whole, schema)
+        return _replay_whole(rows, keys, names, step)
     hot_keys = sizes.select(*keys)
-    cold = rows.join(hot_keys, keys, "left_anti").groupBy(*keys).applyInPandas(whole, schema)
+    cold = _replay_whole(rows.join(hot_keys, keys, "left_anti"), keys, names, step)
     hot = rows.join(hot_keys, keys, "left_semi")
     return cold.unionByName(_replay_in_slices(hot, keys, names, step, total, hot_rows))
 
 
+def _replay_whole(rows: DataFrame, keys: list[str], names: str, step: Step) -> DataFrame:
+    """Every key from its first row on; memory holds one Arrow batch and one state per task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, []
+        for frame in frames:
+            if not len(frame):
+                continue
+            columns = {name: frame[name].tolist() for name in frame.columns}
+            ids = list(zip(*[columns[k] for k in keys]))
+            admitted: list[bool] = []
+            low = 0
+            while low < len(ids):
+                high = low + 1
+                while high < len(ids) and ids[high] == ids[low]:
+                    high += 1
+                if ids[low] != current:
+                    current, state = ids[low], []
+                flags, state = step(state, columns, low, high)
+                admitted += flags
+                low = high
+            yield frame[[*keys, "event_id"]].assign(admitted=admitted)
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
+    return ordered.mapInPandas(run, f"{names}, event_id long, admitted boolean")
+
+
 def _replay_in_slices(
     rows: DataFrame, keys: list[str], names: str, step: Step, total: int, hot_rows: int
 ) -> DataFrame:
     spark = rows.sparkSession
     slices = math.ceil(total / hot_rows)
     shares = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(map(int, rows.approxQuantile("us", shares, 0.5 / slices)))) if shares else []
+    cuts = sorted(set(map(int, rows.approxQuantile("us", shares, 0.25 / slices)))) if shares else []
     bounds = [None, *cuts, None]
     out = work_dir(spark, "replay")
     schema = f"{names}, event_id long, admitted boolean, state array<long>"
 
-    def slice_step(_, frame: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+    def slice_step(_: tuple, frame: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
         state = list(carried["state"].iloc[0]) if len(carried) else []
         frame = frame.sort_values(["us", "event_id"])
-        admitted, state = step(state, frame)
-        decisions = frame[[*keys, "event_id"]].assign(admitted=admitted, state=None)
-        source = frame if len(frame) else carried
-        last = source[keys].head(1).assign(event_id=None, admitted=None)
+        decisions = frame[[*keys, "event_id"]].assign(admitted=False, state=None)
+        if len(frame):
+            columns = {name: frame[name].tolist() for name in frame.columns}
+            decisions["admitted"], state = step(state, columns, 0, len(frame))
+        last = (frame if len(frame) else carried)[keys].head(1).assign(event_id=-1, admitted=False)
         last["state"] = [state]
         return pd.concat([decisions, last]) if len(frame) else last
 
@@ -141,12 +162,11 @@ def _replay_in_slices(
         if high is not None:
             part = part.where(F.col("us") < high)
         path = f"{out}/slice={number}"
-        part.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(
-            slice_step, schema
-        ).write.parquet(path)
+        both = part.groupBy(*keys).cogroup(state.groupBy(*keys))
+        both.applyInPandas(slice_step, schema).write.parquet(path)
         paths.append(path)
-        state = spark.read.parquet(path).where(F.col("event_id").isNull()).select(*keys, "state")
-    decided = spark.read.parquet(*paths).where(F.col("event_id").isNotNull())
+        state = spark.read.parquet(path).where(F.col("state").isNotNull()).select(*keys, "state")
+    decided = spark.read.parquet(*paths).where(F.col("state").isNull())
     return decided.select(*keys, "event_id", "admitted")
 
 
@@ -204,12 +224,8 @@ def admission_replay(
     contested = placed.where(F.col("run").isNotNull()).select(
         "user_id", "run", "event_id", "us", "allowed", "seed"
     )
-    seeds = contested.where("seed").select("user_id", "event_id")
-    decided = (
-        replay(contested, ["user_id", "run"], admission_step(window_us), hot_rows)
-        .select("user_id", "event_id", "admitted")
-        .join(seeds, ["user_id", "event_id"], "left_anti")
-    )
+    decided = replay(contested, ["user_id", "run"], admission_step(window_us), hot_rows)
+    decided = decided.where(F.col("admitted").isNotNull()).drop("run")
     return quiet.unionByName(decided)
 
 
@@ -241,7 +257,8 @@ def _stateful(step: Step) -> Callable:
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         late = rows["us"] < newest if newest is not None else pd.Series(False, index=rows.index)
         in_time = rows[~late]
-        admitted, log = step(log, in_time)
+        columns = {name: in_time[name].tolist() for name in in_time.columns}
+        admitted, log = step(log, columns, 0, len(in_time)) if len(in_time) else ([], log)
         newest = int(in_time["us"].max()) if len(in_time) else newest
         state.update((log, newest))
         yield pd.concat(
