@@ -131,6 +131,37 @@ def keyword_search(
     return rows, found.agg(F.count("*").alias("total"))
 
 
+def _found_by(df: DataFrame, requests: list[SearchRequest]) -> Column:
+    """Ids of the requests a row satisfies by text and subject; each text is lowered once."""
+    texts = F.struct(
+        F.lower("question").alias("question"), F.lower("answer").alias("answer")
+    )
+
+    def listed(text: Column) -> Column:
+        found = []
+        for request in requests:
+            pattern = like_pattern(request.query).lower()
+            keep = text["question"].like(pattern) | text["answer"].like(pattern)
+            if request.subject is not None:
+                keep = keep & (metadata_text(df, "subject") == request.subject)
+            found.append(F.when(keep, F.lit(request.query_id)))
+        return F.array_compact(F.array(*found))
+
+    return F.element_at(F.transform(F.array(texts), listed), 1)
+
+
+def _in_dimension(requests: list[SearchRequest]) -> Column | None:
+    """The dataset and task type filters of the requests that have some."""
+    keep = None
+    for r in requests:
+        wanted = [(c, getattr(r, c)) for c in ("dataset_name", "task_type")]
+        for name, value in wanted:
+            if value is not None:
+                rule = (F.col("query_id") != r.query_id) | (F.col(name) == value)
+                keep = rule if keep is None else keep & rule
+    return keep
+
+
 def match_requests(
     examples: DataFrame, datasets: DataFrame, requests: list[SearchRequest]
 ) -> DataFrame:
@@ -139,28 +170,11 @@ def match_requests(
     Each request becomes one predicate; a row carries the list of requests it satisfies.
     """
     schemas.check_batch(requests)
-    base = with_dataset(examples.where(_any([matches(r.query) for r in requests])), datasets)
-    found = [F.when(_request_filter(base, r), F.lit(r.query_id)) for r in requests]
-    listed = F.array_compact(F.array(*found))
-    return base.withColumn("query_id", F.explode(listed))
-
-
-def _any(predicates: list[Column]) -> Column:
-    total = predicates[0]
-    for predicate in predicates[1:]:
-        total = total | predicate
-    return total
-
-
-def _request_filter(df: DataFrame, request: SearchRequest) -> Column:
-    keep = matches(request.query)
-    if request.dataset_name is not None:
-        keep = keep & (F.col("dataset_name") == request.dataset_name)
-    if request.subject is not None:
-        keep = keep & (metadata_text(df, "subject") == request.subject)
-    if request.task_type is not None:
-        keep = keep & (F.col("task_type") == request.task_type)
-    return keep
+    # The outer form keeps Spark from evaluating the list a second time in an inferred filter.
+    pairs = examples.withColumn("query_id", F.explode_outer(_found_by(examples, requests)))
+    pairs = with_dataset(pairs.where(F.col("query_id").isNotNull()), datasets)
+    keep = _in_dimension(requests)
+    return pairs if keep is None else pairs.where(keep)
 
 
 def keyword_lists(
@@ -179,19 +193,14 @@ def keyword_lists(
 def keyword_totals(
     examples: DataFrame, datasets: DataFrame, requests: list[SearchRequest]
 ) -> DataFrame:
-    """Number of hits per request, zero included, in one pass of conditional counts."""
-    schemas.check_batch(requests)
-    base = with_dataset(examples, datasets)
-    counted = base.agg(
-        *[F.count_if(_request_filter(base, r)).alias(f"c{i}") for i, r in enumerate(requests)]
-    )
-    pairs = F.array(
-        *[
-            F.struct(F.lit(r.query_id).alias("query_id"), F.col(f"c{i}").alias("total"))
-            for i, r in enumerate(requests)
-        ]
+    """Number of hits per request, zero included."""
+    matched = match_requests(examples.drop("choices", "example_metadata"), datasets, requests)
+    counted = matched.groupBy("query_id").agg(F.count("*").alias("n"))
+    asked = F.explode(F.array(*[F.lit(r.query_id) for r in requests])).alias("query_id")
+    listed = examples.sparkSession.range(1).select(asked)
+    return listed.join(counted, "query_id", "left").select(
+        "query_id", F.coalesce("n", F.lit(0).cast("long")).alias("total")
     )
-    return counted.select(F.inline(pairs))
 
 
 def facets(examples: DataFrame, datasets: DataFrame, query: str | None = None) -> DataFrame:
