@@ -194,7 +194,7 @@ def keyword_totals(
     examples: DataFrame, datasets: DataFrame, requests: list[SearchRequest]
 ) -> DataFrame:
     """Number of hits per request, zero included."""
-    matched = match_requests(examples.drop("choices", "example_metadata"), datasets, requests)
+    matched = match_requests(examples, datasets, requests)
     counted = matched.groupBy("query_id").agg(F.count("*").alias("n"))
     asked = F.explode(F.array(*[F.lit(r.query_id) for r in requests])).alias("query_id")
     listed = examples.sparkSession.range(1).select(asked)
