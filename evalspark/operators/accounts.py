@@ -180,7 +180,7 @@ def match_subscribers(events: DataFrame, users: DataFrame) -> DataFrame:
 
     Events without an email are ignored, whatever else they carry.
     """
-    by_customer = users.where(F.col("customer_id").isNotNull()).select(
+    by_customer = users.where(F.coalesce("customer_id", F.lit("")) != "").select(
         "customer_id", F.col("id").alias("_by_customer")
     )
     by_email = users.select("email", F.col("id").alias("_by_email"))

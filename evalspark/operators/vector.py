@@ -51,8 +51,7 @@ def resolve_vectors(vectors: DataFrame, requests: list[SearchRequest]) -> list[S
 def _similarities(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """rows x queries scores in double precision; larger is nearer."""
     if metric == "EUCLID":
-        squared = (block**2).sum(1)[:, None] + (queries**2).sum(1)[None, :] - 2 * block @ queries.T
-        return -np.sqrt(np.maximum(squared, 0.0))
+        return -np.stack([np.linalg.norm(block - q, axis=1) for q in queries], axis=1)
     dots = block @ queries.T
     if metric == "DOT":
         return dots

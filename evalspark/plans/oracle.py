@@ -376,6 +376,8 @@ SQL["export_csv"] = """
       md5(question) AS question, answer,
       CASE WHEN len(choices) > 0 THEN CAST(to_json(choices) AS VARCHAR) END AS choices, metadata
     FROM v_exported"""
+SQL["export_custom"] = """
+    SELECT id || chr(9) || coalesce(answer, '') AS line FROM v_exported"""
 _IDS = """'"source_id":' || id || ',"dataset_id":' || dataset_id
       || coalesce(',"dataset_name":"' || dataset_name || '"', '') || '}'"""
 SQL["export_trace_items"] = f"""
@@ -591,6 +593,18 @@ def _semantic_page(rows: str) -> str:
 SQL["semantic_search"] = _semantic_page(_semantic(REQUESTS, 20))
 SQL["semantic_search_threshold"] = _semantic_page(_semantic(REQUESTS, 50, threshold=0.25))
 SQL["semantic_search_filtered"] = _semantic_page(_semantic(REQUESTS, 20, subject="en"))
+_ASKED = ", ".join(f"({lit(r.query_id)}, {r.vec_id}, {lit(r.collection)})" for r in REQUESTS)
+SQL["semantic_metrics"] = f"""
+    WITH scored AS (
+      SELECT a.query_id, v.example_id, q.vector AS x, v.vector AS y
+      FROM (VALUES {_ASKED}) AS a(query_id, vec_id, collection)
+      JOIN v_vectors q ON q.example_id = a.vec_id JOIN v_vectors v ON v.collection = a.collection),
+    measured AS (
+      SELECT query_id, example_id, 'EUCLID' AS metric, round(-list_distance(x, y), 9) AS score FROM scored
+      UNION ALL SELECT query_id, example_id, 'DOT', round(list_inner_product(x, y), 9) FROM scored)
+    SELECT query_id, example_id, metric, round(score, 6) AS score, row_number() OVER (
+      PARTITION BY metric, query_id ORDER BY score DESC, example_id) AS rank
+    FROM measured QUALIFY rank <= 10"""
 SQL["rrf_fusion"] = """
     WITH items AS (
       SELECT l_partkey AS id, p_brand AS query_id, count(*) AS picks, sum(l_quantity) AS quantity
@@ -996,6 +1010,8 @@ SQL["quota_replay"] = f"""
     SELECT user_id, event_id, allowed = -1 OR row_number() OVER (
       PARTITION BY user_id, reset_at, kind ORDER BY ts, event_id) <= allowed AS admitted
     FROM recursive_days"""
+SQL["admission_stream"] = SQL["admission_replay"]
+SQL["quota_stream"] = SQL["quota_replay"]
 SQL["stream_event_counts"] = """
     SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
       count(*) AS n FROM events GROUP BY ALL"""

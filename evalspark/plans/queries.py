@@ -267,6 +267,17 @@ def _(v: Views) -> DataFrame:
     return back.withColumn("question", F.md5("question"))
 
 
+def tab_lines(examples: list[dict]) -> str:
+    """A caller's converter, as an example of custom export."""
+    return "\n".join(f"{e['id']}\t{e['answer'] or ''}" for e in examples)
+
+
+@query("export_custom")
+def _(v: Views) -> DataFrame:
+    texts = exporting.convert(export_examples(v).select("id", "answer"), tab_lines)
+    return texts.select(F.explode(F.split("value", "\n")).alias("line"))
+
+
 @query("event_normalise")
 def _(v: Views) -> DataFrame:
     events = mining.normalise(v.curation_events())
@@ -501,6 +512,18 @@ def _(v: Views) -> DataFrame:
     return _semantic(v, limit=20, subject="en")
 
 
+@query("semantic_metrics")
+def _(v: Views) -> DataFrame:
+    """The two other metrics a vector collection can be created with."""
+    vectors = v.vectors()
+    requests = vector.resolve_vectors(vectors, REQUESTS)
+    parts = [
+        vector.nearest(vectors, requests, 10, metric=m).withColumn("metric", F.lit(m))
+        for m in ("EUCLID", "DOT")
+    ]
+    return parts[0].unionByName(parts[1]).withColumn("score", F.round("score", 6))
+
+
 @query("rrf_fusion")
 def _(v: Views) -> DataFrame:
     """Per dataset, examples ranked by picks fused with examples ranked by quantity."""
@@ -857,7 +880,7 @@ def _(v: Views) -> DataFrame:
     )
 
 
-def quota_calls(v: Views) -> DataFrame:
+def quota_calls(v: Views, events: DataFrame | None = None) -> DataFrame:
     """Event types play the two kinds of calls; tiers decide the (small) limits."""
     users = v.users().select(
         F.col("id").alias("user_id"), "tier", F.col("quota_reset_at").alias("reset_at")
@@ -868,14 +891,29 @@ def quota_calls(v: Views) -> DataFrame:
         .when((F.col("tier") == "free") & (kind == 1), F.lit(0))
         .otherwise(F.lit(DAILY_CALLS))
     )
-    calls = v.table("events").select(
-        "user_id", "event_id", F.col("ts").alias("created_at"), "event_type"
-    )
+    events = v.table("events") if events is None else events
+    calls = events.select("user_id", "event_id", F.col("ts").alias("created_at"), "event_type")
     return calls.join(users, "user_id").select(
         "user_id", "event_id", "created_at", kind.alias("kind"), allowed.alias("allowed"), "reset_at"
     )
 
 
+@query("admission_stream")
+def _(v: Views) -> DataFrame:
+    """The same limiter as a keyed-stateful stream."""
+    stream = counts.read_stream(v.spark, v.sf_dir, "events.parquet")
+    calls = stream.select("user_id", "event_id", F.col("ts").alias("created_at"))
+    rows = replay.admission_stream(calls, F.lit(DAILY_CALLS), window_seconds=replay.DAY_SECONDS)
+    return counts.drain(rows, v.spark, "admission").drop("late")
+
+
+@query("quota_stream")
+def _(v: Views) -> DataFrame:
+    stream = counts.read_stream(v.spark, v.sf_dir, "events.parquet")
+    rows = replay.quota_stream(quota_calls(v, stream))
+    return counts.drain(rows, v.spark, "quota").drop("late")
+
+
 @query("quota_replay")
 def _(v: Views) -> DataFrame:
     return replay.quota_replay(quota_calls(v))

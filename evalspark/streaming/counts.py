@@ -53,6 +53,21 @@ def run_counts(counts: DataFrame, spark: SparkSession) -> DataFrame:
     return rows.groupBy("window_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
+def drain(rows: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
+    """Runs an append-mode stream to its present end and returns everything it wrote."""
+    out = work_dir(spark, purpose)
+    query = (
+        rows.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
 def fold_subscription_stream(
     events: DataFrame, users: DataFrame, path: str, ultra_product: str
 ) -> str:

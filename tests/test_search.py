@@ -186,7 +186,6 @@ def test_nearest_equals_brute_force(points, metric):
         want = sorted(zip(-score, ids))[:10]
         mine = sorted((r["rank"], r["example_id"], r["score"]) for r in out if r["query_id"] == request.query_id)
         assert [i for _, i, _ in mine] == [i for _, i in want]
-        # Euclidean self distance carries rounding of the expanded square.
         assert np.allclose([s for _, _, s in mine], [-s for s, _ in want], atol=1e-5)
 
 
