@@ -15,6 +15,7 @@ from evalspark.sources.adapters import Adapter
 
 REQUIRED = ("dataset_id", "question", "split")
 SAMPLE_ROWS = 3
+POSITION_BUCKETS = 4096
 
 
 # -- reading -------------------------------------------------------------------------------------
@@ -79,14 +80,46 @@ def ingest_audit(examples: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def take_in_split_order(raw: DataFrame, splits: tuple[str, ...], limit: int) -> DataFrame:
-    """The first ``limit`` rows, split after split in the declared order, by source position."""
-    order = F.array_position(F.array(*map(F.lit, splits)), F.col("split"))
-    return (
-        raw.where(F.col("split").isin(*splits))
-        .withColumn("split_no", order)
-        .orderBy("split_no", "pos")
-        .limit(limit)
-    )
+    """The first ``limit`` rows, split after split in the declared order, by source position.
+
+    Whole splits are kept by name and the one split that is cut by a position bound, so no row is
+    sorted or moved and the filter reaches the scan. Counting reads the split and position columns.
+    """
+    sizes = {
+        row["split"]: row
+        for row in raw.where(F.col("split").isin(*splits))
+        .groupBy("split")
+        .agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .collect()
+    }
+    keep = F.lit(False)
+    for split in splits:
+        if limit <= 0:
+            break
+        if split not in sizes:
+            continue
+        inside = F.col("split") == split
+        found = sizes[split]
+        if found["n"] > limit:
+            rows = raw.where(inside).select("pos")
+            inside &= F.col("pos") <= _nth_position(rows, found["low"], found["high"], limit)
+        keep |= inside
+        limit -= found["n"]
+    return raw.where(keep)
+
+
+def _nth_position(rows: DataFrame, low: int, high: int, n: int) -> int:
+    """The n-th smallest position in [low, high], by histograms of ever smaller ranges."""
+    while low < high:
+        width = -(-(high - low + 1) // POSITION_BUCKETS)
+        bucket = F.floor((F.col("pos") - low) / width)
+        counted = rows.where(F.col("pos").between(low, high)).groupBy(bucket.alias("b")).count()
+        for row in counted.orderBy("b").collect():
+            if row["count"] >= n:
+                low, high = low + row["b"] * width, min(high, low + (row["b"] + 1) * width - 1)
+                break
+            n -= row["count"]
+    return low
 
 
 def register(known: DataFrame, offered: DataFrame) -> DataFrame:

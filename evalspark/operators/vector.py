@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -240,12 +241,16 @@ def audit(vectors: DataFrame, neighbours: int = 3) -> DataFrame:
         F.max(F.size("vector")).cast("long").alias("max_dims"),
         F.min("example_id").alias("sample_id"),
     )
-    samples = facts.select("collection", "sample_id").limit(schemas.MAX_BATCH + 1).collect()
+    # One row per vector collection, of which there is one per dataset.
     requests = [
         SearchRequest(r["collection"], "sample", vec_id=r["sample_id"], collection=r["collection"])
-        for r in samples
+        for r in facts.select("collection", "sample_id").collect()
     ]
-    found = nearest(vectors, requests, neighbours).select(
+    batches = [
+        nearest(vectors, requests[i : i + schemas.MAX_BATCH], neighbours)
+        for i in range(0, len(requests), schemas.MAX_BATCH)
+    ]
+    found = reduce(DataFrame.unionByName, batches).select(
         F.col("query_id").alias("collection"),
         "rank",
         F.col("example_id").alias("neighbour_id"),

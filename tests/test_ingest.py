@@ -33,6 +33,14 @@ def test_limit_spends_splits_in_order(rows):
     ]
 
 
+def test_limit_with_sparse_positions(rows):
+    data = [("train", p * p * 1000 + 5) for p in range(120)]
+    raw = rows("split string, pos long", *data)
+    for limit in (1, 7, 119, 120, 500):
+        out = catalog.take_in_split_order(raw, ("test", "train"), limit).collect()
+        assert sorted(r["pos"] for r in out) == [p for _, p in data][:limit]
+
+
 def test_reingest_twice_is_once(spark, rows):
     path = work_dir(spark, "test-reingest")
     raw = raw_rows(rows, ("test", 5), ("dev", 2))
