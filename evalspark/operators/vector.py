@@ -50,7 +50,7 @@ def resolve_vectors(vectors: DataFrame, requests: list[SearchRequest]) -> list[S
 
 
 def _similarities(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """rows x queries scores in double precision; larger is nearer."""
+    """rows x queries scores in double precision; larger is nearer, so distances are negative."""
     if metric == "EUCLID":
         return -np.stack([np.linalg.norm(block - q, axis=1) for q in queries], axis=1)
     dots = block @ queries.T
@@ -81,6 +81,8 @@ def _scorer(
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores a partition block by block and keeps only k candidates per query in memory."""
     scopes = _scopes(requests, filters)
+    # A distance passes when it is at most the threshold, a similarity when it is at least that.
+    least = -threshold if threshold is not None and metric == "EUCLID" else threshold
     queries = {
         scope: np.asarray([r.vector for r in group], dtype=np.float64)
         for scope, group in scopes.items()
@@ -112,8 +114,8 @@ def _scorer(
                     scores = np.round(_similarities(block, queries[scope], metric), SCORE_DIGITS)
                     for j, request in enumerate(group):
                         new_ids, new_scores = ids[part], scores[:, j]
-                        if threshold is not None:
-                            passed = new_scores >= threshold
+                        if least is not None:
+                            passed = new_scores >= least
                             new_ids, new_scores = new_ids[passed], new_scores[passed]
                         if request.query_id in best:
                             old_ids, old_scores = best[request.query_id]
@@ -155,9 +157,10 @@ def nearest(
         .select("collection", "example_id", "vector", *filters)
         .mapInArrow(_scorer(requests, filters, k, threshold, metric), HIT_SCHEMA)
     )
-    return top_k_per_key(
+    best = top_k_per_key(
         scored, ["query_id"], [F.desc("score"), F.asc("example_id")], k, spread=["example_id"]
     )
+    return best.withColumn("score", F.abs("score")) if metric == "EUCLID" else best
 
 
 def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:

@@ -601,10 +601,13 @@ SQL["semantic_metrics"] = f"""
       JOIN v_vectors q ON q.example_id = a.vec_id JOIN v_vectors v ON v.collection = a.collection),
     measured AS (
       SELECT query_id, example_id, 'EUCLID' AS metric, round(-list_distance(x, y), 9) AS score FROM scored
-      UNION ALL SELECT query_id, example_id, 'DOT', round(list_inner_product(x, y), 9) FROM scored)
-    SELECT query_id, example_id, metric, round(score, 6) AS score, row_number() OVER (
-      PARTITION BY metric, query_id ORDER BY score DESC, example_id) AS rank
-    FROM measured QUALIFY rank <= 10"""
+      UNION ALL SELECT query_id, example_id, 'DOT', round(list_inner_product(x, y), 9) FROM scored),
+    ranked AS (
+      SELECT *, row_number() OVER (
+        PARTITION BY metric, query_id ORDER BY score DESC, example_id) AS rank FROM measured)
+    SELECT query_id, example_id, metric, rank,
+      round(CASE metric WHEN 'EUCLID' THEN abs(score) ELSE score END, 6) AS score
+    FROM ranked WHERE rank <= 10"""
 SQL["rrf_fusion"] = """
     WITH items AS (
       SELECT l_partkey AS id, p_brand AS query_id, count(*) AS picks, sum(l_quantity) AS quantity

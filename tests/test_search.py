@@ -186,7 +186,8 @@ def test_nearest_equals_brute_force(points, metric):
         want = sorted(zip(-score, ids))[:10]
         mine = sorted((r["rank"], r["example_id"], r["score"]) for r in out if r["query_id"] == request.query_id)
         assert [i for _, i, _ in mine] == [i for _, i in want]
-        assert np.allclose([s for _, _, s in mine], [-s for s, _ in want], atol=1e-5)
+        shown = [abs(s) if metric == "EUCLID" else -s for s, _ in want]
+        assert np.allclose([s for _, _, s in mine], shown, atol=1e-5)
 
 
 def test_vector_filters_act_before_ranking(points):
@@ -196,6 +197,8 @@ def test_vector_filters_act_before_ranking(points):
     assert len(out) == 10 and all(r["example_id"] % 3 == 0 for r in out)
     near = vector.nearest(frame, requests, 100, threshold=0.5).collect()
     assert near and all(r["score"] >= 0.5 for r in near)
+    close = vector.nearest(frame, requests, 100, threshold=2.5, metric="EUCLID").collect()
+    assert 1 < len(close) < 100 and all(0 <= r["score"] <= 2.5 for r in close)
     assert vector.nearest(frame, [SearchRequest("z", "z", vec_id=9999, collection="c0")], 5).count() == 0
 
 
