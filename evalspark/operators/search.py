@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ class SearchRequest:
     task_type: str | None = None
     keyword_weight: float = 0.4
     semantic_weight: float = 0.6
+    literal: bool = False
 
     def __post_init__(self):
         schemas.check_query(self.query)
@@ -72,36 +74,6 @@ def with_dataset(examples: DataFrame, datasets: DataFrame) -> DataFrame:
     return examples.join(dims, "dataset_id")
 
 
-def narrowed(
-    df: DataFrame,
-    dataset_name: str | None = None,
-    subject: str | None = None,
-    task_type: str | None = None,
-) -> DataFrame:
-    """Applies each filter that is given."""
-    if dataset_name is not None:
-        df = df.where(F.col("dataset_name") == dataset_name)
-    if subject is not None:
-        df = df.where(metadata_text(df, "subject") == subject)
-    if task_type is not None:
-        df = df.where(F.col("task_type") == task_type)
-    return df
-
-
-def hits(
-    examples: DataFrame,
-    datasets: DataFrame,
-    query: str,
-    dataset_name: str | None = None,
-    subject: str | None = None,
-    task_type: str | None = None,
-    literal: bool = False,
-) -> DataFrame:
-    """All examples a keyword search finds, before ordering and paging."""
-    found = examples.where(matches(query, literal))
-    return narrowed(with_dataset(found, datasets), dataset_name, subject, task_type)
-
-
 def sort_order(sort_by: str) -> list[Column]:
     schemas.check_sort(sort_by)
     if sort_by == "newest":
@@ -120,28 +92,51 @@ def keyword_search(
     offset: int = 0,
     sort_by: str = "relevance",
     literal: bool = False,
+    answers: DataFrame | None = None,
     **filters: str | None,
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of hits and a one-row frame with the number of all hits."""
-    schemas.check_query(query)
+    """One page of hits and a one-row frame with the number of all hits.
+
+    ``answers`` (id, answer) is for tables that keep the answer apart, see ``match_requests``.
+    """
     schemas.check_page(limit, offset)
-    found = hits(examples, datasets, query, literal=literal, **filters)
-    rows = page(found, sort_order(sort_by), limit, offset)
-    rows = rows.withColumn("score", F.lit(None).cast("double")).select(*RESULT_COLUMNS)
-    return rows, found.agg(F.count("*").alias("total"))
+    request = [SearchRequest("q", query, literal=literal, **filters)]
+    order = sort_order(sort_by)
+    matched = match_requests(examples, datasets, request, answers)
+    total = matched.agg(F.count("*").alias("total"))
+    if answers is None:
+        rows = page(matched, order, limit, offset)
+    elif sort_by == "dataset":
+        # This order reads the question of every hit.
+        texts = examples.select("id", "question")
+        wanted = page(matched.join(texts, "id"), order, limit, offset)
+        rows = fetch(examples, datasets, answers, wanted.select("id"))
+    else:
+        wanted = page(matched, order, limit, offset)
+        rows = fetch(examples, datasets, answers, wanted.select("id"))
+    return rows.withColumn("score", F.lit(None).cast("double")).select(*RESULT_COLUMNS), total
 
 
-def _found_by(df: DataFrame, requests: list[SearchRequest]) -> Column:
-    """Ids of the requests a row satisfies by text and subject; each text is lowered once."""
-    texts = F.struct(
-        F.lower("question").alias("question"), F.lower("answer").alias("answer")
-    )
+def fetch(
+    examples: DataFrame, datasets: DataFrame, answers: DataFrame, ids: DataFrame
+) -> DataFrame:
+    """Whole rows of a bounded list of ids; the list cuts both tables before they meet."""
+    ids = F.broadcast(ids.distinct())
+    rows = examples.drop("answer").join(ids, "id", "left_semi")
+    given = answers.select("id", "answer").join(ids, "id", "left_semi")
+    return with_dataset(rows.join(given, "id", "left"), datasets)
+
+
+def _found_by(df: DataFrame, requests: list[SearchRequest], columns: tuple[str, ...]) -> Column:
+    """Ids of the requests a row satisfies by one of the texts and by subject; each text is lowered
+    once."""
+    texts = F.struct(*[F.lower(c).alias(c) for c in columns])
 
     def listed(text: Column) -> Column:
         found = []
         for request in requests:
-            pattern = like_pattern(request.query).lower()
-            keep = text["question"].like(pattern) | text["answer"].like(pattern)
+            pattern = like_pattern(request.query, request.literal).lower()
+            keep = reduce(Column.__or__, [text[c].like(pattern) for c in columns])
             if request.subject is not None:
                 keep = keep & (metadata_text(df, "subject") == request.subject)
             found.append(F.when(keep, F.lit(request.query_id)))
@@ -163,38 +158,67 @@ def _in_dimension(requests: list[SearchRequest]) -> Column | None:
 
 
 def match_requests(
-    examples: DataFrame, datasets: DataFrame, requests: list[SearchRequest]
+    examples: DataFrame,
+    datasets: DataFrame,
+    requests: list[SearchRequest],
+    answers: DataFrame | None = None,
 ) -> DataFrame:
     """Every (request, hit) pair, from one scan and without a join to the requests.
 
-    Each request becomes one predicate; a row carries the list of requests it satisfies.
+    Each request becomes one predicate; a row carries the list of requests it satisfies. Where the
+    answers are a table of their own, questions are matched before the join, so that ids meet and
+    texts are not shuffled; the pairs then carry ids only and ``fetch`` reads the rows.
     """
     schemas.check_batch(requests)
+    if answers is None:
+        base = examples
+        found = _found_by(examples, requests, ("question", "answer"))
+    else:
+        keys = [c for c in ("id", "dataset_id", "subject", "example_metadata", "created_at") if c in examples.columns]
+        if "subject" in keys:
+            keys.remove("example_metadata")
+        base = examples.select(
+            *keys, _found_by(examples, requests, ("question",)).alias("by_question")
+        ).join(answers.select("id", "answer"), "id", "left")
+        found = F.array_union("by_question", _found_by(base, requests, ("answer",)))
     # The outer form keeps Spark from evaluating the list a second time in an inferred filter.
-    pairs = examples.withColumn("query_id", F.explode_outer(_found_by(examples, requests)))
+    pairs = base.withColumn("query_id", F.explode_outer(found))
     pairs = with_dataset(pairs.where(F.col("query_id").isNotNull()), datasets)
     keep = _in_dimension(requests)
     return pairs if keep is None else pairs.where(keep)
 
 
 def keyword_lists(
-    examples: DataFrame, datasets: DataFrame, requests: list[SearchRequest], k: int
+    examples: DataFrame,
+    datasets: DataFrame,
+    requests: list[SearchRequest],
+    k: int,
+    answers: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``k`` hits by id of every request, ranked from 1."""
     schemas.check_page(k, top=schemas.MAX_FETCH)
-    matched = match_requests(examples, datasets, requests).withColumn(
-        "score", F.lit(None).cast("double")
+    matched = match_requests(examples, datasets, requests, answers)
+    no_score = F.lit(None).cast("double")
+    if answers is None:
+        rows = matched.withColumn("score", no_score).select("query_id", *RESULT_COLUMNS)
+        return top_k_per_key(rows, ["query_id"], [F.asc("id")], k, spread=["id"])
+    first = top_k_per_key(
+        matched.select("query_id", "id"), ["query_id"], [F.asc("id")], k, spread=["id"]
     )
-    return top_k_per_key(
-        matched.select("query_id", *RESULT_COLUMNS), ["query_id"], [F.asc("id")], k, spread=["id"]
+    rows = fetch(examples, datasets, answers, first.select("id")).withColumn("score", no_score)
+    return first.join(rows.select(*RESULT_COLUMNS), "id").select(
+        "query_id", *RESULT_COLUMNS, "rank"
     )
 
 
 def keyword_totals(
-    examples: DataFrame, datasets: DataFrame, requests: list[SearchRequest]
+    examples: DataFrame,
+    datasets: DataFrame,
+    requests: list[SearchRequest],
+    answers: DataFrame | None = None,
 ) -> DataFrame:
     """Number of hits per request, zero included."""
-    matched = match_requests(examples, datasets, requests)
+    matched = match_requests(examples, datasets, requests, answers)
     counted = matched.groupBy("query_id").agg(F.count("*").alias("n"))
     asked = F.explode(F.array(*[F.lit(r.query_id) for r in requests])).alias("query_id")
     listed = examples.sparkSession.range(1).select(asked)
@@ -203,14 +227,25 @@ def keyword_totals(
     )
 
 
-def facets(examples: DataFrame, datasets: DataFrame, query: str | None = None) -> DataFrame:
+def facets(
+    examples: DataFrame,
+    datasets: DataFrame,
+    query: str | None = None,
+    answers: DataFrame | None = None,
+) -> DataFrame:
     """Counts by dataset, by (subject, dataset), by task type and in total, as one frame.
 
     Rows are first counted per (dataset, subject), so the dimension join and the grouping sets work
     on a handful of partial counts instead of on the examples.
     """
-    if query:
+    if query and answers is None:
         examples = examples.where(matches(query))
+    elif query:
+        by_question = F.col("question").ilike(like_pattern(query))
+        ids = examples.withColumn("by_question", by_question).drop("question", "answer")
+        examples = ids.join(answers.select("id", "answer"), "id", "left").where(
+            F.col("by_question") | F.col("answer").ilike(like_pattern(query))
+        )
     counted = examples.groupBy(
         "dataset_id", metadata_text(examples, "subject").alias("subject")
     ).agg(F.count("*").alias("n"))

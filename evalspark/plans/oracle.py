@@ -348,7 +348,7 @@ SQL["vector_upsert"] = """
     WITH rows AS (
       SELECT collection, example_id, 0 AS batch, vector[1] AS first FROM v_vectors
       UNION ALL SELECT collection, example_id + 100, 1, vector[1] * 2 FROM v_vectors
-      UNION ALL SELECT collection, example_id, 2, vector[1] * 2 FROM v_vectors WHERE example_id % 3 = 0)
+      UNION ALL SELECT collection, example_id, 2, vector[1] * 2 FROM v_vectors WHERE collection = 'emb_0')
     SELECT collection, example_id, CAST(batch AS BIGINT) AS batch, CAST(64 AS BIGINT) AS dims,
       round(first, 6) AS first
     FROM rows QUALIFY row_number() OVER (PARTITION BY collection, example_id ORDER BY batch DESC) = 1"""
@@ -646,7 +646,7 @@ SQL["assisted_search"] = _payload(
           PARTITION BY query_id ORDER BY CASE WHEN x.id IS NOT NULL THEN -x.id END NULLS LAST, f.rank)
           AS final_rank
         FROM (SELECT query_id, id, rank, src FROM ({_fused(_PARSED, 100)}) WHERE rank <= 50) f
-        LEFT JOIN (SELECT id FROM v_examples WHERE answer = '1' AND id < 60) x ON x.id = f.id)
+        LEFT JOIN (SELECT id FROM v_examples WHERE answer = '1') x ON x.id = f.id)
       WHERE final_rank > 10 AND final_rank <= 20""",
     "r.query_id, r.final_rank, r.total",
 )

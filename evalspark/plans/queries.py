@@ -79,10 +79,21 @@ def joined(choices: str = "choices") -> Column:
 def corpus(v: Views) -> plans.Corpus:
     light = v.examples(answers=False)
     return plans.Corpus(
-        v.examples(), v.datasets(), v.vectors(), vector.payload_of(light, v.datasets())
+        light, v.datasets(), v.vectors(), vector.payload_of(light, v.datasets()), v.answers()
     )
 
 
+def keyword_lists(v: Views, k: int) -> DataFrame:
+    light = v.examples(answers=False)
+    return search.keyword_lists(light, v.datasets(), REQUESTS, k, v.answers())
+
+
+def keyword_page(v: Views, text: str, **options: object) -> DataFrame:
+    light = v.examples(answers=False)
+    rows, _ = search.keyword_search(light, v.datasets(), text, answers=v.answers(), **options)
+    return _flat(rows)
+
+
 def mmlu_examples(v: Views) -> DataFrame:
     return REGISTRY["mmlu"].normalise(v.raw("mmlu"))
 
@@ -196,7 +207,7 @@ def _(v: Views) -> DataFrame:
     shifted = newer.withColumn("example_id", F.col("example_id") + 100).withColumn(
         "batch", F.lit(1)
     )
-    again = newer.where(F.col("example_id") % 3 == 0).withColumn("batch", F.lit(2))
+    again = newer.where("collection = 'emb_0'").withColumn("batch", F.lit(2))
     merged = vector.upsert(stored, shifted.unionByName(again), dims=64)
     first = F.element_at("vector", 1).cast("double")
     return merged.select(
@@ -445,36 +456,33 @@ def _flat(df: DataFrame, *extra: str) -> DataFrame:
 @query("keyword_search")
 def _(v: Views) -> DataFrame:
     """Several requests in one scan, first page each."""
-    found = search.keyword_lists(v.examples(), v.datasets(), REQUESTS, 20)
+    found = keyword_lists(v, 20)
     return _flat(found, "query_id", "rank")
 
 
 @query("keyword_search_filtered")
 def _(v: Views) -> DataFrame:
-    rows, _ = search.keyword_search(
-        v.examples(), v.datasets(), "ion", dataset_name="src3", subject="fr", task_type="science_qa"
-    )
-    return _flat(rows)
+    return keyword_page(v, "ion", dataset_name="src3", subject="fr", task_type="science_qa")
 
 
 @query("keyword_search_newest")
 def _(v: Views) -> DataFrame:
-    return _flat(search.keyword_search(v.examples(), v.datasets(), "the ", sort_by="newest")[0])
+    return keyword_page(v, "the ", sort_by="newest")
 
 
 @query("keyword_search_by_dataset")
 def _(v: Views) -> DataFrame:
-    return _flat(search.keyword_search(v.examples(), v.datasets(), "the ", sort_by="dataset")[0])
+    return keyword_page(v, "the ", sort_by="dataset")
 
 
 @query("keyword_page2")
 def _(v: Views) -> DataFrame:
-    return _flat(search.keyword_search(v.examples(), v.datasets(), "the ", limit=20, offset=20)[0])
+    return keyword_page(v, "the ", limit=20, offset=20)
 
 
 @query("keyword_total")
 def _(v: Views) -> DataFrame:
-    return search.keyword_totals(v.examples(), v.datasets(), REQUESTS)
+    return search.keyword_totals(v.examples(answers=False), v.datasets(), REQUESTS, v.answers())
 
 
 @query("facets")
@@ -484,7 +492,7 @@ def _(v: Views) -> DataFrame:
 
 @query("facets_query")
 def _(v: Views) -> DataFrame:
-    return search.facets(v.examples(), v.datasets(), "ion")
+    return search.facets(v.examples(answers=False), v.datasets(), "ion", v.answers())
 
 
 def _semantic(v: Views, **options: object) -> DataFrame:
@@ -551,13 +559,11 @@ def _(v: Views) -> DataFrame:
     return _flat(rows.withColumn("score", F.round("score", 9)), "query_id", "rank", "mode", "score")
 
 
-def supplied_ranks(v: Views, query_ids: list[str]) -> DataFrame:
-    """A ranking for each request: labelled examples, high ids first, known and unknown alike."""
-    ids = v.table("labels").where("quality = 1").orderBy(F.desc("doc_id")).limit(50)
-    numbered = ids.select(
-        F.col("doc_id").alias("id"), (F.lit(10_000_000) - F.col("doc_id")).alias("position")
-    )
-    return numbered.withColumn("query_id", F.explode(F.array(*map(F.lit, query_ids))))
+def supplied_ranks(v: Views, requests: list[SearchRequest]) -> DataFrame:
+    """A ranking for each request: every example answered 1, high ids first, found or not."""
+    ranked = v.answers().where("answer = '1'").select("id", (-F.col("id")).alias("position"))
+    ids = [F.lit(r.query_id) for r in requests]
+    return ranked.withColumn("query_id", F.explode(F.array(*ids)))
 
 
 @query("assisted_search")
@@ -565,10 +571,7 @@ def _(v: Views) -> DataFrame:
     """Requests parsed from model answers, hybrid search, supplied ranking, second page."""
     answers = v.spark.createDataFrame(list(RESPONSES.items()), "query_id string, response string")
     parsed = plans.parsed_requests(REQUESTS[:3], answers)
-    wanted = v.examples().where("answer = '1' and id < 60")
-    ranks = wanted.select("id", (-F.col("id")).alias("position")).withColumn(
-        "query_id", F.explode(F.array(*[F.lit(r.query_id) for r in parsed]))
-    )
+    ranks = supplied_ranks(v, parsed)
     rows = plans.assisted_search(corpus(v), parsed, ranks, limit=10, offset=10)
     return _flat(rows, "query_id", "final_rank", "total")
 
@@ -598,22 +601,21 @@ def _(v: Views) -> DataFrame:
 
 @query("apply_ranking")
 def _(v: Views) -> DataFrame:
-    found = search.keyword_lists(v.examples(), v.datasets(), REQUESTS, 50)
-    ranked = v.examples().where("answer = '1'").select("id", (-F.col("id")).alias("position"))
-    ranks = ranked.withColumn("query_id", F.explode(F.array(*[F.lit(r.query_id) for r in REQUESTS])))
+    found = keyword_lists(v, 50)
+    ranks = supplied_ranks(v, REQUESTS)
     rows = fusion.apply_ranking(found.select("query_id", "id", "rank"), ranks)
     return rows.select("query_id", "id", "rank", "final_rank")
 
 
 @query("rank_candidates")
 def _(v: Views) -> DataFrame:
-    found = search.keyword_lists(v.examples(), v.datasets(), REQUESTS, 60)
+    found = keyword_lists(v, 60)
     return fusion.rank_candidates(found)
 
 
 @query("evaluate_candidates")
 def _(v: Views) -> DataFrame:
-    found = search.keyword_lists(v.examples(), v.datasets(), REQUESTS, 60)
+    found = keyword_lists(v, 60)
     view = fusion.EVALUATE_VIEW
     return fusion.rank_candidates(found, view["rows"], view["chars"]).drop("answer")
 

@@ -24,12 +24,17 @@ def fetch_cap(limit: int, offset: int, extra: int) -> int:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What a search reads: examples, dataset dimension, vectors and their payload."""
+    """What a search reads: examples, dataset dimension, vectors, their payload, and the answers
+    where they are a table of their own."""
 
     examples: DataFrame
     datasets: DataFrame
     vectors: DataFrame
     payload: DataFrame
+    answers: DataFrame | None = None
+
+    def keyword_lists(self, requests: list[SearchRequest], k: int) -> DataFrame:
+        return keyword_lists(self.examples, self.datasets, requests, k, self.answers)
 
 
 def _weight(requests: list[SearchRequest], field: str) -> Column:
@@ -48,7 +53,7 @@ def fused_lists(
     The vector branch only knows the subject filter; ``strict_filters`` makes it honour the dataset
     and task type too.
     """
-    keyword = keyword_lists(corpus.examples, corpus.datasets, requests, fetch)
+    keyword = corpus.keyword_lists(requests, fetch)
     filters = ("subject", "dataset_name", "task_type") if strict_filters else ("subject",)
     semantic = vector.semantic_search(
         corpus.vectors, corpus.payload, requests, fetch, filters=filters
@@ -100,7 +105,7 @@ def hybrid_with_fallback(
         parts.append(found.select(*columns, F.lit("hybrid").alias("mode")))
     if rest:
         fetch = min(limit + offset, schemas.MAX_FETCH)
-        found = keyword_lists(corpus.examples, corpus.datasets, rest, fetch)
+        found = corpus.keyword_lists(rest, fetch)
         found = found.where(F.col("rank") > offset)
         parts.append(found.select(*columns, F.lit("keyword").alias("mode")))
     return reduce(DataFrame.unionByName, parts)
@@ -175,7 +180,7 @@ def run_passes(corpus: Corpus, passes: list[Pass], limit: int = 20) -> DataFrame
     for number, step in enumerate(passes):
         request = [step.request]
         if step.tool == "keyword_search":
-            found = keyword_lists(corpus.examples, corpus.datasets, request, fetch)
+            found = corpus.keyword_lists(request, fetch)
         elif step.tool == "semantic_search":
             found = vector.semantic_search(
                 corpus.vectors, corpus.payload, request, fetch, subject=step.request.subject

@@ -113,6 +113,12 @@ class Views:
             ),
         )
 
+    def answers(self) -> DataFrame:
+        """The answers as the test tables keep them, apart from the texts."""
+        return self.table("labels").select(
+            F.col("doc_id").alias("id"), _text(F.col("quality")).alias("answer")
+        )
+
     def catalog(self) -> DataFrame:
         """A second example table with short questions, the one the collections point to."""
         return self.table("part").select(

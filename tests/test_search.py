@@ -92,6 +92,27 @@ def test_batch_equals_single_requests(seed):
         assert [i for _, i in mine] == ids and totals[r.query_id] == total
 
 
+def test_answers_kept_apart_give_the_same(seed):
+    examples, datasets = seed
+    apart, answers = examples.drop("answer"), examples.select("id", "answer").where("answer is not null")
+    requests = [SearchRequest("a", "what"), SearchRequest("b", "berlin"), SearchRequest("c", "p", subject="biology")]
+
+    def listed(df):
+        return sorted((r["query_id"], r["rank"], r["id"], r["answer"], r["dataset_name"]) for r in df.collect())
+
+    assert listed(search.keyword_lists(*seed, requests, 3)) == listed(
+        search.keyword_lists(apart, datasets, requests, 3, answers)
+    )
+    for options in ({"sort_by": "newest"}, {"sort_by": "dataset"}, {"limit": 2, "offset": 1}, {"subject": "geography"}):
+        rows, total = search.keyword_search(apart, datasets, "a", answers=answers, **options)
+        mine = sorted(r["id"] for r in rows.collect()), total.first()["total"]
+        ids, count = found(seed, "a", **options)
+        assert mine == (sorted(ids), count)
+    for query in ("berlin", "a", "zzz"):
+        mine = {tuple(r) for r in search.facets(apart, datasets, query, answers).collect()}
+        assert mine == {tuple(r) for r in search.facets(examples, datasets, query).collect()}
+
+
 def facet_rows(seed, query=None):
     return {
         (r["facet"], r["name"], r["dataset"]): r["n"] for r in search.facets(*seed, query).collect()
