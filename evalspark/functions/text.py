@@ -6,12 +6,13 @@ All of them stay inside the JVM; a column of any length is processed whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.columns import let
+
 # Phrases and tags taken out of untrusted text, applied in this order.
 INJECTION_PATTERNS = (
     r"</?system>",
@@ -84,11 +85,6 @@ IGNORES_CASE = ("generic_secret", "connection_string")
 DOTTED_CAPITAL_I = chr(0x130)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _folded(text: Column) -> Column:
     """Letters that are equal when case is ignored become the same letter."""
     return F.lower(F.upper(text))
@@ -99,7 +95,7 @@ def _any_clue(text: Column, clues: tuple[str, ...]) -> Column:
 
 
 def _may_inject(text: Column) -> Column:
-    return F.contains(text, F.lit(DOTTED_CAPITAL_I)) | _let(
+    return F.contains(text, F.lit(DOTTED_CAPITAL_I)) | let(
         _folded(text), lambda folded: _any_clue(folded, INJECTION_CLUES)
     )
 
@@ -107,7 +103,7 @@ def _may_inject(text: Column) -> Column:
 def _may_hold(text: Column, name: str, clues: tuple[str, ...]) -> Column:
     if name not in IGNORES_CASE:
         return _any_clue(text, clues)
-    return F.contains(text, F.lit(DOTTED_CAPITAL_I)) | _let(
+    return F.contains(text, F.lit(DOTTED_CAPITAL_I)) | let(
         _folded(text), lambda folded: _any_clue(folded, clues)
     )
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.joins import dimension
+
 KEEP_NULLS = {"ignoreNullFields": "false"}
 CSV_COLUMNS = ["id", "dataset_id", "dataset_name", "question", "answer", "choices", "metadata"]
 CONVERT_SAMPLE = 3
@@ -16,7 +18,7 @@ CONVERT_SAMPLE = 3
 def with_names(examples: DataFrame, datasets: DataFrame) -> DataFrame:
     """Adds the dataset name; an example of an unknown dataset keeps a NULL name."""
     names = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
-    return examples.join(names, "dataset_id", "left")
+    return examples.join(dimension(names), "dataset_id", "left")
 
 
 def _filled_metadata() -> Column:

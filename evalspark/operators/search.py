@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evalspark import schemas
 from evalspark.functions.columns import metadata_text
+from evalspark.operators.joins import dimension
 from evalspark.operators.ranking import page, top_k_per_key
 
 RESULT_COLUMNS = [
@@ -67,11 +68,11 @@ def matches(query: str, literal: bool = False) -> Column:
 
 
 def with_dataset(examples: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Inner join to the dataset dimension. No hint: Spark broadcasts it while it is small."""
+    """Inner join to the dataset dimension."""
     dims = datasets.select(
         F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), "task_type"
     )
-    return examples.join(dims, "dataset_id")
+    return examples.join(dimension(dims), "dataset_id")
 
 
 def sort_order(sort_by: str) -> list[Column]:

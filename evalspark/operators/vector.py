@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evalspark import schemas
 from evalspark.functions.columns import embedding_text, metadata_text
+from evalspark.operators.joins import dimension
 from evalspark.operators.ranking import spread, top_k_per_key
 from evalspark.operators.search import RESULT_COLUMNS, SearchRequest
 
@@ -191,7 +192,7 @@ def payload_of(examples: DataFrame, datasets: DataFrame) -> DataFrame:
     names = datasets.select(
         F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), "task_type"
     )
-    return examples.join(names, "dataset_id", "left").select(
+    return examples.join(dimension(names), "dataset_id", "left").select(
         "id",
         "dataset_id",
         "dataset_name",

@@ -95,3 +95,20 @@ def test_cascade(rows):
     assert [r["id"] for r in kept.collect()] == [2] and [r["example_id"] for r in links.collect()] == [2]
     assert sorted((r["id"], r["example_id"]) for r in events.where(F.col("id") < 3).collect()) == [(1, None), (2, 2)]
     assert events.count() == 3
+
+
+def test_dimension_hint_follows_the_row_count(spark, monkeypatch):
+    from evalspark.operators import joins
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    small = spark.range(3)
+    assert not hinted(joins.dimension(small))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    try:
+        assert hinted(joins.dimension(small))
+        monkeypatch.setattr(joins, "MAX_DIMENSION_ROWS", 2)
+        assert not hinted(joins.dimension(small))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
