@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
+PARTITIONS = "spark.sql.shuffle.partitions"
+DEFAULT_PARTITIONS = "200"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,6 +32,10 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    # Stream state cannot be coalesced later; the default is far too wide for one machine only.
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get(PARTITIONS) == DEFAULT_PARTITIONS:
+        spark.conf.set(PARTITIONS, str(context.defaultParallelism))
     return spark
 
 
