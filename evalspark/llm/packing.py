@@ -16,6 +16,7 @@ they come. A null doc_id stays null. Empty tables give no pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens lon
 
 
 def encoder(path: str):
-    """text -> its ids as little-endian 32-bit numbers. Each distinct word goes through the tokenizer once per worker."""
+    """texts -> their ids as little-endian 32-bit numbers. A distinct word goes through the tokenizer once per worker."""
     cache = worker_cache(f"ids {path}")
     if "word" not in cache:
         from tokenizers import Tokenizer
@@ -43,20 +44,18 @@ def encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         cache["tokenizer"], cache["word"] = tokenizer, {}
-    known, findall = cache["word"], splitter()
-
-    def encode(text: str) -> bytes:
-        words = findall(text)
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for word, coded in zip(part, cache["tokenizer"].encode_batch(part, add_special_tokens=False)):
-                    known[word] = np.array(coded.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+    tokenizer, known, split = cache["tokenizer"], cache["word"], splitter()
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        words = [split(t) for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(known))
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
+            for word, coded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[word] = np.array(coded.ids, "<u4").tobytes()
+        return (b"".join(map(known.__getitem__, w)) for w in words)
 
     return encode
 
@@ -146,8 +145,9 @@ def pack_task(path: str, length: int, room: int, end: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in ts.slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                coded = encode(text or "") + mark
+            texts = batch.column("text").fill_null("").to_pylist()
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+                coded += mark
                 ids[number] = (doc_id, coded)
                 packer.add(number, len(coded) // 4)
                 number += 1
