@@ -14,10 +14,11 @@ FROM j GROUP BY doc_id
 PASSAGES = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35),
-w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(words[i : i + 34], ' ')) AS n FROM s),
-c AS (SELECT DISTINCT doc_id, i + j AS i FROM w, range(35) AS r(j) WHERE n > 1),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 34], ' ')) AS h FROM s),
+w AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, i, 1 AS again FROM h SEMI JOIN w USING (h)),
 a AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM d),
-k AS (SELECT a.doc_id, a.i, a.word, c.i IS NOT NULL AS removed FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.i = c.i),
+k AS (SELECT doc_id, i, word, coalesce(max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) = 1 AS removed FROM a LEFT JOIN c USING (doc_id, i)),
 g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS kept FROM k GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
 """

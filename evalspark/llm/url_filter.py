@@ -1,8 +1,8 @@
 """URL filters: a sorted array of 64-bit digests, memory-mapped by the tasks and probed by binary search.
 
-Rules (``host/path`` prefixes) and blocked host words are hashed with xxhash; the sorted digests are one ``.npy`` file
-and the rules' own strings another pair. Spark ships the files to each executor once, where all
-workers share one memory map, so a list of many millions of rules costs no memory per task. A URL asks for each suffix
+Rules (``host/path`` prefixes) and blocked host words are hashed with xxhash; the sorted digests are one file
+with the strings behind them. Spark ships the file to each executor once, where all workers share one memory
+map, so a list of many millions of rules costs no memory per task. A URL asks for each suffix
 of its host with each rule path length; hits are confirmed on the stored strings, so colliding digests can't decide.
 
 The longest fitting rule wins (of equally long ones the longer host, then the smaller string; of equal rules with two
@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,28 +35,21 @@ BLOCKED_WORDS = ["adult", "bet", "betting", "casino", "escort", "gambling", "jac
 
 
 class Digests:
-    """Sorted digests of strings with the strings themselves and one number each, in three files."""
+    """Sorted digests of strings, with the strings themselves and one number each, in one memory-mapped file."""
 
-    def __init__(self, folder: str, name: str):
-        self.digests = np.load(f"{folder}/{name}.digests.npy", mmap_mode="r")
-        self.bounds = np.load(f"{folder}/{name}.bounds.npy", mmap_mode="r")
-        self.bytes = np.load(f"{folder}/{name}.bytes.npy", mmap_mode="r")
-        self.numbers = np.load(f"{folder}/{name}.numbers.npy", mmap_mode="r")
+    def __init__(self, path: str):
+        whole = np.memmap(path, np.uint8, mode="r")
+        n = int(whole[:8].view(np.int64)[0])
+        self.digests = whole[8 : 8 + 8 * n].view(np.uint64)
+        self.numbers = whole[8 + 8 * n : 8 + 16 * n].view(np.int64)
+        self.bounds = whole[8 + 16 * n : 16 + 24 * n].view(np.int64)
+        self.bytes = whole[16 + 24 * n :]
 
     @staticmethod
-    def files(name: str) -> list[str]:
-        return [f"{name}.{part}.npy" for part in ("digests", "bounds", "bytes", "numbers")]
-
-    @staticmethod
-    def write(folder: str, name: str, entries: dict[bytes, int], digest=xxhash.xxh64_intdigest) -> None:
+    def packed(entries: dict[bytes, int], digest=xxhash.xxh64_intdigest) -> bytes:
         keys = sorted(entries, key=lambda k: (digest(k), k))
-        for part, values in {
-            "digests": np.array([digest(k) for k in keys], np.uint64),
-            "bounds": np.cumsum([0, *map(len, keys)], dtype=np.int64),
-            "bytes": np.frombuffer(b"".join(keys), np.uint8),
-            "numbers": np.array([entries[k] for k in keys], np.int64),
-        }.items():
-            np.save(f"{folder}/{name}.{part}.npy", values)
+        parts = [np.array([len(keys)], np.int64), np.array([digest(k) for k in keys], np.uint64), np.array([entries[k] for k in keys], np.int64)]
+        return b"".join([*[p.tobytes() for p in parts], np.cumsum([0, *map(len, keys)], dtype=np.int64).tobytes(), *keys])
 
     def probe(self, keys: list[bytes], digest=xxhash.xxh64_intdigest) -> np.ndarray:
         """The number of each key, -1 where it is not in the list."""
@@ -104,30 +95,40 @@ def judge_batch(hosts: list[str], paths: list[str], rules: Digests, words: Diges
     return rule, [best[i][2] if i in best else "block" if i in bad else "allow" for i in range(len(hosts))]
 
 
+def shipped(spark: SparkSession, content: bytes) -> str:
+    """Name of a file with this content that Spark sends to every executor, later ones included.
+
+    The original stays in the folder that Spark keeps for such files on the driver, until the session ends.
+    """
+    name = f"digests-{xxhash.xxh128_hexdigest(content)}"
+    root = SparkFiles.getRootDirectory()
+    if not os.path.exists(os.path.join(root, name)):
+        os.makedirs(os.path.join(root, "originals"), exist_ok=True)
+        with open(path := os.path.join(root, "originals", name), "wb") as file:
+            file.write(content)
+        spark.sparkContext.addFile(path)
+    return name
+
+
 def filtered(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str]] = RULES, blocked_words: list[str] = BLOCKED_WORDS) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of ``pages`` (page_id, url)."""
-    name, verdicts = f"urls-{uuid.uuid4().hex[:12]}", ["allow", "block"]
+    verdicts = ["allow", "block"]
     entries: dict[bytes, int] = {}
     for text, verdict in rules:
         host, _, path = text.partition("/")
         key = f"{host.translate(LOWER)}/{path}".encode()
         entries[key] = max(entries.get(key, 0), verdicts.index(verdict))
-    # The files only pass through this folder: addFile copies them to the driver's file store at once.
-    with tempfile.TemporaryDirectory() as folder:
-        Digests.write(folder, f"{name}-rules", entries)
-        Digests.write(folder, f"{name}-words", {w.encode(): 1 for w in blocked_words})
-        for kind in ("rules", "words"):
-            for file in Digests.files(f"{name}-{kind}"):
-                spark.sparkContext.addFile(os.path.join(folder, file))
+    rule_file = shipped(spark, Digests.packed(entries))
+    word_file = shipped(spark, Digests.packed({w.encode(): 1 for w in blocked_words}))
     lengths = sorted({len(k.decode()) - k.decode().index("/") for k in entries})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(name)
-        if not cache:
-            root = SparkFiles.getRootDirectory()
-            cache.update(rules=Digests(root, f"{name}-rules"), words=Digests(root, f"{name}-words"))
+        cache = worker_cache("digests")
+        for file in (rule_file, word_file):
+            if file not in cache:
+                cache[file] = Digests(SparkFiles.get(file))
         for batch in batches:
-            rule, verdict = judge_batch(batch.column("host").to_pylist(), batch.column("path").to_pylist(), cache["rules"], cache["words"], lengths, verdicts)
+            rule, verdict = judge_batch(batch.column("host").to_pylist(), batch.column("path").to_pylist(), cache[rule_file], cache[word_file], lengths, verdicts)
             yield batch.append_column("rule", pa.array(rule, pa.string())).append_column("verdict", pa.array(verdict, pa.string()))
 
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
