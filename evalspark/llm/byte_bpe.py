@@ -7,7 +7,9 @@ the merged token of a pair of tokens, in buckets by a hash of the pair, so that
 numbers whatever the vocabulary's size. The ids then go back to the slice's documents. One stage, no shuffle, memory of one
 slice.
 
-Pieces above ``LONG`` bytes (a fold copies its array at each merge) are merged by a heap with the same ranks.
+The fold takes pieces that occur ``FREQUENT`` times in a slice, which are most of all occurrences. Rarer pieces, each of which would
+cost about ten times as much by an interpreted fold, and those above ``LONG`` bytes go through the same ranked
+merges in the task that gathers the ids, once per worker. Both give the same ids for any piece.
 Decoding concatenates the tokens' bytes, looked up in a literal array.
 
 Defined cases: null text has no ids and decodes to nothing. Null ids and null lists decode to nothing; an id outside the
@@ -32,6 +34,8 @@ from evalspark.llm.bpe_words import splitter
 from evalspark.llm.common import documents, worker_cache
 
 LONG = 96
+FREQUENT = 8
+CACHED_PIECES = 1 << 20
 SLICE = 8 << 20
 BUCKETS = 1 << 16
 KEY = 1 << 40  # keys lie above, tokens below
@@ -84,8 +88,23 @@ def merged(piece: Column, table: Column, single: Column) -> Column:
     return F.aggregate(F.slice(piece, 2, F.greatest(F.size(piece) - 1, F.lit(0))), start, step)
 
 
+def merge_piece(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for one piece of bytes."""
+    if len(word) > LONG:
+        return merge_long(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        pairs = [ranks.get(a + b, KEY) for a, b in zip(parts, parts[1:])]
+        low = min(pairs)
+        if low == KEY:
+            break
+        at = pairs.index(low)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one long piece: a heap of pairs over a linked list."""
+    """For long pieces: a heap of pairs over a linked list."""
     ends = list(range(1, len(word) + 1))
     after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
     alive = [True] * len(word)
@@ -111,25 +130,32 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(len(word)) if alive[i]]
 
 
-def gather_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per slice: document ids, words per document, word numbers, and the distinct words' bytes."""
-    split = splitter()
-    for batch in ts.slices(batches, "text", SLICE):
-        number: dict[str, int] = {}
-        index, count = [], []
-        for text in batch.column("text").fill_null("").to_pylist():
-            words = split(text)
-            index.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-            count.append(len(words))
-        coded = [w.encode() for w in number]
-        row = {
-            "ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-            "counts": pa.array([count], pa.list_(pa.int32())),
-            "index": pa.array([np.concatenate(index)], pa.list_(pa.int32())),
-            "words": pa.array([[None if len(w) > LONG else list(w) for w in coded]], pa.list_(pa.list_(pa.int32()))),
-            "long": pa.array([[w for w in coded if len(w) > LONG]], pa.list_(pa.binary())),
-        }
-        yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+def gather_words(frequent: int):
+    """One row per slice: document ids, pieces per document, piece numbers, the frequent pieces' bytes, the rare pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter()
+        for batch in ts.slices(batches, "text", SLICE):
+            number: dict[str, int] = {}
+            index, count = [], []
+            for text in batch.column("text").fill_null("").to_pylist():
+                words = split(text)
+                index.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                count.append(len(words))
+            index = np.concatenate(index)
+            often = np.bincount(index, minlength=len(number)) >= frequent
+            coded = [w.encode() for w in number]
+            folded = [o and len(w) <= LONG for o, w in zip(often.tolist(), coded)]
+            row = {
+                "ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                "counts": pa.array([count], pa.list_(pa.int32())),
+                "index": pa.array([index], pa.list_(pa.int32())),
+                "words": pa.array([[list(w) if f else None for w, f in zip(coded, folded)]], pa.list_(pa.list_(pa.int32()))),
+                "rare": pa.array([[w for w, f in zip(coded, folded) if not f]], pa.list_(pa.binary())),
+            }
+            yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+
+    return run
 
 
 def spread(path: str):
@@ -143,13 +169,16 @@ def spread(path: str):
                 ids, edges = coded.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(coded), 0).to_numpy(zero_copy_only=False))])
                 pieces = np.empty(len(coded), object)
                 pieces[:] = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                long = row.column("long").flatten().to_pylist()
-                if long:
-                    ranks = worker_cache(f"ranks {path}")
-                    if not ranks:
-                        ranks.update(read_ranks(path))
-                    for place, word in zip(np.flatnonzero(~coded.is_valid().to_numpy(zero_copy_only=False)), long):
-                        pieces[place] = np.array(merge_long(word, ranks), np.int32)
+                known = worker_cache(f"pieces {path}")
+                ranks = worker_cache(f"ranks {path}")
+                if not ranks:
+                    ranks.update(read_ranks(path))
+                if len(known) > CACHED_PIECES:
+                    known.clear()
+                for place, word in zip(np.flatnonzero(~coded.is_valid().to_numpy(zero_copy_only=False)), row.column("rare").flatten().to_pylist()):
+                    if word not in known:
+                        known[word] = np.array(merge_piece(word, ranks), np.int32)
+                    pieces[place] = known[word]
                 chosen = pieces[index.to_numpy()]
                 bounds = np.concatenate([[0], np.cumsum(counts.to_numpy())])
                 size = np.array([len(p) for p in pieces], np.int64)[index.to_numpy()]
@@ -161,13 +190,13 @@ def spread(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id and ids (array of int) of every row, by the ranks in ``path``."""
     ranks = read_ranks(path)
     table, single = literal_array(pair_table(ranks), "array<array<long>>"), literal_array([ranks[bytes([b])] for b in range(256)], "array<long>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = rows.mapInArrow(gather_words, "ids array<long>, counts array<int>, index array<int>, words array<array<int>>, long array<binary>")
-    coded = words.select("ids", "counts", "index", "long", F.transform("words", lambda w: merged(w, table, single)).alias("coded"))
+    words = rows.mapInArrow(gather_words(frequent), "ids array<long>, counts array<int>, index array<int>, words array<array<int>>, rare array<binary>")
+    coded = words.select("ids", "counts", "index", "rare", F.transform("words", lambda w: merged(w, table, single)).alias("coded"))
     return coded.mapInArrow(spread(path), "doc_id long, ids array<int>")
 
 
