@@ -6,8 +6,9 @@
    fills; each coordinate keeps its smallest (round, hash). A set ends after the round that fills its last bin.
 2. Equal sets are one class with its smallest doc_id as representative; only classes go on.
 3. ``BANDS`` bands of ``BINS / BANDS`` coordinates. At Jaccard 0.8 a pair misses all 32 bands of 4 with probability
-   5e-8. Each bucket's smallest member is compared with all others (a star: rows grow with the bucket, not its
-   square), on whole sets rebuilt from the texts.
+   5e-8. One member of each bucket, its centre, is compared with all others (a star: rows grow with the bucket, not
+   its square), on whole sets rebuilt from the texts. Buckets pick centres by ``ORDERS`` different hash orders, so that the
+   members of a large group, which meet in many buckets, meet several centres.
 4. Links give components. Buckets that still hold several components get the exact rest: every member
    outside the bucket's largest component is compared with all members of other components, where the
    set sizes allow the similarity. Nothing is capped.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm import textscan as ts
@@ -34,7 +35,8 @@ from evalspark.llm.graph import components
 BINS, BANDS = 128, 32
 NO_ID = -(1 << 63)
 PARTNERS_PER_TASK = 500
-SKETCH_SCHEMA = "id long, n long, d1 long, d2 long, bands array<long>"
+ORDERS = 8
+SKETCH_SCHEMA = "id long, n long, d1 long, d2 long, bands array<long>, code array<long>"
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +98,16 @@ def scan(words: int, bins: int, bands: int):
                 np.cumsum(ts.mix(items ^ np.uint64(seed)), out=total[1:])
                 digest.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
             sketch = sketches(items, bounds, bins).reshape(len(size), bands, bins // bands)
+            # Four bits of each coordinate, sixteen coordinates a number: enough to count those that differ.
+            bits = (sketch.reshape(len(size), -1, 16) & np.uint64(15)) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
+            code = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * code.shape[1]), pa.array(code.reshape(-1)))
             key = np.full((len(size), bands), 0x51ED270B, np.uint64) + np.arange(bands, dtype=np.uint64)
             for j in range(bins // bands):
                 key = ts.mix(key * ts.BASE + sketch[:, :, j])
             flat = pa.array(key.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), lists], names=["id", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), lists, codes], names=["id", "n", "d1", "d2", "bands", "code"])
 
     return run
 
@@ -139,17 +145,36 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own")).mapInArrow(verify(words, percent), "a long, b long")
 
 
-def rest_pairs(buckets: DataFrame, component: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def differing(a: Column, b: Column, numbers: int) -> Column:
+    """Coordinates in which two packed sketches differ."""
+    total = F.lit(0)
+    for i in range(numbers):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
+def most_differing(bins: int, percent: int) -> int:
+    """Differing coordinates that a pair at the similarity exceeds with a chance of about 1e-6 (five deviations)."""
+    share = (1 - percent / 100) * 15 / 16
+    return round(bins * share + 5 * (bins * share * (1 - share)) ** 0.5)
+
+
+def rest_pairs(buckets: DataFrame, component: DataFrame, sizes: DataFrame, percent: int, bins: int) -> DataFrame:
     """Pairs of one bucket but different components that may still link.
 
-    Both sides of the join carry the bucket; the left one holds only members outside the bucket's largest component.
+    Both sides of the join carry the bucket; the left one holds only members outside the bucket's largest component. Pairs
+    whose sketches differ more than the similarity allows (the sketch's concentration bound) are not tried.
     """
-    member = buckets.join(component, "id", "left").join(sizes, "id").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    member = buckets.join(component, "id", "left").join(sizes, "id").select("bucket", "id", "n", "code", F.coalesce("component", "id").alias("component"))
     share = member.groupBy("bucket", "component").agg(F.count("*").alias("members"))
     main = share.groupBy("bucket").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = member.join(main, "bucket")
-    left = mixed.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    left = mixed.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("code").alias("codex"), F.col("component").alias("cx"))
     near = (F.col("cx") != F.col("component")) & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n"))
+    near &= differing(F.col("codex"), F.col("code"), bins // 16) <= most_differing(bins, percent)
     return left.join(mixed, "bucket").where(near).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
@@ -160,15 +185,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     filled = scanned.where("n > 0")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     # A representative stands for one class; where rows repeat an id with other texts, its classes become linked.
-    reps = stored(filled.join(classes, ["n", "d1", "d2"]).where("id = rep").dropDuplicates(["id", "n", "d1", "d2"]).select("id", "n", "bands"), "classes")
+    reps = stored(filled.join(classes, ["n", "d1", "d2"]).where("id = rep").dropDuplicates(["id", "n", "d1", "d2"]).select("id", "n", "bands", "code"), "classes")
     keys = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
+    shared = keys.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.pmod("bucket", F.lit(ORDERS)))).alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
     buckets = stored(keys.join(shared, "bucket"), "buckets")
     texts = stored(rows.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "candidates")
     star = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(linked(star, texts, words, percent), "links")
     component = components(links)
-    more = stored(rest_pairs(buckets.select("bucket", "id"), component, reps.groupBy("id").agg(F.max("n").alias("n")), percent), "rest")
+    more = stored(rest_pairs(buckets.select("bucket", "id"), component, reps.select("id", "n", "code"), percent, bins), "rest")
     if not more.isEmpty():
         links = links.union(stored(linked(more, texts, words, percent), "links"))
         component = components(links)
