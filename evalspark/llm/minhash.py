@@ -36,6 +36,7 @@ BINS, BANDS = 128, 32
 NO_ID = -(1 << 63)
 PARTNERS_PER_TASK = 500
 ORDERS = 8
+PARITY_BITS = 2048
 SKETCH_SCHEMA = "id long, n long, d1 long, d2 long, bands array<long>, code array<long>"
 
 
@@ -98,10 +99,11 @@ def scan(words: int, bins: int, bands: int):
                 np.cumsum(ts.mix(items ^ np.uint64(seed)), out=total[1:])
                 digest.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
             sketch = sketches(items, bounds, bins).reshape(len(size), bands, bins // bands)
-            # Four bits of each coordinate, sixteen coordinates a number: enough to count those that differ.
-            bits = (sketch.reshape(len(size), -1, 16) & np.uint64(15)) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
-            code = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * code.shape[1]), pa.array(code.reshape(-1)))
+            # Parity of the shingles in each of PARITY_BITS hashed places.
+            spot = (ts.mix(items ^ np.uint64(0x2D358DCCAA6C78A5)) % np.uint64(PARITY_BITS)).astype(np.int64)
+            parity = np.zeros((len(size), PARITY_BITS // 64), np.uint64)
+            np.bitwise_xor.at(parity, (np.repeat(np.arange(len(size)), size), spot >> 6), np.uint64(1) << (spot & 63).astype(np.uint64))
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * parity.shape[1]), pa.array(parity.view(np.int64).reshape(-1)))
             key = np.full((len(size), bands), 0x51ED270B, np.uint64) + np.arange(bands, dtype=np.uint64)
             for j in range(bins // bands):
                 key = ts.mix(key * ts.BASE + sketch[:, :, j])
@@ -145,28 +147,16 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own")).mapInArrow(verify(words, percent), "a long, b long")
 
 
-def differing(a: Column, b: Column, numbers: int) -> Column:
-    """Coordinates in which two packed sketches differ."""
-    total = F.lit(0)
-    for i in range(numbers):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
+def least_difference(a: Column, b: Column) -> Column:
+    """How many shingles are in one of two sets only, at least: each changes the parity of one place."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
 
 
-def most_differing(bins: int, percent: int) -> int:
-    """Differing coordinates that a pair at the similarity exceeds with a chance of about 1e-6 (five deviations)."""
-    share = (1 - percent / 100) * 15 / 16
-    return round(bins * share + 5 * (bins * share * (1 - share)) ** 0.5)
-
-
-def rest_pairs(buckets: DataFrame, component: DataFrame, sizes: DataFrame, percent: int, bins: int) -> DataFrame:
+def rest_pairs(buckets: DataFrame, component: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket but different components that may still link.
 
     Both sides of the join carry the bucket; the left one holds only members outside the bucket's largest component. Pairs
-    whose sketches differ more than the similarity allows (the sketch's concentration bound) are not tried.
+    whose parities prove that the sets differ too much are not tried; this loses none.
     """
     member = buckets.join(component, "id", "left").join(sizes, "id").select("bucket", "id", "n", "code", F.coalesce("component", "id").alias("component"))
     share = member.groupBy("bucket", "component").agg(F.count("*").alias("members"))
@@ -174,7 +164,7 @@ def rest_pairs(buckets: DataFrame, component: DataFrame, sizes: DataFrame, perce
     mixed = member.join(main, "bucket")
     left = mixed.where("component <> main").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("code").alias("codex"), F.col("component").alias("cx"))
     near = (F.col("cx") != F.col("component")) & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n"))
-    near &= differing(F.col("codex"), F.col("code"), bins // 16) <= most_differing(bins, percent)
+    near &= (100 + percent) * least_difference(F.col("codex"), F.col("code")) <= (100 - percent) * (F.col("nx") + F.col("n"))
     return left.join(mixed, "bucket").where(near).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
@@ -193,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     star = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(linked(star, texts, words, percent), "links")
     component = components(links)
-    more = stored(rest_pairs(buckets.select("bucket", "id"), component, reps.select("id", "n", "code"), percent, bins), "rest")
+    more = stored(rest_pairs(buckets.select("bucket", "id"), component, reps.select("id", "n", "code"), percent), "rest")
     if not more.isEmpty():
         links = links.union(stored(linked(more, texts, words, percent), "links"))
         component = components(links)
