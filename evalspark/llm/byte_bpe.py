@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,15 +93,19 @@ def merge_piece(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for one piece of bytes."""
     if len(word) > LONG:
         return merge_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        pairs = [ranks.get(a + b, KEY) for a, b in zip(parts, parts[1:])]
+    edges = list(range(len(word) + 1))
+    pairs = [ranks.get(word[i : i + 2], KEY) for i in range(len(word) - 1)]
+    while pairs:
         low = min(pairs)
         if low == KEY:
             break
         at = pairs.index(low)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+        del edges[at + 1], pairs[at]
+        if at < len(pairs):
+            pairs[at] = ranks.get(word[edges[at] : edges[at + 2]], KEY)
+        if at:
+            pairs[at - 1] = ranks.get(word[edges[at - 1] : edges[at + 1]], KEY)
+    return [ranks[word[a:b]] for a, b in zip(edges, edges[1:])]
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -166,24 +171,29 @@ def spread(path: str):
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
                 coded, counts, index = (row.column(c).flatten() for c in ("coded", "counts", "index"))
-                ids, edges = coded.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(coded), 0).to_numpy(zero_copy_only=False))])
-                pieces = np.empty(len(coded), object)
-                pieces[:] = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                known = worker_cache(f"pieces {path}")
-                ranks = worker_cache(f"ranks {path}")
+                coded, counts, index = (row.column(c).flatten() for c in ("coded", "counts", "index"))
+                known, ranks = worker_cache(f"pieces {path}"), worker_cache(f"ranks {path}")
                 if not ranks:
                     ranks.update(read_ranks(path))
                 if len(known) > CACHED_PIECES:
                     known.clear()
-                for place, word in zip(np.flatnonzero(~coded.is_valid().to_numpy(zero_copy_only=False)), row.column("rare").flatten().to_pylist()):
-                    if word not in known:
-                        known[word] = np.array(merge_piece(word, ranks), np.int32)
-                    pieces[place] = known[word]
-                chosen = pieces[index.to_numpy()]
+                rare = []
+                for piece in row.column("rare").flatten().to_pylist():
+                    ids = known.get(piece)
+                    if ids is None:
+                        ids = known[piece] = array("i", merge_piece(piece, ranks)).tobytes()
+                    rare.append(ids)
+                # All pieces' ids one behind the other: the folded ones, then the rare ones.
+                size = pc.fill_null(pc.list_value_length(coded), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                start = np.cumsum(size) - size
+                alone = np.flatnonzero(~coded.is_valid().to_numpy(zero_copy_only=False))
+                length = np.fromiter(map(len, rare), np.int64, len(rare)) // 4
+                start[alone], size[alone] = size.sum() + np.cumsum(length) - length, length
+                ids = np.concatenate([coded.flatten().to_numpy().astype(np.int32), np.frombuffer(b"".join(rare), np.int32)])
+                index = index.to_numpy()
+                total = np.concatenate([[0], np.cumsum(size[index])])
+                flat = ids[np.arange(total[-1]) + np.repeat(start[index] - total[:-1], size[index])]
                 bounds = np.concatenate([[0], np.cumsum(counts.to_numpy())])
-                size = np.array([len(p) for p in pieces], np.int64)[index.to_numpy()]
-                total = np.concatenate([[0], np.cumsum(size)])
-                flat = np.concatenate(chosen) if len(chosen) else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), lists], names=["doc_id", "ids"])
 

@@ -10,8 +10,8 @@
 4. Links are the pairs whose cosine, in double precision, reaches the bound. Components follow from the links.
 
 ``recall`` audits a sample of vectors against all others. Defined cases: vectors that are null, empty, zero or hold null or
-non-finite components link with nothing. Vectors of different lengths never link. Repeated rows (same vec_id) count as
-vectors of their own. Null vec_ids take part under -2^63 and come back as null.
+non-finite components link with nothing. Vectors of different lengths never link. Equal rows count as
+vectors of their own; rows that repeat a vec_id with other vectors share its links. Null vec_ids take part under -2^63 and come back as null.
 """
 
 from __future__ import annotations
