@@ -152,12 +152,15 @@ def erase(
 ) -> dict[str, DataFrame]:
     """Removes users: events stay without user and session, everything else of theirs goes.
 
+    Events of any user forget the collections that go.
+
     ``tables`` holds users, collections, links, api_keys and events; ``leaving`` has user_id.
     """
     gone = leaving.select("user_id").distinct()
     theirs = tables["collections"].join(gone, "user_id", "left_semi")
     lost = theirs.select(F.col("id").alias("collection_id"))
     events = tables["events"].join(gone.withColumn("_gone", F.lit(True)), "user_id", "left")
+    events = events.join(lost.withColumn("_lost", F.lit(True)), "collection_id", "left")
     stays = F.col("_gone").isNull()
     return {
         "users": tables["users"].join(gone, F.col("id") == F.col("user_id"), "left_anti"),
@@ -166,7 +169,8 @@ def erase(
         "api_keys": tables["api_keys"].join(gone, "user_id", "left_anti"),
         "events": events.withColumn("user_id", F.when(stays, F.col("user_id")))
         .withColumn("session_id", F.when(stays, F.col("session_id")))
-        .drop("_gone"),
+        .withColumn("collection_id", F.when(F.col("_lost").isNull(), F.col("collection_id")))
+        .drop("_gone", "_lost"),
     }
 
 

@@ -252,7 +252,7 @@ def cascade_delete(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Deletes datasets: their examples and links go, events stay with the ids set to NULL.
 
-    ``deleted`` lists the values of ``key``, the dataset column of ``examples``.
+    ``deleted`` lists the values of ``key``, the dataset column of ``examples``, beside dataset_id.
     """
     gone = deleted.select(key).distinct()
     kept = examples.join(gone, key, "left_anti")
@@ -264,4 +264,10 @@ def cascade_delete(
         .withColumn("example_id", F.when(F.col("_gone").isNull(), F.col("example_id")))
         .drop("_gone")
     )
+    datasets = deleted.select("dataset_id", F.lit(True).alias("_gone")).distinct()
+    events = (
+        events.join(datasets, "dataset_id", "left")
+        .withColumn("dataset_id", F.when(F.col("_gone").isNull(), F.col("dataset_id")))
+        .drop("_gone")
+    )
     return kept, links, events

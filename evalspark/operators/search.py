@@ -197,7 +197,7 @@ def keyword_lists(
     answers: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``k`` hits by id of every request, ranked from 1."""
-    schemas.check_page(k, top=schemas.MAX_FETCH)
+    schemas.check_page(k, top=None)
     matched = match_requests(examples, datasets, requests, answers)
     no_score = F.lit(None).cast("double")
     if answers is None:

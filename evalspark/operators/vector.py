@@ -148,7 +148,7 @@ def nearest(
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    schemas.check_page(k, top=schemas.MAX_FETCH)
+    schemas.check_page(k, top=None)
     requests = [r for r in resolve_vectors(vectors, requests) if r.vector is not None]
     if not requests:
         return vectors.sparkSession.createDataFrame([], f"{HIT_SCHEMA}, rank long")

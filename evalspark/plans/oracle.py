@@ -93,6 +93,7 @@ VIEWS: dict[str, str] = {
             || strftime(ts, '%Y-%m-%d') AS session_id,
           user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS example_id,
           user_id AS collection_id,
+          CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS dataset_id,
           CASE WHEN event_type = 'click' THEN 'k' || json_extract_string(props, '$.k') END AS query,
           ts AS created_at
         FROM events""",
@@ -343,7 +344,9 @@ SQL["cascade_delete"] = """
     UNION ALL SELECT 'links', count(*), CAST(sum(example_id) AS BIGINT)
     FROM v_links WHERE example_id NOT IN (SELECT id FROM gone)
     UNION ALL SELECT 'events', count(*), CAST(sum(CASE WHEN example_id NOT IN (SELECT id FROM gone)
-      THEN example_id END) AS BIGINT) FROM v_events"""
+      THEN example_id END) AS BIGINT) FROM v_events
+    UNION ALL SELECT 'event_datasets', count(dataset_id), CAST(sum(dataset_id) AS BIGINT)
+    FROM v_events WHERE dataset_id NOT IN (SELECT CAST(regexp_extract(dataset, '[0-9]+$') AS BIGINT) FROM v_catalog WHERE right(dataset, 1) = '3')"""
 SQL["vector_upsert"] = """
     WITH rows AS (
       SELECT collection, example_id, 0 AS batch, vector[1] AS first FROM v_vectors
@@ -635,6 +638,17 @@ SQL["hybrid_fallback"] = _payload(
       FROM ({_keyword([type(REQUESTS[0])("q4", "er")], 20)})""",
     "r.query_id, r.rank, r.mode, round(r.score, 9) AS score",
 )
+SQL["hybrid_deep_page"] = _payload(
+    f"SELECT * FROM ({_fused(REQUESTS, 320)}) WHERE rank BETWEEN 251 AND 270",
+    "r.query_id, r.rank, round(r.score, 9) AS score, r.total",
+)
+SQL["fallback_deep_page"] = _payload(
+    f"""SELECT query_id, id, rank, score, src, 'hybrid' AS mode FROM ({_fused(REQUESTS[:3], 320)})
+      WHERE rank BETWEEN 251 AND 270
+      UNION ALL SELECT query_id, id, rank, NULL, 0, 'keyword'
+      FROM ({_keyword([type(REQUESTS[0])("q4", "er")], 270)}) WHERE rank > 250""",
+    "r.query_id, r.rank, r.mode, round(r.score, 9) AS score",
+)
 _PARSED = [
     type(REQUESTS[0])("q0", "the ", vec_id=3, collection="emb_0", subject="en"),
     type(REQUESTS[0])("q1", "ion", vec_id=17, collection="emb_1", dataset_name="src3"),

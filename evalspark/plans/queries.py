@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,6 +183,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     brands = v.catalog().select("dataset").distinct()
     deleted = brands.where(F.substring("dataset", -1, 1) == "3")
+    deleted = deleted.withColumn("dataset_id", F.regexp_extract("dataset", r"(\d+)$", 1).cast("long"))
     kept, links, events = catalog.cascade_delete(
         v.catalog(), v.collection_examples(), v.curation_events(), deleted, "dataset"
     )
@@ -195,8 +197,11 @@ def _(v: Views) -> DataFrame:
         events.agg(F.count("*").alias("n"), F.sum("example_id").alias("checksum")).withColumn(
             "table_name", F.lit("events")
         ),
+        events.agg(F.count("dataset_id").alias("n"), F.sum("dataset_id").alias("checksum")).withColumn(
+            "table_name", F.lit("event_datasets")
+        ),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("vector_upsert")
@@ -559,6 +564,18 @@ def _(v: Views) -> DataFrame:
     return _flat(rows.withColumn("score", F.round("score", 9)), "query_id", "rank", "mode", "score")
 
 
+@query("hybrid_deep_page")
+def _(v: Views) -> DataFrame:
+    rows = plans.hybrid_search(corpus(v), REQUESTS, limit=20, offset=250)
+    return _flat(rows.withColumn("score", F.round("score", 9)), "query_id", "rank", "score", "total")
+
+
+@query("fallback_deep_page")
+def _(v: Views) -> DataFrame:
+    rows = plans.hybrid_with_fallback(corpus(v), MIXED_REQUESTS, limit=20, offset=250)
+    return _flat(rows.withColumn("score", F.round("score", 9)), "query_id", "rank", "mode", "score")
+
+
 def supplied_ranks(v: Views, requests: list[SearchRequest]) -> DataFrame:
     """A ranking for each request: every example answered 1, high ids first, found or not."""
     ranked = v.answers().where("answer = '1'").select("id", (-F.col("id")).alias("position"))

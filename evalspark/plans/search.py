@@ -18,8 +18,9 @@ HYBRID_EXTRA = 50
 RANKED_EXTRA = 30
 
 
-def fetch_cap(limit: int, offset: int, extra: int) -> int:
-    return min(limit + offset + extra, schemas.MAX_FETCH)
+def fetch_size(limit: int, offset: int, extra: int) -> int:
+    """Rows each branch reads ahead; it grows with the page, so that no page is cut short."""
+    return limit + offset + extra
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def _weight(requests: list[SearchRequest], field: str) -> Column:
 def fused_lists(
     corpus: Corpus, requests: list[SearchRequest], fetch: int, strict_filters: bool = False
 ) -> DataFrame:
-    """Both branches at the fetch cap, fused per request.
+    """Both branches at the fetch size, fused per request.
 
     The vector branch only knows the subject filter; ``strict_filters`` makes it honour the dataset
     and task type too.
@@ -67,7 +68,7 @@ def fused_lists(
 
 
 def _totalled(rows: DataFrame) -> DataFrame:
-    """Adds the list length; a list holds at most two fetch caps per request."""
+    """Adds the list length; both branches read ahead by the fetch size."""
     return rows.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
 
 
@@ -81,7 +82,7 @@ def hybrid_search(
 ) -> DataFrame:
     """One page of fused hits per request, with ``rank`` and the fused ``total``."""
     schemas.check_page(limit, offset, max_limit)
-    fused = fused_lists(corpus, requests, fetch_cap(limit, offset, HYBRID_EXTRA), strict_filters)
+    fused = fused_lists(corpus, requests, fetch_size(limit, offset, HYBRID_EXTRA), strict_filters)
     return _totalled(fused).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
@@ -104,8 +105,7 @@ def hybrid_with_fallback(
         found = hybrid_search(corpus, able, limit, offset, max_limit=max_limit)
         parts.append(found.select(*columns, F.lit("hybrid").alias("mode")))
     if rest:
-        fetch = min(limit + offset, schemas.MAX_FETCH)
-        found = corpus.keyword_lists(rest, fetch)
+        found = corpus.keyword_lists(rest, limit + offset)
         found = found.where(F.col("rank") > offset)
         parts.append(found.select(*columns, F.lit("keyword").alias("mode")))
     return reduce(DataFrame.unionByName, parts)
@@ -120,8 +120,8 @@ def assisted_search(
 ) -> DataFrame:
     """Hybrid over already parsed requests, reordered by a supplied ranking, then paged."""
     schemas.check_page(limit, offset)
-    fetch = fetch_cap(limit, offset, RANKED_EXTRA)
-    found = hybrid_with_fallback(corpus, requests, fetch, max_limit=schemas.MAX_FETCH)
+    fetch = fetch_size(limit, offset, RANKED_EXTRA)
+    found = hybrid_with_fallback(corpus, requests, fetch, max_limit=fetch)
     ordered = _totalled(fusion.apply_ranking(found, ranks))
     return ordered.where((F.col("final_rank") > offset) & (F.col("final_rank") <= offset + limit))
 
@@ -175,7 +175,7 @@ def run_passes(corpus: Corpus, passes: list[Pass], limit: int = 20) -> DataFrame
     """All rows of all passes with ``pass_no``; unknown tools run as hybrid."""
     if not 1 <= len(passes) <= schemas.MAX_PASSES:
         raise ValueError(f"1..{schemas.MAX_PASSES} passes")
-    fetch = min(limit + RANKED_EXTRA, schemas.MAX_FETCH)
+    fetch = limit + RANKED_EXTRA
     parts = []
     for number, step in enumerate(passes):
         request = [step.request]
@@ -186,7 +186,7 @@ def run_passes(corpus: Corpus, passes: list[Pass], limit: int = 20) -> DataFrame
                 corpus.vectors, corpus.payload, request, fetch, subject=step.request.subject
             )
         else:
-            found = hybrid_with_fallback(corpus, request, fetch, max_limit=schemas.MAX_FETCH)
+            found = hybrid_with_fallback(corpus, request, fetch, max_limit=fetch)
         parts.append(
             found.select(*RESULT_COLUMNS, "rank").withColumn("pass_no", F.lit(number))
         )

@@ -103,7 +103,6 @@ API_KEYS = T.StructType(
 # The ranges a request may carry.
 MAX_QUERY_CHARS = 500
 MAX_PAGE = 100
-MAX_FETCH = 200
 MAX_BATCH = 64
 MAX_BULK_IDS = 1000
 MAX_ANALYTICS_LIMIT = 200
@@ -121,9 +120,9 @@ def check_query(text: str) -> str:
     return text
 
 
-def check_page(limit: int, offset: int = 0, top: int = MAX_PAGE) -> None:
-    if not 1 <= limit <= top:
-        raise ValueError(f"limit must be 1..{top}")
+def check_page(limit: int, offset: int = 0, top: int | None = MAX_PAGE) -> None:
+    if limit < 1 or top is not None and limit > top:
+        raise ValueError(f"limit must be 1..{top or 'any'}")
     if offset < 0:
         raise ValueError("offset must be >= 0")
 

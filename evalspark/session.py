@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Of a repeated key in a model's JSON answer the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 PARTITIONS = "spark.sql.shuffle.partitions"
 DEFAULT_PARTITIONS = "200"

@@ -151,10 +151,10 @@ def test_erasure(rows):
         "collections": rows("id long, user_id long", (5, 1), (6, 2)),
         "links": rows(LINKS, (5, 1), (6, 1)),
         "api_keys": rows("id long, user_id long", (1, 1)),
-        "events": rows("id long, user_id long, session_id string", (1, 1, "s"), (2, 2, "t")),
+        "events": rows("id long, user_id long, session_id string, collection_id long", (1, 1, "s", 6), (2, 2, "t", 5), (3, 2, "t", 6)),
     }
     out = accounts.erase(tables, rows("user_id long", (1,)))
     assert [r["id"] for r in out["users"].collect()] == [2] and pairs(out["links"]) == [(6, 1)]
     assert out["api_keys"].count() == 0 and [r["id"] for r in out["collections"].collect()] == [6]
-    kept = sorted((r["id"], r["user_id"], r["session_id"]) for r in out["events"].collect())
-    assert kept == [(1, None, None), (2, 2, "t")]
+    kept = sorted((r["id"], r["user_id"], r["session_id"], r["collection_id"]) for r in out["events"].collect())
+    assert kept == [(1, None, None, 6), (2, 2, "t", None), (3, 2, "t", 6)]
