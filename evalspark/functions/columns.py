@@ -19,10 +19,13 @@ def letter(index: Column) -> Column:
 
 
 def lettered(choices: Column) -> Column:
-    """['x', 'y'] -> ['A: x', 'B: y']; a missing text becomes empty."""
-    return F.transform(
-        choices, lambda text, i: F.concat(letter(i), F.lit(": "), F.coalesce(text, F.lit("")))
-    )
+    """['x', 'y'] -> ['A: x', 'B: y']; a missing text becomes empty, texts behind Z stay bare."""
+
+    def one(text: Column, i: Column) -> Column:
+        text = F.coalesce(text, F.lit(""))
+        return F.when(i < 26, F.concat(letter(i), F.lit(": "), text)).otherwise(text)
+
+    return F.transform(choices, one)
 
 
 def stable_id(*parts: Column) -> Column:

@@ -12,7 +12,6 @@ from evalspark.functions.columns import instant
 from evalspark.functions.tiers import UNLIMITED, effective_tier, limit_of
 from evalspark.operators.ranking import top_k_per_key
 
-NEWEST_EVENTS = 10_000
 # Fixed values of subscription changes.
 STARTING = ("subscription.created", "subscription.updated")
 ENDING = ("subscription.canceled", "subscription.revoked")
@@ -80,12 +79,12 @@ def personal_export(
     links: DataFrame,
     api_keys: DataFrame,
     events: DataFrame,
-    newest: int = NEWEST_EVENTS,
+    newest: int | None = None,
 ) -> DataFrame:
     """All data of the given users as one line per item: (user_id, section, item_id, payload).
 
     Lines instead of one nested record, so that a user of any size stays spread over tasks. Key
-    hashes never appear.
+    hashes never appear. All events are given; ``newest`` keeps that many a user where the caller sets it.
     """
 
     def lines(df: DataFrame, section: str, item: str, **payload: Column) -> DataFrame:
@@ -101,13 +100,10 @@ def personal_export(
     mine = collections.join(wanted, "user_id", "left_semi")
     content = links.join(mine.select(F.col("id").alias("collection_id"), "user_id"), "collection_id")
     keys = api_keys.join(wanted, "user_id", "left_semi")
-    log = top_k_per_key(
-        events.join(wanted, "user_id", "left_semi"),
-        ["user_id"],
-        [F.desc("created_at"), F.asc("id")],
-        newest,
-        spread=["id"],
-    )
+    log = events.join(wanted, "user_id", "left_semi")
+    if newest is not None:
+        order = [F.desc("created_at"), F.asc("id")]
+        log = top_k_per_key(log, ["user_id"], order, newest, spread=["id"])
     parts = [
         lines(
             users.withColumn("user_id", F.col("id")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from evalspark.operators.joins import dimension
 KEEP_NULLS = {"ignoreNullFields": "false"}
 CSV_COLUMNS = ["id", "dataset_id", "dataset_name", "question", "answer", "choices", "metadata"]
 CONVERT_SAMPLE = 3
+CONVERT_PIECE = 1000
 
 
 def with_names(examples: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -209,20 +211,47 @@ def write_csv(rows: DataFrame, path: str) -> None:
     )
 
 
-def convert(examples: DataFrame, function: Callable[[list[dict]], str]) -> DataFrame:
-    """A caller's converter over the examples, batch by batch; each batch yields one text value.
+def convert(
+    examples: DataFrame,
+    function: Callable[[list[dict]], str],
+    header: str | None = None,
+    footer: str | None = None,
+    piece: int = CONVERT_PIECE,
+) -> DataFrame:
+    """A caller's converter over the examples: one text per ``piece`` rows of a part, in the part's order.
 
-    The converter is tried on a few rows first and must return a non-empty text.
+    The last piece of a part may be shorter. Pieces don't depend on the size of Arrow batches. ``header`` and
+    ``footer`` stand once at the ends of every part that has rows, so a format that has them needs no single
+    part. The converter is tried on a few rows first and must return a non-empty text. Missing values are None.
     """
-    sample = [row.asDict(recursive=True) for row in examples.limit(CONVERT_SAMPLE).collect()]
+    sample = examples.limit(CONVERT_SAMPLE).toArrow().to_pylist()
     if sample:
         trial = function(sample)
         if not isinstance(trial, str) or not trial:
             raise ValueError("the converter must return a non-empty text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({"value": [function(frame.to_dict("records"))]})
-
-    return examples.mapInPandas(run, "value string")
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
+        held, opened = [], False
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                if not opened:
+                    opened = True
+                    yield header
+                part = batch.slice(at, piece - len(held))
+                held += part.to_pylist()
+                at += part.num_rows
+                if len(held) == piece:
+                    yield function(held)
+                    held = []
+        if held:
+            yield function(held)
+        if opened:
+            yield footer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text in texts(batches):
+            if text is not None:
+                yield pa.RecordBatch.from_pydict({"value": pa.array([text], pa.string())})
+
+    return examples.mapInArrow(run, "value string")

@@ -410,8 +410,7 @@ SQL["event_normalise"] = r"""
       user_id, example_id, query FROM v_events"""
 SQL["user_data_export"] = f"""
     WITH log AS (
-      SELECT e.* FROM v_events e WHERE user_id IN (SELECT id FROM v_users)
-      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) <= 10000)
+      SELECT e.* FROM v_events e WHERE user_id IN (SELECT id FROM v_users))
     SELECT id AS user_id, 'account' AS section, id AS item_id,
       '{{"email":"' || email || '","tier":"' || tier || '","trial_ends_at":'
       || coalesce('"' || {stamp("trial_ends_at")} || '"', 'null') || '}}' AS payload FROM v_users

@@ -135,7 +135,7 @@ def _hellaswag() -> dict[str, Column]:
     return {
         "question": F.col("ctx"),
         "answer": F.when(_in_range(index, 4), letter(index)).otherwise(F.lit("A")),
-        "choices": lettered(F.slice("endings", 1, MAX_LETTERS)),
+        "choices": lettered(F.col("endings")),
         "metadata": _meta(
             activity_label=F.col("activity_label"), split=F.col("split"), answer_index=index
         ),

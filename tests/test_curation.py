@@ -141,6 +141,8 @@ def test_newest_events_of_a_heavy_user(rows):
     out = accounts.personal_export(users, none, links, keys, events, newest=100).collect()
     kept = sorted(r["item_id"] for r in out if r["section"] == "event")
     assert kept == list(range(400, 500))
+    whole = accounts.personal_export(users, none, links, keys, events).where("section = 'event'")
+    assert whole.count() == 500
     assert not any("SECRET" in r["payload"] for r in out)
     assert sorted(r["section"] for r in out if r["user_id"] == 2) == ["account", "api_key", "collection", "collection_example"]
 

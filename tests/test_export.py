@@ -106,3 +106,16 @@ def test_custom_converter(rows, export):
     with pytest.raises(ValueError):
         exporting.convert(export[0].select("id"), lambda items: "")
     assert exporting.convert(export[0].where(F.lit(False)), lambda items: "").count() == 0
+
+
+def test_converter_pieces_and_ends(spark):
+    many = spark.range(25_000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("even")).coalesce(1)
+    seen = lambda items: "\n".join(f"{i['id']},{i['even']}" for i in items)
+    want = ["id,even", *(f"{i},{i if i % 2 == 0 else None}" for i in range(25_000)), "end"]
+    for batch in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            out = [r["value"] for r in exporting.convert(many, seen, "id,even", "end", piece=4_000).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(out) == 9 and "\n".join(out).split("\n") == want

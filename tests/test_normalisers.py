@@ -61,6 +61,8 @@ def test_hellaswag(spark):
     assert (got("x")["answer"], got("x")["meta"]["answer_index"]) == ("A", 0)
     assert (got("-1")["answer"], got("-1")["meta"]["answer_index"]) == ("A", -1)
     assert (got("7")["answer"], got("7")["meta"]["answer_index"]) == ("A", 7)
+    long = one(spark, "hellaswag", schema, ("c", [f"e{i}" for i in range(28)], "2", "act"), "train")["choices"]
+    assert long[25:] == ["Z: e25", "e26", "e27"]
 
 
 def test_truthfulqa(spark):
