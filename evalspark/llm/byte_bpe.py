@@ -171,7 +171,6 @@ def spread(path: str):
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
                 coded, counts, index = (row.column(c).flatten() for c in ("coded", "counts", "index"))
-                coded, counts, index = (row.column(c).flatten() for c in ("coded", "counts", "index"))
                 known, ranks = worker_cache(f"pieces {path}"), worker_cache(f"ranks {path}")
                 if not ranks:
                     ranks.update(read_ranks(path))
