@@ -21,7 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_substring_dedup": PASSAGES,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
-    "op7_html_text": html_text.query,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_line_dedup": LINES,
 }
