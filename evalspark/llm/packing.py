@@ -32,6 +32,7 @@ LENGTH = 2048
 OPEN = 32
 END = 1
 CACHED_WORDS = 1 << 20
+SLICE = 1 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -154,7 +155,7 @@ def pack_task(path: str, length: int, room: int, end: int):
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in ts.slices(batches, "text"):
+        for batch in ts.slices(batches, "text", SLICE):
             texts = batch.column("text").fill_null("").to_pylist()
             for doc_id, coded in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                 coded += mark
