@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Rows hold whole texts: without a bound in bytes, 10 000 long ones would make one Arrow batch.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # Of a repeated key in a model's JSON answer the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
