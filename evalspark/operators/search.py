@@ -158,6 +158,12 @@ def _in_dimension(requests: list[SearchRequest]) -> Column | None:
     return keep
 
 
+def _asked_of_all(requests: list[SearchRequest], field: str) -> list[str]:
+    """The values of a filter that every request sets; empty if one request leaves it open."""
+    values = {getattr(r, field) for r in requests}
+    return [] if None in values else sorted(values)
+
+
 def match_requests(
     examples: DataFrame,
     datasets: DataFrame,
@@ -171,6 +177,13 @@ def match_requests(
     texts are not shuffled; the pairs then carry ids only and ``fetch`` reads the rows.
     """
     schemas.check_batch(requests)
+    # What every request of the batch asks for is a plain filter: it reaches the scan, and on a table
+    # partitioned by dataset the dimension's filter prunes partitions.
+    if subjects := _asked_of_all(requests, "subject"):
+        examples = examples.where(metadata_text(examples, "subject").isin(subjects))
+    for field, column in (("dataset_name", "name"), ("task_type", "task_type")):
+        if wanted := _asked_of_all(requests, field):
+            datasets = datasets.where(F.col(column).isin(wanted))
     if answers is None:
         base = examples
         found = _found_by(examples, requests, ("question", "answer"))

@@ -665,22 +665,28 @@ SQL["assisted_search"] = _payload(
 )
 
 
-def _passes() -> str:
+def _passes(offset: int = 0) -> str:
     kw, sem, hyb = (p.request for p in PASSES)
+    n = 50 + offset
     return f"""
-      SELECT 0 AS pass_no, id, CAST(NULL AS DOUBLE) AS score, rank, 0 AS src FROM ({_keyword([kw], 50)})
-      UNION ALL SELECT 1, id, score, rank, 1 FROM ({_semantic([sem], 50)})
-      UNION ALL SELECT 2, id, score, rank, src FROM ({_fused([hyb], 100)}) WHERE rank <= 50"""
+      SELECT 0 AS pass_no, id, CAST(NULL AS DOUBLE) AS score, rank, 0 AS src FROM ({_keyword([kw], n)})
+      UNION ALL SELECT 1, id, score, rank, 1 FROM ({_semantic([sem], n)})
+      UNION ALL SELECT 2, id, score, rank, src FROM ({_fused([hyb], n + 50)}) WHERE rank <= {n}"""
 
 
-SQL["multi_pass_merge"] = _payload(
-    f"""SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, pass_no, rank) AS position,
+def _merged_passes(limit: int, offset: int = 0) -> str:
+    return _payload(
+        f"""SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, pass_no, rank) AS position,
           count(*) OVER () AS total
-        FROM (SELECT * FROM ({_passes()})
+        FROM (SELECT * FROM ({_passes(offset)})
               QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass_no, rank) = 1)
-        QUALIFY position <= 20""",
-    "r.position, CAST(r.pass_no AS BIGINT) AS pass_no, round(r.score, 6) AS score, r.total",
-)
+        QUALIFY position > {offset} AND position <= {offset + limit}""",
+        "r.position, CAST(r.pass_no AS BIGINT) AS pass_no, round(r.score, 6) AS score, r.total",
+    )
+
+
+SQL["multi_pass_merge"] = _merged_passes(20)
+SQL["multi_pass_page2"] = _merged_passes(20, 20)
 SQL["pass_trace"] = f"""
     SELECT CAST(t.pass_no AS BIGINT) AS pass_no, t.tool, t.query, count(h.id) AS result_count,
       CASE WHEN count(h.id) > 0 THEN 'score=5/10 — LLM evaluation unavailable.'

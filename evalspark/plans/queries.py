@@ -593,9 +593,8 @@ def _(v: Views) -> DataFrame:
     return _flat(rows, "query_id", "final_rank", "total")
 
 
-@query("multi_pass_merge")
-def _(v: Views) -> DataFrame:
-    rows = plans.multi_pass_search(corpus(v), PASSES, limit=20)
+def merged_passes(v: Views, **page: int) -> DataFrame:
+    rows = plans.multi_pass_search(corpus(v), PASSES, **page)
     return _flat(
         rows.withColumn("score", F.round("score", 6)).withColumn(
             "pass_no", F.col("pass_no").cast("long")
@@ -604,6 +603,16 @@ def _(v: Views) -> DataFrame:
     )
 
 
+@query("multi_pass_merge")
+def _(v: Views) -> DataFrame:
+    return merged_passes(v, limit=20)
+
+
+@query("multi_pass_page2")
+def _(v: Views) -> DataFrame:
+    return merged_passes(v, limit=20, offset=20)
+
+
 @query("pass_trace")
 def _(v: Views) -> DataFrame:
     described = v.spark.createDataFrame(

@@ -171,29 +171,38 @@ class Pass:
     request: SearchRequest
 
 
-def run_passes(corpus: Corpus, passes: list[Pass], limit: int = 20) -> DataFrame:
-    """All rows of all passes with ``pass_no``; unknown tools run as hybrid."""
+def run_passes(
+    corpus: Corpus, passes: list[Pass], limit: int = 20, offset: int = 0
+) -> DataFrame:
+    """All rows of all passes with ``pass_no``; unknown tools run as hybrid.
+
+    Passes of one tool run as one batch, so the corpus is read once per tool, not once per pass.
+    """
     if not 1 <= len(passes) <= schemas.MAX_PASSES:
         raise ValueError(f"1..{schemas.MAX_PASSES} passes")
-    fetch = limit + RANKED_EXTRA
-    parts = []
+    fetch = fetch_size(limit, offset, RANKED_EXTRA)
+    by_tool: dict[str, list[SearchRequest]] = {}
     for number, step in enumerate(passes):
-        request = [step.request]
-        if step.tool == "keyword_search":
-            found = corpus.keyword_lists(request, fetch)
-        elif step.tool == "semantic_search":
-            found = vector.semantic_search(
-                corpus.vectors, corpus.payload, request, fetch, subject=step.request.subject
-            )
+        tool = step.tool if step.tool in ("keyword_search", "semantic_search") else "hybrid"
+        by_tool.setdefault(tool, []).append(replace(step.request, query_id=str(number)))
+    parts = []
+    for tool, requests in by_tool.items():
+        if tool == "keyword_search":
+            found = corpus.keyword_lists(requests, fetch)
+        elif tool == "semantic_search":
+            found = vector.semantic_search(corpus.vectors, corpus.payload, requests, fetch)
         else:
-            found = hybrid_with_fallback(corpus, request, fetch, max_limit=fetch)
+            found = hybrid_with_fallback(corpus, requests, fetch, max_limit=fetch)
         parts.append(
-            found.select(*RESULT_COLUMNS, "rank").withColumn("pass_no", F.lit(number))
+            found.select(*RESULT_COLUMNS, "rank", F.col("query_id").cast("int").alias("pass_no"))
         )
     return reduce(DataFrame.unionByName, parts)
 
 
-def multi_pass_search(corpus: Corpus, passes: list[Pass], limit: int = 20) -> DataFrame:
-    """Passes merged: first occurrence per id, best score first, cut to the limit."""
-    rows = run_passes(corpus, passes, limit).withColumn("query_id", F.lit("all"))
-    return fusion.merge_passes(rows, limit)
+def multi_pass_search(
+    corpus: Corpus, passes: list[Pass], limit: int = 20, offset: int = 0
+) -> DataFrame:
+    """Passes merged: first occurrence per id, best score first, one page of them."""
+    schemas.check_page(limit, offset)
+    rows = run_passes(corpus, passes, limit, offset).withColumn("query_id", F.lit("all"))
+    return fusion.merge_passes(rows, offset + limit).where(F.col("position") > offset)

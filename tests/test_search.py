@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import fusion, search, vector
+from evalspark.operators.catalog import write_examples
 from evalspark.operators.search import SearchRequest
 from evalspark.plans import search as plans
 
@@ -76,6 +77,24 @@ def test_filters_orders_and_pages(seed):
         found(seed, "x" * 501)
 
 
+def test_filters_of_all_requests_reach_the_scan(spark, seed, tmp_path):
+    examples, datasets = seed
+    subject = F.get_json_object("example_metadata", "$.subject")
+    write_examples(examples.withColumn("subject", subject), str(tmp_path / "examples"))
+    datasets.write.parquet(str(tmp_path / "datasets"))
+    stored = [spark.read.parquet(str(tmp_path / name)) for name in ("examples", "datasets")]
+    asked = [SearchRequest("a", "what", dataset_name="alpha", subject="geography"), SearchRequest("b", "what", dataset_name="zeta", subject="biology")]
+    rows = search.match_requests(*stored, asked)
+    plan = rows._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+    pushed = [line for line in plan.splitlines() if "FileScan parquet" in line and "question" in line]
+    assert all("In(subject, [biology,geography])" in line for line in pushed) and pushed
+    assert sorted((r["query_id"], r["id"]) for r in rows.collect()) == [("a", 4), ("b", 2)]
+    # One open request keeps the scan whole.
+    mixed = search.match_requests(*stored, [*asked, SearchRequest("c", "what")])
+    assert mixed.where("query_id = 'c'").count() == 4
+
+
 def test_batch_equals_single_requests(seed):
     requests = [
         SearchRequest("a", "what"),
