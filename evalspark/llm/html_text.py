@@ -1,9 +1,10 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides blocks on their own: by what encloses them (navigation,
-forms, adverts, comments and the like, told by tag, role, class or id), by link density, and outside an article
-by length and stop-word density. Short blocks that say neither stay undecided. Pass two gives them the label of the
-nearest decided neighbours, the nearer one if the two sides differ. Where the page marks an article, only blocks inside count.
+A page is cut into blocks at block-level tags. Pass one decides the blocks of all pages on their own: by what encloses them
+(navigation, forms, adverts, comments and the like, told by tag, role, class or id), by link density, length and stop-word
+density. Short blocks and blocks with few stop words stay undecided. Pass two gives them the label of the nearest decided
+neighbours, the nearer one if the two sides differ; a heading goes with what follows it. An article mark keeps no block by
+itself: inside, only neighbours from inside speak and ties are good; outside, an undecided block needs good text on both sides.
 
 One pass over each page in a task; nothing is shuffled. Defined cases: null or empty html gives an empty text. Broken
 markup is read as it comes: unclosed tags end with their container, a cut-off tag or comment at the end is
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +43,10 @@ STOP_WORDS = set(
     "als auch auf aus bei das dem den der des die ein eine er es für ich im ist mit nicht sich sie sind und von wie zu "
     "al como con del el ella era esta las lo los más muy no para pero por se sin su sus una y".split()
 )
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+MARKS = string.punctuation + "«»“”„‘’…–—¿¡"
 LONG_CHARS, LINKED, STOPPED = 80, 0.5, 0.2
+SPARSE, SPARSE_INSIDE = 0.1, 0.02
 
 
 def hinted(attributes: str) -> tuple[bool, bool]:
@@ -123,43 +128,68 @@ def blocks(page: str) -> list[dict]:
     return out
 
 
-def first_pass(block: dict, marked: bool) -> str:
-    """good, bad or open."""
-    text = block["text"]
+def first_pass(block: dict) -> str:
+    """good, bad, open, or sparse (long without stop words), by the block's own text."""
+    text, heading = block["text"], block["leaf"] in HEADINGS
     density = block["linked"] / len(text)
-    if block["bad"] or marked and not block["inside"]:
-        return "bad"
-    if density > LINKED and (block["leaf"] == "li" or not marked):
-        return "bad"
-    if marked:
-        return "good"
+    if density > LINKED:
+        return "open" if heading and block["inside"] else "bad"
+    if len(text) < LONG_CHARS:
+        return "bad" if "©" in text else "open"
     words = text.lower().split()
-    stopped = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if len(text) >= LONG_CHARS:
-        return "good" if stopped >= STOPPED else "bad" if density > LINKED / 2 else "open"
-    return "bad" if "©" in text else "open"
+    stopped = sum(w.strip(MARKS) in STOP_WORDS for w in words) / len(words)
+    if stopped >= STOPPED:
+        return "good"
+    if density > LINKED / 2:
+        return "bad"
+    # The article mark lowers the bound, it doesn't lift it.
+    few = stopped < (SPARSE_INSIDE if block["inside"] else SPARSE)
+    return "sparse" if few and not heading and block["leaf"] != "pre" else "open"
+
+
+def second_pass(found: list[dict], labels: list[str], marked: bool) -> list[bool]:
+    """Whether each block is main text: open blocks by their nearest decided neighbours.
+
+    Inside an article only neighbours inside it speak. Where the two sides are equally near, the article mark decides.
+    """
+    before: list[tuple[int, str] | None] = []
+    after: list[tuple[int, str] | None] = []
+    for out, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last: dict[bool, tuple[int, str] | None] = {True: None, False: None}
+        for i in order:
+            inside = found[i]["inside"] and not found[i]["bad"]
+            out.append(last[inside])
+            if labels[i] != "open":
+                last[False] = (i, labels[i])
+                if inside:
+                    last[True] = (i, labels[i])
+    after.reverse()
+    kept = []
+    for i, block in enumerate(found):
+        label = labels[i]
+        if label == "open":
+            left, right = before[i], after[i]
+            sides = [(abs(i - place), said) for place, said in filter(None, (left, right))]
+            if block["leaf"] in HEADINGS and right:
+                # A heading belongs to what follows it.
+                label = right[1]
+            elif marked and not block["inside"]:
+                label = "good" if len(sides) == 2 and {said for _, said in sides} == {"good"} else "bad"
+            else:
+                label = "good" if not sides else min(sides, key=lambda side: (side[0], side[1] != "good"))[1]
+        kept.append(label == "good")
+    return kept
 
 
 def extract(page: str) -> str:
     """The main text of one page, blocks joined by newlines."""
     found = blocks(page)
     marked = any(b["inside"] and not b["bad"] for b in found)
-    labels = [first_pass(b, marked) for b in found]
-    decided = [i for i, label in enumerate(labels) if label != "open"]
-    kept, place = [], 0
-    for i, block in enumerate(found):
-        label = labels[i]
-        while place < len(decided) and decided[place] < i:
-            place += 1
-        if label == "open":
-            sides = [(i - decided[place - 1], labels[decided[place - 1]] == "bad")] if place else []
-            if place < len(decided):
-                sides.append((decided[place] - i, labels[decided[place]] == "bad"))
-            # Of equally near sides the good one decides: it is the heading's text or the last paragraph's neighbour.
-            label = "bad" if sides and min(sides)[1] else "good"
-        if label == "good":
-            kept.append(block["text"])
-    return "\n".join(kept)
+    labels = ["bad" if b["bad"] else first_pass(b) for b in found]
+    size = {label: sum(len(b["text"]) for b, own in zip(found, labels) if own == label) for label in ("good", "sparse")}
+    # On a page whose language the stop words don't know, their absence says nothing.
+    labels = [("bad" if size["good"] > size["sparse"] else "open") if label == "sparse" else label for label in labels]
+    return "\n".join(b["text"] for b, main in zip(found, second_pass(found, labels, marked)) if main)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -254,6 +254,20 @@ def test_html(spark):
     assert [r.text for r in sorted(got, key=lambda r: r.page_id)][0] == ""
 
 
+PROSE = "This is the story of a river that was hidden in the hills and of the people who have lived by it."
+
+
+def test_html_rules_run_inside_articles():
+    share = "Print Save Email Copy Share Tweet Pin Mail Archive Download Translate Zoom Bookmark Subscribe"
+    menu = "<p><a href='/a'>The other page of this site</a> <a href='/b'>and the next of it</a></p>"
+    page = f"<body><article><h1>River</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><div>{share}</div>{menu}</article><p>Top</p></body>"
+    assert html_text.extract(page) == f"River\n{PROSE}\nShort.\n{PROSE}"
+    # Text outside the mark is judged by the same rules; short text there needs good text on both sides.
+    assert html_text.extract(f"<p>Menu</p><h1>River</h1><p>{PROSE}</p><article><p>{PROSE}</p></article>") == f"River\n{PROSE}\n{PROSE}"
+    # Where no block has stop words, their absence decides nothing.
+    assert html_text.extract(f"<article><p>{share}</p></article>") == share
+
+
 def test_vectors(spark):
     draw = np.random.Generator(np.random.PCG64(2))
     centres = draw.normal(size=(12, 16))
