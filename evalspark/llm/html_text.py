@@ -1,8 +1,8 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides the blocks of all pages on their own: by what encloses them
-(navigation, forms, adverts, comments and the like, told by tag, role, class or id), by link density, length and stop-word
-density. Short blocks and blocks with few stop words stay undecided. Pass two gives them the label of the nearest decided
+A page is cut into blocks at block-level tags. Pass one decides the blocks of all pages on their own: by the tags that enclose
+them (navigation, footers and the like), by link density, length and stop-word density. A word in class, id or role (adverts,
+comments and the like) or a form only makes a block doubtful, unless the element holds most of the page's good text. Short blocks and blocks with few stop words stay undecided. Pass two gives them the label of the nearest decided
 neighbours, the nearer one if the two sides differ; a heading goes with what follows it. An article mark keeps no block by
 itself: inside, only neighbours from inside speak and ties are good; outside, an undecided block needs good text on both sides.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from evalspark.session import configure
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title", "audio", "video", "button"}
 CONTAINERS = {"article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "head", "header", "hgroup", "main", "menu", "nav", "ol", "section", "table", "tbody", "td", "th", "tr", "ul"}
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "pre", "address", "figcaption", "caption", "summary", "hr", "legend", "label"}
@@ -49,36 +49,37 @@ LONG_CHARS, LINKED, STOPPED = 80, 0.5, 0.2
 SPARSE, SPARSE_INSIDE = 0.1, 0.02
 
 
-def hinted(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id, role or style mark boilerplate, and whether they mark an article."""
-    bad = good = False
+def hinted(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hide an element, whether class, id or role mark boilerplate, and whether they mark an article."""
+    hidden = bad = good = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            bad = True
+            hidden = True
         elif name == "style":
-            bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        else:
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+        elif name in ("class", "id", "role"):
             words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
             bad |= bool(words & HINTS)
             good |= bool(words & ARTICLE_HINTS) or name == "role" and value.lower() in ("main", "article")
-    return bad, good
+    return hidden, bad, good
 
 
 def blocks(page: str) -> list[dict]:
-    """Text blocks of a page in order: text, linked (characters in links), bad, inside (an article), heading."""
+    """Text blocks of a page in order: text, linked (characters in links), bad, hints (numbers of the elements round
+    it that a word marks as boilerplate), inside (an article), leaf."""
     out: list[dict] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, bad, inside an article
+    stack: list[tuple[str, bool, tuple, bool]] = [("", False, (), False)]  # tag, bad, hints, inside an article
     parts: list[str] = []
     linked: list[str] = []
-    link, leaf_bad, leaf, at = 0, False, "", 0
+    link, leaf_bad, leaf_hints, leaf, at, number = 0, False, (), "", 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             in_links = len(" ".join(html.unescape("".join(linked)).split()))
-            out.append({"text": text, "linked": in_links, "bad": stack[-1][1] or leaf_bad, "inside": stack[-1][2], "leaf": leaf})
+            out.append({"text": text, "linked": in_links, "bad": stack[-1][1] or leaf_bad, "hints": stack[-1][2] + leaf_hints, "inside": stack[-1][3], "leaf": leaf})
         parts, linked = [], []
 
     def add(text: str) -> None:
@@ -104,7 +105,7 @@ def blocks(page: str) -> list[dict]:
             add(" ")
         elif tag in CONTAINERS:
             flush()
-            leaf, leaf_bad, link = "", False, 0
+            leaf, leaf_bad, leaf_hints, link = "", False, (), 0
             if end:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
                 if depth:
@@ -112,22 +113,41 @@ def blocks(page: str) -> list[dict]:
                 continue
             if tag == "body":
                 del stack[1:]
-            bad, good = hinted(attributes)
-            inside = stack[-1][2]
-            own = tag in BOILERPLATE_TAGS and not (tag == "header" and inside)
-            article = tag in ("article", "main") or good and not bad
+            hidden, bad, good = hinted(attributes)
+            _, out_bad, hints, inside = stack[-1]
+            own = tag in BOILERPLATE_TAGS - {"form"} and not (tag == "header" and inside) or hidden and tag not in ("body", "main")
+            # A form may be the whole page: like a word, it only makes a block doubtful. Words on an article say nothing.
+            if (tag == "form" or bad and not good) and tag not in ("article", "main", "body"):
+                number += 1
+                hints += (number,)
             # A comment or a teaser may be an article of its own: what encloses it decides.
-            stack.append((tag, stack[-1][1] or own or bad and tag not in ("body", "main"), inside or article))
+            stack.append((tag, out_bad or own, hints, inside or tag == "main" or (tag == "article" or good) and (good or not bad)))
         elif tag in LEAVES:
             flush()
             leaf, link = ("", 0) if end else (tag, 0)
-            leaf_bad = False if end else hinted(attributes)[0]
+            leaf_bad, bad, good = (False, False, False) if end else hinted(attributes)
+            number += 1
+            leaf_hints = (number,) if bad and not good else ()
     rest = page[at:]
     add(rest)
     flush()
     return out
 
 
+def doubts(found: list[dict]) -> list[bool]:
+    """Whether each block stands under a hint. Elements that hold most of the page's good text are no boilerplate."""
+    plain = [not b["bad"] and b["linked"] <= LINKED * len(b["text"]) for b in found]
+    good = [p and (b["inside"] or first_pass(b) == "good") for p, b in zip(plain, found)]
+    total = 0
+    held: dict[int, int] = {}
+    for block, counts in zip(found, good if any(good) else plain):
+        if counts:
+            total += len(block["text"])
+            for number in block["hints"]:
+                held[number] = held.get(number, 0) + len(block["text"])
+    return [any(2 * held.get(number, 0) <= total for number in b["hints"]) for b in found]
+
+
 def first_pass(block: dict) -> str:
     """good, bad, open, or sparse (long without stop words), by the block's own text."""
     text, heading = block["text"], block["leaf"] in HEADINGS
@@ -147,34 +167,37 @@ def first_pass(block: dict) -> str:
     return "sparse" if few and not heading and block["leaf"] != "pre" else "open"
 
 
-def second_pass(found: list[dict], labels: list[str], marked: bool) -> list[bool]:
+def second_pass(found: list[dict], labels: list[str], doubtful: list[bool], marked: bool) -> list[bool]:
     """Whether each block is main text: open blocks by their nearest decided neighbours.
 
     Inside an article only neighbours inside it speak. Where the two sides are equally near, the article mark decides.
+    Doubtful blocks say nothing about others; they need long dense text, and good text on both sides.
     """
     before: list[tuple[int, str] | None] = []
     after: list[tuple[int, str] | None] = []
+    own = [b["inside"] and not b["bad"] and not doubt for b, doubt in zip(found, doubtful)]
     for out, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
         last: dict[bool, tuple[int, str] | None] = {True: None, False: None}
         for i in order:
-            inside = found[i]["inside"] and not found[i]["bad"]
-            out.append(last[inside])
-            if labels[i] != "open":
+            out.append(last[own[i]])
+            if labels[i] != "open" and not doubtful[i]:
                 last[False] = (i, labels[i])
-                if inside:
+                if own[i]:
                     last[True] = (i, labels[i])
     after.reverse()
     kept = []
     for i, block in enumerate(found):
-        label = labels[i]
-        if label == "open":
-            left, right = before[i], after[i]
-            sides = [(abs(i - place), said) for place, said in filter(None, (left, right))]
+        label, left, right = labels[i], before[i], after[i]
+        sides = [(abs(i - place), said) for place, said in filter(None, (left, right))]
+        between = len(sides) == 2 and {said for _, said in sides} == {"good"}
+        if doubtful[i] and not (block["leaf"] == "h1" and label == "open"):
+            label = "good" if between and label == "good" and len(block["text"]) >= 2 * LONG_CHARS else "bad"
+        elif label == "open":
             if block["leaf"] in HEADINGS and right:
                 # A heading belongs to what follows it.
                 label = right[1]
-            elif marked and not block["inside"]:
-                label = "good" if len(sides) == 2 and {said for _, said in sides} == {"good"} else "bad"
+            elif doubtful[i] or marked and not own[i]:
+                label = "good" if between else "bad"
             else:
                 label = "good" if not sides else min(sides, key=lambda side: (side[0], side[1] != "good"))[1]
         kept.append(label == "good")
@@ -184,12 +207,13 @@ def second_pass(found: list[dict], labels: list[str], marked: bool) -> list[bool
 def extract(page: str) -> str:
     """The main text of one page, blocks joined by newlines."""
     found = blocks(page)
-    marked = any(b["inside"] and not b["bad"] for b in found)
+    doubtful = doubts(found)
+    marked = any(b["inside"] and not b["bad"] and not doubt for b, doubt in zip(found, doubtful))
     labels = ["bad" if b["bad"] else first_pass(b) for b in found]
     size = {label: sum(len(b["text"]) for b, own in zip(found, labels) if own == label) for label in ("good", "sparse")}
     # On a page whose language the stop words don't know, their absence says nothing.
     labels = [("bad" if size["good"] > size["sparse"] else "open") if label == "sparse" else label for label in labels]
-    return "\n".join(b["text"] for b, main in zip(found, second_pass(found, labels, marked)) if main)
+    return "\n".join(b["text"] for b, main in zip(found, second_pass(found, labels, doubtful, marked)) if main)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

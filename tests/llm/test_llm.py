@@ -268,6 +268,19 @@ def test_html_rules_run_inside_articles():
     assert html_text.extract(f"<article><p>{share}</p></article>") == share
 
 
+def test_html_hints_only_raise_doubts():
+    text = f"<h1>River</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    whole = f"River\n{PROSE}\n{PROSE}"
+    ad = "<div class='ad'><p>Buy the best of it.</p></div>"
+    for layout in ("div class='layout has-sidebar'", "article class='post category-social'", "article class='tag-search'", "form id='aspnetForm'", "div title='The hidden river' data-id='search-12'"):
+        tag = layout.split()[0]
+        assert html_text.extract(f"<body><{layout}>{text}{ad}</{tag}><footer>Us</footer></body>") == whole, layout
+    assert html_text.extract(f"<nav>Top</nav><div class='entry-header'><h1>River</h1></div><p>{PROSE}</p>") == f"River\n{PROSE}"
+    assert html_text.extract(f"<nav>Top</nav><div class='page-header'><h1>River</h1></div><p>{PROSE}</p>") == f"River\n{PROSE}"
+    assert html_text.extract(f"{text}<p>{PROSE}</p><div class='comments'><p>{PROSE}</p></div>") == f"{whole}\n{PROSE}"
+    assert html_text.extract(f"{text}<p hidden>{PROSE}</p><p style='display:none'>{PROSE}</p>") == whole
+
+
 def test_vectors(spark):
     draw = np.random.Generator(np.random.PCG64(2))
     centres = draw.normal(size=(12, 16))
