@@ -4,7 +4,7 @@
    digest of the set, and a sketch of ``BINS`` coordinates. Sketch rounds 1 to BINS throw every shingle into a
    hashed bin, rounds BINS+1 to 2*BINS throw all of them into one bin each, so that every coordinate
    fills; each coordinate keeps its smallest (round, hash). A set ends after the round that fills its last bin.
-2. Equal sets are one class with its smallest doc_id as representative; only classes go on.
+2. Equal sets are one class with its smallest (doc_id, text digest) as representative; only classes go on.
 3. ``BANDS`` bands of ``BINS / BANDS`` coordinates. At Jaccard 0.8 a pair misses all 32 bands of 4 with probability
    5e-8. One member of each bucket, its centre, is compared with all others (a star: rows grow with the bucket, not
    its square), on whole sets rebuilt from the texts. Buckets pick centres by ``ORDERS`` different hash orders, so that the
@@ -14,9 +14,10 @@
    set sizes allow the similarity. Nothing is capped.
 
 Texts are shipped once per pair, sorted behind their centre's text and streamed; a centre with many partners
-is salted. Defined cases: null or empty text has an empty set and links with nothing. A text with fewer words
-than a shingle has its whole word sequence as its one shingle. Repeated rows form one class. Rows with a null
-doc_id take part like any other under the id -2^63 and come back with null.
+is salted. Rows are named by doc_id and text digest, classes by a number of their own, so unlike texts under one id stay
+apart. Defined cases: null or empty text has an empty set and links with nothing. A text with fewer words than a
+shingle has its whole word sequence as its one shingle. Repeated rows form one class. Rows with a null doc_id take
+part like any other under the id -2^63 and come back with null.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm import textscan as ts
@@ -37,7 +38,7 @@ NO_ID = -(1 << 63)
 PARTNERS_PER_TASK = 500
 ORDERS = 8
 PARITY_BITS = 2048
-SKETCH_SCHEMA = "id long, n long, d1 long, d2 long, bands array<long>, code array<long>"
+SKETCH_SCHEMA = "id long, row long, n long, d1 long, d2 long, bands array<long>, code array<long>"
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +110,10 @@ def scan(words: int, bins: int, bands: int):
                 key = ts.mix(key * ts.BASE + sketch[:, :, j])
             flat = pa.array(key.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), lists, codes], names=["id", "n", "d1", "d2", "bands", "code"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("row"), pa.array(size.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), lists, codes],
+                names=["id", "row", "n", "d1", "d2", "bands", "code"],
+            )
 
     return run
 
@@ -168,18 +172,29 @@ def rest_pairs(buckets: DataFrame, component: DataFrame, sizes: DataFrame, perce
     return left.join(mixed, "bucket").where(near).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = BINS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles and component (smallest doc_id linked directly or through others) of every row."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def named(docs: DataFrame) -> DataFrame:
+    """id, row (digest of the text) and text: unlike texts that repeat an id, or have none, have names of their own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = BINS, bands: int = BANDS) -> DataFrame:
+    """id, row, n_shingles, component (smallest id linked directly or through others) and kept (id and row are the
+    smallest) of every row."""
+    rows = named(docs)
     scanned = stored(rows.mapInArrow(scan(words, bins, bands), SKETCH_SCHEMA), "sketches")
     filled = scanned.where("n > 0")
-    classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    # A representative stands for one class; where rows repeat an id with other texts, its classes become linked.
-    reps = stored(filled.join(classes, ["n", "d1", "d2"]).where("id = rep").dropDuplicates(["id", "n", "d1", "d2"]).select("id", "n", "bands", "code"), "classes")
+    classes = filled.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("rep"))
+    # Numbers are fixed by writing them. They only name classes; which row is the smallest is asked by id and row.
+    classes = stored(classes.select("n", "d1", "d2", "rep", F.monotonically_increasing_id().alias("class")), "classes")
+    whole = scanned.drop("bands", "code").join(classes, ["n", "d1", "d2"], "left")
+    first = F.struct("id", "row") == F.col("rep")
+    reps = stored(filled.join(classes, ["n", "d1", "d2"]).where(first).dropDuplicates(["class"]).select(F.col("class").alias("id"), "rep", "n", "bands", "code"), "reps")
     keys = reps.select("id", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.pmod("bucket", F.lit(ORDERS)))).alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
     buckets = stored(keys.join(shared, "bucket"), "buckets")
-    texts = stored(rows.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "candidates")
+    wanted = reps.join(buckets.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("class"), F.col("rep.id").alias("id"), F.col("rep.row").alias("row"))
+    texts = stored(rows.join(wanted, ["id", "row"]).select(F.col("class").alias("id"), "text").dropDuplicates(["id"]), "candidates")
     star = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(linked(star, texts, words, percent), "links")
     component = components(links)
@@ -187,10 +202,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     if not more.isEmpty():
         links = links.union(stored(linked(more, texts, words, percent), "links"))
         component = components(links)
-    whole = scanned.join(classes, ["n", "d1", "d2"], "left")
-    joined = whole.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    low = F.coalesce("component", "rep", "id")
-    return joined.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(low, F.lit(NO_ID)).alias("component_id"), (low == F.col("id")).alias("kept"))
+    component = component.select(F.col("id").alias("class"), "component")
+    low = component.join(classes.select("class", "rep"), "class").groupBy("component").agg(F.min("rep").alias("low"))
+    joined = whole.join(component.join(low, "component").select("class", "low"), "class", "left")
+    own = F.struct("id", "row")
+    low = F.coalesce("low", "rep", own)
+    return joined.select("id", "row", F.col("n").alias("n_shingles"), low["id"].alias("component"), (low == own).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id linked directly or through others) and kept of every row."""
+    rows = grouped(docs, **options)
+    return rows.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id"), "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -200,10 +223,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays."""
-    from evalspark.llm.common import keyed
-
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    whole = keyed(docs, keep=True)
-    # Rows that repeat an id and a text are copies of each other: one stays.
-    best = whole.join(kept, whole["doc_id"].eqNullSafe(kept["kept_id"])).withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("row")))
-    return best.where("copy = 1").select(*[F.col("whole")[c].alias(c) for c in docs.columns])
+    kept = grouped(docs).where("kept").select("id", "row").distinct()
+    # Rows that repeat an id and a text are copies of each other: one stays, chosen before and after the shuffle.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    other = F.xxhash64(*[c for c, kind in docs.dtypes if c != "text" and "map<" not in kind])
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), F.struct("*").alias("whole"), other.alias("other"))
+    best = whole.groupBy("id", "row").agg(F.min_by("whole", "other").alias("whole"))
+    return best.join(kept, ["id", "row"], "left_semi").select(*[F.col("whole")[c].alias(c) for c in docs.columns])

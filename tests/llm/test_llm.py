@@ -125,6 +125,21 @@ def test_minhash(docs, empty, n):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_stage_keeps_unlike_rows_of_one_id(spark):
+    draw = random.Random(8)
+    say = lambda: " ".join(str(draw.randrange(10**6)) for _ in range(60))
+    null, other, twice, unlike, alone = say(), say(), say(), say(), say()
+    near = " ".join([*null.split(" ")[:-1], "changed"])
+    rows = [(None, null), (None, other), (None, other), (None, None), (1, near), (7, twice), (7, unlike), (7, unlike), (8, twice), (9, alone), (9, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k, "w", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = minhash.stage(spark, frame, "")
+    assert got.columns == frame.columns
+    want = [(None, null), (None, other), (None, None), (7, twice), (7, unlike), (9, alone), (9, "")]
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
+    named = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
+    assert {(1, None, False), (8, 7, False), (9, 9, True)} <= named
+
+
 def test_sketches_fill_and_estimate():
     draw = np.random.Generator(np.random.PCG64(3))
     a = draw.integers(0, 1 << 63, 900, dtype=np.uint64)
