@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evalspark import schemas
 from evalspark.functions.model_json import search_params
 from evalspark.operators import fusion, vector
-from evalspark.operators.search import RESULT_COLUMNS, SearchRequest, keyword_lists
+from evalspark.operators.search import RESULT_COLUMNS, SearchRequest, keyword_lists, keyword_totals
 
 # How many rows beyond the page each composite fetches.
 HYBRID_EXTRA = 50
@@ -37,6 +37,10 @@ class Corpus:
     def keyword_lists(self, requests: list[SearchRequest], k: int) -> DataFrame:
         return keyword_lists(self.examples, self.datasets, requests, k, self.answers)
 
+    def keyword_totals(self, requests: list[SearchRequest]) -> DataFrame:
+        found = keyword_totals(self.examples, self.datasets, requests, self.answers)
+        return found.withColumnRenamed("total", "keyword_total")
+
 
 def _weight(requests: list[SearchRequest], field: str) -> Column:
     weight = F.lit(None).cast("double")
@@ -68,7 +72,8 @@ def fused_lists(
 
 
 def _totalled(rows: DataFrame) -> DataFrame:
-    """Adds the list length; both branches read ahead by the fetch size."""
+    """Adds the length of the fused list. Both branches read ahead by the fetch size, so it counts what was read, as the
+    reference does; ``keyword_total`` counts all matches."""
     return rows.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
 
 
@@ -80,10 +85,12 @@ def hybrid_search(
     strict_filters: bool = False,
     max_limit: int = schemas.MAX_PAGE,
 ) -> DataFrame:
-    """One page of fused hits per request, with ``rank`` and the fused ``total``."""
+    """One page of fused hits per request, with ``rank``, the fused ``total`` of the lists read and
+    ``keyword_total``, all keyword matches whatever the page."""
     schemas.check_page(limit, offset, max_limit)
     fused = fused_lists(corpus, requests, fetch_size(limit, offset, HYBRID_EXTRA), strict_filters)
-    return _totalled(fused).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    page = _totalled(fused).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    return page.join(corpus.keyword_totals(requests), "query_id")
 
 
 def hybrid_with_fallback(
@@ -93,20 +100,25 @@ def hybrid_with_fallback(
     offset: int = 0,
     max_limit: int = schemas.MAX_PAGE,
 ) -> DataFrame:
-    """Hybrid where the request's collection holds vectors, keyword search where it does not."""
+    """Hybrid where the request's collection holds vectors, keyword search where it does not.
+
+    ``total`` is the fused list's length or, in keyword mode, the number of all matches; ``keyword_total`` counts
+    all matches in both modes.
+    """
     present = vector.collections_present(
         corpus.vectors, sorted({r.collection for r in requests})
     )
     able = [r for r in requests if r.collection in present]
     rest = [r for r in requests if r.collection not in present]
     parts = []
-    columns = ["query_id", *RESULT_COLUMNS, "rank"]
+    columns = ["query_id", *RESULT_COLUMNS, "rank", "total", "keyword_total"]
     if able:
         found = hybrid_search(corpus, able, limit, offset, max_limit=max_limit)
         parts.append(found.select(*columns, F.lit("hybrid").alias("mode")))
     if rest:
         found = corpus.keyword_lists(rest, limit + offset)
-        found = found.where(F.col("rank") > offset)
+        found = found.where(F.col("rank") > offset).join(corpus.keyword_totals(rest), "query_id")
+        found = found.withColumn("total", F.col("keyword_total"))
         parts.append(found.select(*columns, F.lit("keyword").alias("mode")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -264,6 +264,20 @@ def test_hybrid_falls_back_without_vectors(spark, seed, points):
     assert {r["id"] for r in out} == {4} and out[0]["total"] == 1
 
 
+def test_hybrid_and_fallback_count_all_matches(spark, seed, points, monkeypatch):
+    monkeypatch.setattr(plans, "HYBRID_EXTRA", 0)
+    examples, datasets = seed
+    corpus = plans.Corpus(examples, datasets, points[1].drop("subject"), vector.payload_of(examples, datasets))
+    requests = [SearchRequest("has", "a", vec_id=4, collection="c0"), SearchRequest("none", "a", vec_id=4, collection="missing")]
+    whole = found(seed, "a", limit=1)[1]
+    assert whole > 2
+    for offset in (0, 1):
+        out = plans.hybrid_with_fallback(corpus, requests, limit=1, offset=offset).collect()
+        assert {(r["query_id"], r["keyword_total"]) for r in out} == {("has", whole), ("none", whole)}
+        assert {r["total"] for r in out if r["mode"] == "keyword"} == {whole}
+    assert {r["keyword_total"] for r in plans.hybrid_search(corpus, requests[:1], limit=1).collect()} == {whole}
+
+
 def test_upsert_last_write_wins(spark):
     schema = "collection string, example_id long, vector array<float>, batch int"
     stored = spark.createDataFrame([("c", 1, [1.0, 1.0], 0), ("c", 2, [2.0, 2.0], 0)], schema)
