@@ -37,20 +37,24 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens lon
 
 
 def encoder(path: str):
-    """texts -> their ids as little-endian 32-bit numbers. A distinct word goes through the tokenizer once per worker."""
+    """texts -> their ids as little-endian 32-bit numbers. A distinct word goes through the tokenizer once per worker.
+
+    Texts that hold one of the tokenizer's added tokens don't split into words alone: they go through it as a whole.
+    """
     cache = worker_cache(f"ids {path}")
     if "word" not in cache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         cache["tokenizer"], cache["word"] = tokenizer, {}
-    tokenizer, known, split = cache["tokenizer"], cache["word"], splitter()
+        cache["added"] = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+    tokenizer, known, added, split = cache["tokenizer"], cache["word"], cache["added"], splitter()
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         if len(known) > CACHED_WORDS:
             known.clear()
-        words = [split(t) for t in texts]
+        whole = {t for t in texts if any(token in t for token in added)}
+        words = [[] if t in whole else split(t) for t in texts]
         new = list(set(chain.from_iterable(words)).difference(known))
         # Words of a space and letters keep their borders when they stand one behind the other: one call codes many.
         plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
@@ -66,7 +70,11 @@ def encoder(path: str):
             part = rest[at : at + 5_000]
             for word, coded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = np.array(coded.ids, "<u4").tobytes()
-        return (b"".join(map(known.__getitem__, w)) for w in words)
+
+        def coded_whole(text: str) -> bytes:
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        return (coded_whole(t) if t in whole else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words))
 
     return encode
 

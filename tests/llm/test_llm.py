@@ -184,6 +184,14 @@ def test_packing(docs, empty, tokenizer, length, room):
     assert packing.pack(empty, packing.default_tokenizer()).count() == 0
 
 
+def test_packing_codes_added_tokens():
+    tokenizers = pytest.importorskip("tokenizers")
+    plain = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a b<|endoftext|><|endoftext|>c d", "x <|endoftext| y", "", "a word"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(packing.encoder(packing.default_tokenizer())(texts)) == want
+
+
 def test_byte_bpe(docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers
