@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import byte_bpe, html_text, line_dedup, minhash, packing, quality_model, quality_rules, substring_dedup, url_filter, vector_graph
+from evalspark.llm import byte_bpe, collocations, html_text, line_dedup, minhash, packing, quality_model, quality_rules, substring_dedup, token_counts, url_filter, vector_codes, vector_graph
 from evalspark.llm.line_sql import LINES, PASSAGES
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_vector_graph": vector_graph.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_token_counts": token_counts.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_line_dedup": LINES,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
