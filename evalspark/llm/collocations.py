@@ -35,7 +35,8 @@ from evalspark.operators.ranking import top_k_per_key
 
 MIN_COUNT, TOP, ABSORBED_PERCENT = 10, 2000, 50
 NO_LANG = "und"
-SLICE, RANGE_BYTES, UNION_BYTES = 4 << 20, 4 << 20, 16 << 20
+SLICE, RANGE_BYTES, UNION_BYTES = 2 << 20, 2 << 20, 8 << 20
+TASK_BYTES = 256 << 20  # of text behind the ranges of one task, where the session's number of partitions gives more
 BREAK, GAP = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 GAP[[9, 32]] = True
@@ -285,7 +286,10 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, range_bytes: int =
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = rows.mapInArrow(build(max(1, -(-size // range_bytes)), slice_bytes), PIECE_SCHEMA)
-    return pieces.repartition("span").sortWithinPartitions("span", "lang").mapInArrow(unite(least, union_bytes), FREQUENT_SCHEMA)
+    tasks = -(-size // TASK_BYTES)
+    few = tasks <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition("span") if few else pieces.repartition(tasks, "span")
+    return dealt.sortWithinPartitions("span", "lang").mapInArrow(unite(least, union_bytes), FREQUENT_SCHEMA)
 
 
 def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, absorbed: int = ABSORBED_PERCENT, **options) -> DataFrame:
