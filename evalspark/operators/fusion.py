@@ -73,17 +73,21 @@ def merge_passes(hits: DataFrame, limit: int, keys: tuple[str, ...] = ("query_id
 
 
 def apply_ranking(
-    results: DataFrame, ranks: DataFrame, keys: tuple[str, ...] = ("query_id",)
+    results: DataFrame, ranks: DataFrame, keys: tuple[str, ...] = ("query_id",), first: int | None = None
 ) -> DataFrame:
     """Rows in the supplied order, the others after them in their own order.
 
-    ``ranks`` has (keys, id, position). Unknown ids fall away, a repeated id counts once.
+    ``ranks`` has (keys, id, position). Unknown ids fall away, a repeated id counts once. With ``first`` only the
+    rows up to that rank are reordered.
     """
     keys = list(keys)
     best = ranks.groupBy(*keys, "id").agg(F.min("position").alias("position"))
     joined = results.join(best, [*keys, "id"], "left")
+    if first is not None:
+        joined = joined.withColumn("position", F.when(F.col("rank") <= first, F.col("position")))
+    late = F.col("rank") > (F.lit(first) if first is not None else F.col("rank"))
     return number_rows(
-        joined, keys, [F.asc_nulls_last("position"), F.asc("rank")], "final_rank"
+        joined, keys, [late, F.asc_nulls_last("position"), F.asc("rank")], "final_rank"
     ).drop("position")
 
 

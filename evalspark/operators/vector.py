@@ -73,6 +73,40 @@ def _scopes(
     return scopes
 
 
+def _scored(
+    batch: pa.RecordBatch,
+    scopes: dict[tuple[tuple[str, str], ...], list[SearchRequest]],
+    queries: dict[tuple[tuple[str, str], ...], np.ndarray],
+    metric: str,
+) -> Iterator[tuple[SearchRequest, np.ndarray, np.ndarray]]:
+    """(request, ids, rounded scores) of the batch's points inside each request's scope, block by block."""
+    ids, column = batch.column("example_id").to_numpy(zero_copy_only=False), batch.column("vector")
+    for scope, group in scopes.items():
+        mask = np.ones(batch.num_rows, dtype=bool)
+        for name, value in scope:
+            equal = pc.fill_null(pc.equal(batch.column(name), value), False)
+            mask &= equal.to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(mask)
+        width = queries[scope].shape[1]
+        for start in range(0, len(rows), BLOCK_ROWS):
+            part = rows[start : start + BLOCK_ROWS]
+            flat = column.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False)
+            block = flat.astype(np.float64).reshape(len(part), width)
+            scores = np.round(_similarities(block, queries[scope], metric), SCORE_DIGITS)
+            for j, request in enumerate(group):
+                yield request, ids[part], scores[:, j]
+
+
+def _keep_best(
+    held: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, scores: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the held points and the new ones."""
+    if held is not None:
+        ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
 def _scorer(
     requests: list[SearchRequest],
     filters: tuple[str, ...],
@@ -89,40 +123,14 @@ def _scorer(
         for scope, group in scopes.items()
     }
 
-    def keep_best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
-
-    def rows_in(batch: pa.RecordBatch, scope: tuple[tuple[str, str], ...]) -> np.ndarray:
-        mask = np.ones(batch.num_rows, dtype=bool)
-        for name, value in scope:
-            equal = pc.fill_null(pc.equal(batch.column(name), value), False)
-            mask &= equal.to_numpy(zero_copy_only=False)
-        return np.flatnonzero(mask)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            ids = batch.column("example_id").to_numpy(zero_copy_only=False)
-            column = batch.column("vector")
-            for scope, group in scopes.items():
-                rows = rows_in(batch, scope)
-                width = queries[scope].shape[1]
-                for start in range(0, len(rows), BLOCK_ROWS):
-                    part = rows[start : start + BLOCK_ROWS]
-                    flat = column.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False)
-                    block = flat.astype(np.float64).reshape(len(part), width)
-                    scores = np.round(_similarities(block, queries[scope], metric), SCORE_DIGITS)
-                    for j, request in enumerate(group):
-                        new_ids, new_scores = ids[part], scores[:, j]
-                        if least is not None:
-                            passed = new_scores >= least
-                            new_ids, new_scores = new_ids[passed], new_scores[passed]
-                        if request.query_id in best:
-                            old_ids, old_scores = best[request.query_id]
-                            new_ids = np.concatenate([old_ids, new_ids])
-                            new_scores = np.concatenate([old_scores, new_scores])
-                        best[request.query_id] = keep_best(new_ids, new_scores)
+            for request, ids, scores in _scored(batch, scopes, queries, metric):
+                if least is not None:
+                    passed = scores >= least
+                    ids, scores = ids[passed], scores[passed]
+                best[request.query_id] = _keep_best(best.get(request.query_id), ids, scores, k)
         for query_id, (ids, scores) in best.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([query_id] * len(ids), pa.string()), pa.array(ids), pa.array(scores)],
@@ -164,7 +172,101 @@ def nearest(
     return best.withColumn("score", F.abs("score")) if metric == "EUCLID" else best
 
 
-def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:
+def _ahead(ids: np.ndarray, scores: np.ndarray, probes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many points stand ahead of each probe and of all probes after it only: one entry per probe, one for the rest.
+
+    ``probes`` (ids, scores) are in list order. A probe's own point counts for the probes behind it.
+    """
+    probe_ids, probe_scores = probes
+    place = np.searchsorted(-probe_scores, -scores, "left")
+    tied = np.flatnonzero(np.searchsorted(-probe_scores, -scores, "right") > place)
+    for i in tied:
+        # Among equal scores the id decides.
+        end = np.searchsorted(-probe_scores, -scores[i], "right")
+        place[i] += np.searchsorted(probe_ids[place[i] : end], ids[i], "right")
+    known = {int(x): j for j, x in enumerate(probe_ids)}
+    for i in np.flatnonzero(np.isin(ids, probe_ids)):
+        place[i] = known[int(ids[i])] + 1
+    return np.bincount(place, minlength=len(probe_ids) + 1)
+
+
+def _surveyor(
+    requests: list[SearchRequest],
+    filters: tuple[str, ...],
+    k: int,
+    metric: str,
+    probes: dict[str, tuple[np.ndarray, np.ndarray]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One task's k nearest points, number of points, and points ahead of each probe, per request."""
+    scopes = _scopes(requests, filters)
+    queries = {s: np.asarray([r.vector for r in group], dtype=np.float64) for s, group in scopes.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        size: dict[str, int] = {}
+        ahead: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for request, ids, scores in _scored(batch, scopes, queries, metric):
+                name = request.query_id
+                best[name] = _keep_best(best.get(name), ids, scores, k)
+                size[name] = size.get(name, 0) + len(ids)
+                if name in probes:
+                    counted = _ahead(ids, scores, probes[name])
+                    ahead[name] = ahead[name] + counted if name in ahead else counted
+        rows = [(n, "top", int(i), float(x), 1) for n, (ids, scores) in best.items() for i, x in zip(ids, scores)]
+        rows += [(n, "all", None, None, count) for n, count in size.items()]
+        rows += [(n, "ahead", i, None, int(c)) for n, counted in ahead.items() for i, c in enumerate(counted) if c]
+        if rows:
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64())
+            arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "kind", "example_id", "score", "n"])
+
+    return run
+
+
+def scores_of(
+    vectors: DataFrame, requests: list[SearchRequest], wanted: dict[str, list[int]], filters: tuple[str, ...], metric: str = "COSINE"
+) -> dict[str, list[tuple[float, int]]]:
+    """(score, id) of the wanted points of each request that lie in its scope, in list order.
+
+    ``wanted`` is bounded like a page; it cuts the vectors by a broadcast semi join before they are scored.
+    """
+    spark = vectors.sparkSession
+    ids = sorted({i for own in wanted.values() for i in own})
+    requests = [r for r in requests if wanted.get(r.query_id)]
+    if not requests:
+        return {}
+    listed = F.broadcast(spark.createDataFrame([(i,) for i in ids], "example_id long"))
+    near = vectors.join(listed, "example_id", "left_semi").select("collection", "example_id", "vector", *filters)
+    found = near.mapInArrow(_scorer(requests, filters, len(ids), None, metric), HIT_SCHEMA).collect()
+    chosen = {name: set(own) for name, own in wanted.items()}
+    out: dict[str, list[tuple[float, int]]] = {}
+    for query_id, example_id, score in found:
+        if example_id in chosen[query_id]:
+            out.setdefault(query_id, []).append((score, example_id))
+    return {name: sorted(own, key=lambda hit: (-hit[0], hit[1])) for name, own in out.items()}
+
+
+SURVEY_SCHEMA = "query_id string, kind string, example_id long, score double, n long"
+
+
+def survey(
+    vectors: DataFrame,
+    requests: list[SearchRequest],
+    k: int,
+    probes: dict[str, list[tuple[float, int]]],
+    filters: tuple[str, ...] = (),
+    metric: str = "COSINE",
+) -> DataFrame:
+    """One scan of the vectors: kind ``top`` (each task's k nearest), ``all`` (points in scope) and ``ahead`` (points that
+    stand before probe number ``example_id`` and not before an earlier one), per request."""
+    arrays = {n: (np.array([i for _, i in own], np.int64), np.array([s for s, _ in own])) for n, own in probes.items()}
+    collections = sorted({r.collection for r in requests})
+    rows = vectors.where(F.col("collection").isin(collections)).select("collection", "example_id", "vector", *filters)
+    return rows.mapInArrow(_surveyor(requests, filters, k, metric, arrays), SURVEY_SCHEMA)
+
+
+def with_payload(found: DataFrame, payload: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Joins the stored payload to the hits; a point without payload keeps its own id.
 
     Hits are bounded (fetch cap x batch), so they reduce the payload table by a broadcast semi join
@@ -183,7 +285,7 @@ def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:
         .withColumn("example_metadata", metadata)
         .withColumn("question", F.coalesce("question", F.lit("")))
         .withColumn("dataset_name", F.coalesce("dataset_name", F.lit("")))
-        .select("query_id", *RESULT_COLUMNS, "rank")
+        .select("query_id", *RESULT_COLUMNS, *(extra or ["rank"]))
     )
 
 
@@ -203,6 +305,18 @@ def payload_of(examples: DataFrame, datasets: DataFrame) -> DataFrame:
     )
 
 
+def with_filters(
+    vectors: DataFrame, payload: DataFrame, requests: list[SearchRequest], filters: tuple[str, ...]
+) -> tuple[DataFrame, tuple[str, ...]]:
+    """The vectors with the filter columns that some request sets, and the names of those."""
+    used = tuple(f for f in filters if any(getattr(r, f) is not None for r in requests))
+    missing = [f for f in used if f not in vectors.columns]
+    if missing:
+        stored = payload.select(F.col("id").alias("example_id"), *missing)
+        vectors = vectors.join(stored, "example_id", "left")
+    return vectors, used
+
+
 def semantic_search(
     vectors: DataFrame,
     payload: DataFrame,
@@ -222,11 +336,7 @@ def semantic_search(
     if subject is not None:
         requests = [replace(r, subject=subject) for r in requests]
     requests = resolve_vectors(vectors, requests)
-    used = tuple(f for f in filters if any(getattr(r, f) is not None for r in requests))
-    missing = [f for f in used if f not in vectors.columns]
-    if missing:
-        stored = payload.select(F.col("id").alias("example_id"), *missing)
-        vectors = vectors.join(stored, "example_id", "left")
+    vectors, used = with_filters(vectors, payload, requests, filters)
     found = nearest(vectors, requests, limit, score_threshold, filters=used)
     return with_payload(found, payload)
 

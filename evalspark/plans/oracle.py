@@ -497,12 +497,16 @@ def _matched(requests) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _keyword(requests, k: int) -> str:
+def _up_to(k: int | None) -> str:
+    return "true" if k is None else f"rank <= {k}"
+
+
+def _keyword(requests, k: int | None = None) -> str:
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank
-      FROM ({_matched(requests)})) WHERE rank <= {k}"""
+      FROM ({_matched(requests)})) WHERE {_up_to(k)}"""
 
 
-def _semantic(requests, k: int, threshold: float | None = None, subject: str | None = None) -> str:
+def _semantic(requests, k: int | None = None, threshold: float | None = None, subject: str | None = None) -> str:
     asked = ", ".join(
         f"({lit(r.query_id)}, {r.vec_id}, {lit(r.collection)}, {lit(subject or r.subject)})"
         for r in requests
@@ -516,10 +520,11 @@ def _semantic(requests, k: int, threshold: float | None = None, subject: str | N
             JOIN v_vectors q ON q.example_id = a.vec_id
             JOIN v_vectors v ON v.collection = a.collection
             LEFT JOIN v_examples e ON e.id = v.example_id)
-      WHERE (wanted IS NULL OR found = wanted) {least}) WHERE rank <= {k}"""
+      WHERE (wanted IS NULL OR found = wanted) {least}) WHERE {_up_to(k)}"""
 
 
-def _fused(requests, fetch: int) -> str:
+def _fused(requests) -> str:
+    """Both whole lists, fused."""
     weights = ", ".join(
         f"({lit(r.query_id)}, CAST({r.keyword_weight} AS DOUBLE), CAST({r.semantic_weight} AS DOUBLE))"
         for r in requests
@@ -530,11 +535,11 @@ def _fused(requests, fetch: int) -> str:
       FROM (SELECT query_id, id, sum(part ORDER BY src) AS score, min(src) AS src,
               arg_min(rank, src) AS pos
             FROM (SELECT k.query_id, k.id, 0 AS src, k.rank, w.kw / (60 + k.rank) AS part
-                  FROM ({_keyword(requests, fetch)}) k
+                  FROM ({_keyword(requests)}) k
                   JOIN (VALUES {weights}) AS w(query_id, kw, sw) ON w.query_id = k.query_id
                   UNION ALL
                   SELECT s.query_id, s.id, 1, s.rank, w.sw / (60 + s.rank)
-                  FROM ({_semantic(requests, fetch)}) s
+                  FROM ({_semantic(requests)}) s
                   JOIN (VALUES {weights}) AS w(query_id, kw, sw) ON w.query_id = s.query_id)
             GROUP BY query_id, id)"""
 
@@ -627,22 +632,22 @@ SQL["rrf_fusion"] = """
     SELECT query_id, id, round(score, 9) AS score,
       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, pos) AS rank FROM scored"""
 SQL["hybrid_search"] = _payload(
-    f"SELECT * FROM ({_fused(REQUESTS, 70)}) WHERE rank <= 20",
+    f"SELECT * FROM ({_fused(REQUESTS)}) WHERE rank <= 20",
     "r.query_id, r.rank, round(r.score, 9) AS score, r.total",
 )
 SQL["hybrid_fallback"] = _payload(
-    f"""SELECT query_id, id, rank, score, src, 'hybrid' AS mode FROM ({_fused(REQUESTS[:3], 70)})
+    f"""SELECT query_id, id, rank, score, src, 'hybrid' AS mode FROM ({_fused(REQUESTS[:3])})
       WHERE rank <= 20
       UNION ALL SELECT query_id, id, rank, NULL, 0, 'keyword'
       FROM ({_keyword([type(REQUESTS[0])("q4", "er")], 20)})""",
     "r.query_id, r.rank, r.mode, round(r.score, 9) AS score",
 )
 SQL["hybrid_deep_page"] = _payload(
-    f"SELECT * FROM ({_fused(REQUESTS, 320)}) WHERE rank BETWEEN 251 AND 270",
+    f"SELECT * FROM ({_fused(REQUESTS)}) WHERE rank BETWEEN 251 AND 270",
     "r.query_id, r.rank, round(r.score, 9) AS score, r.total",
 )
 SQL["fallback_deep_page"] = _payload(
-    f"""SELECT query_id, id, rank, score, src, 'hybrid' AS mode FROM ({_fused(REQUESTS[:3], 320)})
+    f"""SELECT query_id, id, rank, score, src, 'hybrid' AS mode FROM ({_fused(REQUESTS[:3])})
       WHERE rank BETWEEN 251 AND 270
       UNION ALL SELECT query_id, id, rank, NULL, 0, 'keyword'
       FROM ({_keyword([type(REQUESTS[0])("q4", "er")], 270)}) WHERE rank > 250""",
@@ -655,10 +660,10 @@ _PARSED = [
 ]
 SQL["assisted_search"] = _payload(
     f"""SELECT query_id, id, src, total, final_rank FROM (
-        SELECT f.*, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (
+        SELECT f.*, row_number() OVER (
           PARTITION BY query_id ORDER BY CASE WHEN x.id IS NOT NULL THEN -x.id END NULLS LAST, f.rank)
           AS final_rank
-        FROM (SELECT query_id, id, rank, src FROM ({_fused(_PARSED, 100)}) WHERE rank <= 50) f
+        FROM (SELECT query_id, id, rank, src, total FROM ({_fused(_PARSED)}) WHERE rank <= 50) f
         LEFT JOIN (SELECT id FROM v_examples WHERE answer = '1') x ON x.id = f.id)
       WHERE final_rank > 10 AND final_rank <= 20""",
     "r.query_id, r.final_rank, r.total",
@@ -671,7 +676,7 @@ def _passes(offset: int = 0) -> str:
     return f"""
       SELECT 0 AS pass_no, id, CAST(NULL AS DOUBLE) AS score, rank, 0 AS src FROM ({_keyword([kw], n)})
       UNION ALL SELECT 1, id, score, rank, 1 FROM ({_semantic([sem], n)})
-      UNION ALL SELECT 2, id, score, rank, src FROM ({_fused([hyb], n + 50)}) WHERE rank <= {n}"""
+      UNION ALL SELECT 2, id, score, rank, src FROM ({_fused([hyb])}) WHERE rank <= {n}"""
 
 
 def _merged_passes(limit: int, offset: int = 0) -> str:

@@ -90,11 +90,12 @@ def test_counts_keep_empty_datasets(rows):
 def test_cascade(rows):
     examples = rows("id long, dataset string", (1, "x"), (2, "y"))
     links = rows("collection_id long, example_id long", (9, 1), (9, 2))
-    events = rows("id long, example_id long", (1, 1), (2, 2), (3, None))
-    kept, links, events = catalog.cascade_delete(examples, links, events, rows("dataset string", ("x",)), "dataset")
+    events = rows("id long, example_id long, dataset_id long", (1, 1, 7), (2, 2, 8), (3, None, 7), (4, None, None))
+    gone = rows("dataset string, dataset_id long", ("x", 7))
+    kept, links, events = catalog.cascade_delete(examples, links, events, gone, "dataset")
     assert [r["id"] for r in kept.collect()] == [2] and [r["example_id"] for r in links.collect()] == [2]
-    assert sorted((r["id"], r["example_id"]) for r in events.where(F.col("id") < 3).collect()) == [(1, None), (2, 2)]
-    assert events.count() == 3
+    found = {r["id"]: (r["example_id"], r["dataset_id"]) for r in events.collect()}
+    assert found == {1: (None, None), 2: (2, 8), 3: (None, None), 4: (None, None)}
 
 
 def test_dimension_hint_follows_the_row_count(spark, monkeypatch):

@@ -264,8 +264,7 @@ def test_hybrid_falls_back_without_vectors(spark, seed, points):
     assert {r["id"] for r in out} == {4} and out[0]["total"] == 1
 
 
-def test_hybrid_and_fallback_count_all_matches(spark, seed, points, monkeypatch):
-    monkeypatch.setattr(plans, "HYBRID_EXTRA", 0)
+def test_hybrid_and_fallback_count_all_matches(spark, seed, points):
     examples, datasets = seed
     corpus = plans.Corpus(examples, datasets, points[1].drop("subject"), vector.payload_of(examples, datasets))
     requests = [SearchRequest("has", "a", vec_id=4, collection="c0"), SearchRequest("none", "a", vec_id=4, collection="missing")]
@@ -278,6 +277,72 @@ def test_hybrid_and_fallback_count_all_matches(spark, seed, points, monkeypatch)
     assert {r["keyword_total"] for r in plans.hybrid_search(corpus, requests[:1], limit=1).collect()} == {whole}
 
 
+def test_points_ahead_equal_brute_force():
+    rng = np.random.default_rng(2)
+    ids, scores = rng.permutation(300), np.round(rng.normal(size=300), 1)
+    chosen = sorted(zip((-scores[:40]).tolist(), ids[:40].tolist()))
+    probes = (np.array([i for _, i in chosen]), np.array([-s for s, _ in chosen]))
+    ranks = np.cumsum(vector._ahead(ids, scores, probes))[:-1]
+    whole = sorted(zip((-scores).tolist(), ids.tolist()))
+    assert ranks.tolist() == [whole.index(hit) for hit in chosen]
+
+
+@pytest.fixture(scope="module")
+def wide(spark, points):
+    """Examples beside 400 points: some matched by text, some by both sides, some by neither."""
+    texts = [f"needle {i}" if i % 5 in (0, 3) or i > 380 else f"hay {i}" for i in range(420)]
+    rows = [(i, 1 + i % 2, text, None, None, f'{{"subject":"{"ab"[i % 3 == 0]}"}}') for i, text in enumerate(texts)]
+    schema = "id long, dataset_id long, question string, answer string, choices array<string>, example_metadata string"
+    datasets = spark.createDataFrame([(1, "one", "t"), (2, "two", "t")], "id long, name string, task_type string")
+    examples = spark.createDataFrame(rows, schema).repartition(3)
+    return texts, plans.Corpus(examples, datasets, points[1].drop("subject"), vector.payload_of(examples, datasets))
+
+
+def fused_by_hand(texts, matrix, request, subject=None):
+    """The whole fused order: ids, best first."""
+    inside = lambda i: subject is None or "ab"[i % 3 == 0] == subject
+    keyword = [i for i, t in enumerate(texts) if request.query in t and inside(i)]
+    half = [i for i in range(int(request.collection[1]), 400, 2) if inside(i)]
+    block, q = matrix[half].astype(float), matrix[request.vec_id].astype(float)
+    scores = np.round(block @ q / np.linalg.norm(block, axis=1) / np.linalg.norm(q), 9)
+    near = [i for _, i in sorted(zip(-scores, half))]
+    part = {}
+    for order, (hits, weight) in enumerate(((keyword, request.keyword_weight), (near, request.semantic_weight))):
+        for rank, i in enumerate(hits, 1):
+            score, first = part.get(i, (0.0, (order, rank)))
+            part[i] = (score + weight / (60 + rank), first)
+    return sorted(part, key=lambda i: (-part[i][0], part[i][1])), len(keyword)
+
+
+@pytest.mark.parametrize("weights", [(0.4, 0.6), (1.0, 0.0), (0.0, 0.0)])
+def test_hybrid_pages_are_cuts_of_one_order(wide, points, weights):
+    texts, corpus = wide
+    requests = [
+        SearchRequest("x", "needle", vec_id=3, collection="c1", keyword_weight=weights[0], semantic_weight=weights[1]),
+        SearchRequest("y", "needle", vec_id=8, collection="c0", subject="b", keyword_weight=weights[0], semantic_weight=weights[1]),
+        SearchRequest("z", "nothing like it", vec_id=8, collection="c0", keyword_weight=weights[0], semantic_weight=weights[1]),
+    ]
+    for limit, offset in ((7, 13), (40, 230)):
+        out = plans.hybrid_search(corpus, requests, limit, offset).collect()
+        for request in requests:
+            order, matches = fused_by_hand(texts, points[0], request, request.subject)
+            mine = sorted((r["rank"], r["id"]) for r in out if r["query_id"] == request.query_id)
+            assert mine == list(enumerate(order, 1))[offset : offset + limit]
+            assert {(r["total"], r["keyword_total"]) for r in out if r["query_id"] == request.query_id} <= {(len(order), matches)}
+
+
+def test_rankings_reorder_what_was_shown(spark, wide, points):
+    texts, corpus = wide
+    request = SearchRequest("x", "needle", vec_id=3, collection="c1")
+    order, _ = fused_by_hand(texts, points[0], request)
+    ranks = spark.createDataFrame([("x", order[7], 0), ("x", order[60], 1), ("x", 10_000, 2), ("x", order[2], 3)], "query_id string, id long, position int")
+    want = [order[7], order[2], *[i for i in order if i not in (order[7], order[2])]]
+    for limit, offset in ((5, 0), (20, 40)):
+        out = plans.assisted_search(corpus, [request], ranks, limit, offset).collect()
+        assert [i for _, i in sorted((r["final_rank"], r["id"]) for r in out)] == want[offset : offset + limit]
+        assert {r["total"] for r in out} == {len(order)}
+
+
 def test_upsert_last_write_wins(spark):
     schema = "collection string, example_id long, vector array<float>, batch int"
     stored = spark.createDataFrame([("c", 1, [1.0, 1.0], 0), ("c", 2, [2.0, 2.0], 0)], schema)
