@@ -14,21 +14,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_name(doc_id: Column, text: Column) -> Column:
+    """128 bits of id and text: rows that repeat an id, or have none, stay apart if their texts differ."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), text)))
+
+
 def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:
     """doc_id, row and text (null: empty) of documents; with ``keep`` also all columns as one struct ``whole``.
 
-    ``row`` hashes the text, so that rows which repeat a doc_id with another text stay apart. Columns
-    of the input can't clash with the operators' own, which never stand beside them.
+    ``row`` names a row by its id and text, see :func:`row_name`. Columns of the input can't clash with the operators'
+    own, which never stand beside them.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("row"), text.alias("text")]
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    columns = [doc_id.alias("doc_id"), row_name(doc_id, text).alias("row"), text.alias("text")]
     return docs.select(*columns, *([F.struct("*").alias("whole")] if keep else []))
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["row"] == right["row"])
-
-
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = frame.sparkSession

@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm import textscan as ts
-from evalspark.llm.common import keyed, replaced_text, same_row, stored
+from evalspark.llm.common import keyed, replaced_text, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 1 << 16
 SALTS = 16
 NO_ID = -(1 << 63)
-LINE_SCHEMA = "h1 long, h2 long, doc_id long, row int, line_no int, first boolean"
-SHARD_SCHEMA = "shard long, sizes array<long>, bits binary, prints binary, counts binary, keepers binary"
+LINE_SCHEMA = "h1 long, h2 long, doc_id long, row binary, line_no int, first boolean"
+SHARD_SCHEMA = "shard long, seed long, sizes array<long>, bits binary, prints binary, counts binary, keepers binary"
 
 
 def line_table(batch: pa.RecordBatch, min_chars: int) -> dict[str, np.ndarray]:
@@ -130,23 +130,31 @@ class PerfectHash:
         return out
 
 
+def folded(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """One number for each key of two hashes."""
+    return ts.mix(h1 + np.uint64(0xD1342543DE82EF95 * seed % (1 << 64))) ^ ts.mix(h2 + np.uint64(seed))
+
+
 def build_shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     h1 = frame["h1"].to_numpy(np.int64).view(np.uint64)
-    # Two keys may share their first 64 bits; the second half then separates them, see probe().
-    keys = ts.mix(h1) ^ frame["h2"].to_numpy(np.int64).view(np.uint64)
+    h2 = frame["h2"].to_numpy(np.int64).view(np.uint64)
+    # Distinct keys of 128 bits may meet in one number of 64 bits; another seed then separates them.
+    seed = 0
+    while len(np.unique(keys := folded(h1, h2, seed))) < len(keys):
+        seed += 1
     hashed = PerfectHash.build(keys)
     slot = hashed.numbers(keys)
     prints, counts, keepers = np.zeros((len(keys), 2), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     prints[slot, 0], prints[slot, 1] = frame["h1"], frame["h2"]
     counts[slot], keepers[slot] = frame["n"], frame["keeper"]
-    return pd.DataFrame({"shard": [key[0]], "sizes": [hashed.sizes.tolist()], "bits": [hashed.bits.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "keepers": [keepers.tobytes()]})
+    return pd.DataFrame({"shard": [key[0]], "seed": [seed], "sizes": [hashed.sizes.tolist()], "bits": [hashed.bits.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "keepers": [keepers.tobytes()]})
 
 
 def probe(min_docs: int):
     """Streams (shard, salt) groups: the arrays come first, then the line rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hashed, prints, counts, keepers = None, None, None, None, None
+        held, seed, hashed, prints, counts, keepers = None, 0, None, None, None, None
         for batch in batches:
             marks = np.flatnonzero(batch.column("bits").is_valid().to_numpy(zero_copy_only=False))
             shards = batch.column("shard").to_numpy()
@@ -154,7 +162,7 @@ def probe(min_docs: int):
             for low, high in zip(edges[:-1], edges[1:]):
                 if low in marks:
                     row = batch.slice(low, 1).to_pylist()[0]
-                    held = row["shard"]
+                    held, seed = row["shard"], row["seed"]
                     hashed = PerfectHash(np.array(row["sizes"], np.int64), np.frombuffer(row["bits"], np.uint64))
                     prints = np.frombuffer(row["prints"], np.int64).reshape(-1, 2)
                     counts, keepers = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["keepers"], np.int64)
@@ -163,29 +171,29 @@ def probe(min_docs: int):
                     continue
                 part = batch.slice(low, high - low)
                 h1, h2 = part.column("h1").to_numpy(), part.column("h2").to_numpy()
-                slot = hashed.numbers(ts.mix(h1.view(np.uint64)) ^ h2.view(np.uint64))
+                slot = hashed.numbers(folded(h1.view(np.uint64), h2.view(np.uint64), seed))
                 ids = part.column("doc_id").fill_null(NO_ID).to_numpy()
                 drop = (slot >= 0) & (shards[low:high] == held)
                 at = slot[drop]
                 drop[drop] = (prints[at, 0] == h1[drop]) & (prints[at, 1] == h2[drop]) & (counts[at] >= min_docs) & (keepers[at] != ids[drop])
-                yield part.filter(pa.array(drop)).select(["doc_id", "row", "line_no"])
+                yield part.filter(pa.array(drop)).select(["row", "line_no"])
 
     return run
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
-    """doc_id, row and ``drop`` (numbers of the lines to drop, from 0) of each document that loses lines."""
+    """row and ``drop`` (numbers of the lines to drop, from 0) of each document that loses lines."""
     lines = stored(keyed(docs).mapInArrow(scan_lines(min_chars), LINE_SCHEMA), "lines")
     hot = lines.groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("n"), F.max(F.coalesce("doc_id", F.lit(NO_ID))).alias("keeper")).where(F.col("n") >= min_docs)
     hot = stored(hot, "hot-lines")
     shard = F.pmod(F.col("h1"), F.lit(max(1, -(-hot.count() // shard_keys))))
     arrays = hot.withColumn("shard", shard).groupBy("shard").applyInPandas(build_shard, SHARD_SCHEMA)
     arrays = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    routed = lines.drop("first").withColumns({"shard": shard, "salt": F.pmod(F.xxhash64("doc_id", "row"), F.lit(salts)).cast("int")})
+    routed = lines.drop("first").withColumns({"shard": shard, "salt": F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")})
     parts = arrays.unionByName(routed, allowMissingColumns=True)
     parts = parts.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("bits").isNull())
-    found = parts.mapInArrow(probe(min_docs), "doc_id long, row int, line_no int")
-    return found.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("drop"))
+    found = parts.mapInArrow(probe(min_docs), "row binary, line_no int")
+    return found.groupBy("row").agg(F.collect_set("line_no").alias("drop"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
@@ -193,7 +201,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     rows, drops = keyed(docs, keep=True), dropped_lines(docs, **options)
     split = F.split("text", "\n", -1)
     chosen = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))), lambda i: F.get(F.col("lines"), i))
-    joined = rows.join(drops, same_row(rows, drops), "left").select(rows["doc_id"], "whole", "text", "drop", split.alias("lines"))
+    joined = rows.join(drops, "row", "left").select("doc_id", "whole", "text", "drop", split.alias("lines"))
     return joined.select(
         "doc_id",
         "whole",

@@ -26,17 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm import textscan as ts
-from evalspark.llm.common import documents, keyed, replaced_text, same_row, stored
+from evalspark.llm.common import documents, keyed, replaced_text, stored
 
 WINDOW, PREFIX = 35, 8
 RUN = 32  # windows per run at most, so that a run's answer is one 32-bit map
 SUBTREE_RUNS = 20_000
 CHUNK_WORDS = 1 << 20
-RUN_SCHEMA = "prefix long, same long, doc_id long, row int, start int, windows int"
+RUN_SCHEMA = "prefix long, same long, row binary, start int, windows int"
 
 
 def runs(batch: pa.RecordBatch, window: int) -> dict[str, np.ndarray]:
@@ -86,8 +86,8 @@ def scan_runs(window: int):
             t = runs(batch, window)
             source = pa.array(t["source"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t["prefix"]), pa.array(t["same"]), batch.column("doc_id").take(source), batch.column("row").take(source), pa.array(t["start"]), pa.array(t["windows"])],
-                names=["prefix", "same", "doc_id", "row", "start", "windows"],
+                [pa.array(t["prefix"]), pa.array(t["same"]), batch.column("row").take(source), pa.array(t["start"]), pa.array(t["windows"])],
+                names=["prefix", "same", "row", "start", "windows"],
             )
 
     return scan
@@ -109,8 +109,8 @@ def cut_runs(window: int):
             pieces = [hashes[b:e].tobytes() for b, e in zip(begin.tolist(), (begin + count + window - 1).tolist())]
             take = pa.array(source)
             yield pa.RecordBatch.from_arrays(
-                [flat.field("prefix"), batch.column("doc_id").take(take), batch.column("row").take(take), flat.field("start"), flat.field("windows"), flat.field("alone"), flat.field("hot"), pa.array(pieces, pa.binary())],
-                names=["prefix", "doc_id", "row", "start", "windows", "alone", "hot", "words"],
+                [flat.field("prefix"), batch.column("row").take(take), flat.field("start"), flat.field("windows"), flat.field("alone"), flat.field("hot"), pa.array(pieces, pa.binary())],
+                names=["prefix", "row", "start", "windows", "alone", "hot", "words"],
             )
 
     return cut
@@ -162,7 +162,7 @@ def subtrees(window: int, chunk_words: int):
         bitmap = np.zeros(len(count), np.int64)
         np.bitwise_or.at(bitmap, row[shared], np.int64(1) << inside[shared])
         hit = (bitmap != 0) & batch.column("alone").to_numpy(zero_copy_only=False)
-        return batch.append_column("bitmap", pa.array(bitmap)).filter(pa.array(hit)).select(["doc_id", "row", "start", "windows", "bitmap"])
+        return batch.append_column("bitmap", pa.array(bitmap)).filter(pa.array(hit)).select(["row", "start", "windows", "bitmap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -195,36 +195,43 @@ def full_depth(window: int):
             at = offsets[row] // 8 + inside
             take = pa.array(row)
             columns = [pa.array(ts.grams(words, window, seed)[at].view(np.int64)) for seed in (1, 2)]
-            columns += [batch.column(c).take(take) for c in ("doc_id", "row", "start", "windows", "alone")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(inside.astype(np.int32))], names=["w1", "w2", "doc_id", "row", "start", "windows", "alone", "inside"])
+            columns += [batch.column(c).take(take) for c in ("row", "start", "windows", "alone")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(inside.astype(np.int32))], names=["w1", "w2", "row", "start", "windows", "alone", "inside"])
 
     return run
 
 
 def repeated(rows: DataFrame, window: int = WINDOW, subtree_runs: int = SUBTREE_RUNS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """doc_id, row and ``found``: (start, bitmap) of each run with repeated windows; ``rows``: doc_id, row, text."""
-    by_prefix = Window.partitionBy("prefix")
-    by_words = Window.partitionBy("prefix", "same")
-    first = Window.partitionBy("prefix", "same").orderBy("doc_id", "row", "start")
-    counted = rows.mapInArrow(scan_runs(window), RUN_SCHEMA)
-    prefixes = stored(counted, "runs")
+    """row and ``found``: (start, bitmap) of each run with repeated windows; ``rows``: row, text.
+
+    Runs are counted by aggregates with map-side sums, never gathered: a passage that a third of all documents hold is one row
+    of ``kinds`` for each task, and AQE may split the join back.
+    """
+    prefixes = stored(rows.select("row", "text").mapInArrow(scan_runs(window), RUN_SCHEMA), "runs")
     twice = prefixes.groupBy("prefix").agg(F.count("*").alias("n"), F.min("same").alias("low"), F.max("same").alias("high")).where("n > 1")
     branching = prefixes.join(twice.select("prefix", (F.col("low") != F.col("high")).alias("branches")), "prefix")
-    sized = branching.select("*", F.count("*").over(by_words).alias("copies"), F.row_number().over(first).alias("place"))
-    sized = stored(sized.select("*", F.sum((F.col("place") == 1).cast("int")).over(by_prefix).alias("kinds")), "branching")
+    branching = stored(branching, "branching")
+    kinds = branching.groupBy("prefix", "same").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("one"))
+    wide = kinds.groupBy("prefix").agg(F.count("*").alias("kinds")).where(F.col("kinds") > subtree_runs).select("prefix", F.lit(True).alias("wide"))
+    again = kinds.where("copies > 1").select("prefix", "same", "one")
+    sized = branching.join(again, ["prefix", "same"], "left")
     every = F.expr("shiftleft(1L, windows) - 1")
-    whole = sized.where("copies > 1").select("doc_id", "row", "start", every.alias("bitmap"))
-    item = F.struct("prefix", "start", "windows", (F.col("copies") == 1).alias("alone"), (F.col("kinds") > subtree_runs).alias("hot"))
-    wanted = sized.where("branches AND place = 1").groupBy("doc_id", "row").agg(F.collect_list(item).alias("wanted"))
-    pieces = rows.join(wanted, same_row(rows, wanted)).select(rows["doc_id"], rows["row"], "text", "wanted")
-    pieces = stored(pieces.mapInArrow(cut_runs(window), "prefix long, doc_id long, row int, start int, windows int, alone boolean, hot boolean, words binary"), "cut-runs")
+    whole = sized.where("one IS NOT NULL").select("row", "start", every.alias("bitmap"))
+    # One copy of each distinct run of a prefix that branches goes to the prefix's subtree.
+    own = F.struct("row", "start") == F.col("one")
+    item = F.struct("prefix", "start", "windows", F.col("one").isNull().alias("alone"), F.coalesce("wide", F.lit(False)).alias("hot"))
+    first = sized.where("branches").where(F.col("one").isNull() | own).join(wide, "prefix", "left")
+    wanted = first.groupBy("row").agg(F.collect_list(item).alias("wanted"))
+    # Rows that repeat id and text are cut twice; that adds no window, and their own runs are in ``whole``.
+    texts = rows.select("row", "text").join(wanted, "row")
+    pieces = stored(texts.mapInArrow(cut_runs(window), "prefix long, row binary, start int, windows int, alone boolean, hot boolean, words binary"), "cut-runs")
     cold = pieces.where("NOT hot").repartition("prefix").sortWithinPartitions("prefix")
-    cold = cold.mapInArrow(subtrees(window, chunk_words), "doc_id long, row int, start int, windows int, bitmap long")
-    deep = pieces.where("hot").mapInArrow(full_depth(window), "w1 long, w2 long, doc_id long, row int, start int, windows int, alone boolean, inside int")
+    cold = cold.mapInArrow(subtrees(window, chunk_words), "row binary, start int, windows int, bitmap long")
+    deep = pieces.where("hot").mapInArrow(full_depth(window), "w1 long, w2 long, row binary, start int, windows int, alone boolean, inside int")
     nodes = deep.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = deep.where("alone").join(nodes, ["w1", "w2"]).groupBy("doc_id", "row", "start").agg(F.expr("bit_or(shiftleft(1L, inside))").alias("bitmap"))
+    hot = deep.where("alone").join(nodes, ["w1", "w2"]).groupBy("row", "start").agg(F.expr("bit_or(shiftleft(1L, inside))").alias("bitmap"))
     found = whole.unionByName(cold.drop("windows")).unionByName(hot)
-    return found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "bitmap")).alias("found"))
+    return found.groupBy("row").agg(F.collect_set(F.struct("start", "bitmap")).alias("found"))
 
 
 def cover(window: int):
@@ -262,7 +269,7 @@ def dedup(docs: DataFrame, keep: bool = True, **options) -> DataFrame:
     rows = keyed(docs)
     found = repeated(rows, **options)
     left = keyed(docs, keep=keep)
-    joined = left.join(found, same_row(left, found), "left").select(left["doc_id"], *(["whole"] if keep else []), "text", "found")
+    joined = left.join(found, "row", "left").select("doc_id", *(["whole"] if keep else []), "text", "found")
     schema = joined.drop("text", "found").schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
     return joined.mapInArrow(cover(options.get("window", WINDOW)), schema)
 
