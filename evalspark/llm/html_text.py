@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from evalspark.session import configure
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+# A quote opens a value only behind an equals sign; an unquoted value ends at white space or at the end of the tag.
+VALUE = r"=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|[^>]"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:{VALUE})*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title", "audio", "video", "button"}
 CONTAINERS = {"article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "head", "header", "hgroup", "main", "menu", "nav", "ol", "section", "table", "tbody", "td", "th", "tr", "ul"}
@@ -90,7 +92,7 @@ def blocks(page: str) -> list[dict]:
     while match := TOKEN.search(page, at):
         add(page[at : match.start()])
         at = match.end()
-        end, tag, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
+        end, tag, attributes = match[1], match[2], match[3]
         if not tag:
             continue
         tag = tag.lower()
@@ -212,7 +214,9 @@ def extract(page: str) -> str:
     labels = ["bad" if b["bad"] else first_pass(b) for b in found]
     size = {label: sum(len(b["text"]) for b, own in zip(found, labels) if own == label) for label in ("good", "sparse")}
     # On a page whose language the stop words don't know, their absence says nothing.
-    labels = [("bad" if size["good"] > size["sparse"] else "open") if label == "sparse" else label for label in labels]
+    known = size["good"] > size["sparse"]
+    # A paragraph of an article may be all names and numbers: its neighbours decide.
+    labels = [("bad" if known and not (b["inside"] and b["leaf"] == "p") else "open") if label == "sparse" else label for b, label in zip(found, labels)]
     return "\n".join(b["text"] for b, main in zip(found, second_pass(found, labels, doubtful, marked)) if main)
 
 
