@@ -211,9 +211,10 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = BINS
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id linked directly or through others) and kept of every row."""
+    """doc_id, n_shingles, component_id (smallest doc_id linked directly or through others) and kept (doc_id = component_id) of every row."""
     rows = grouped(docs, **options)
-    return rows.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id"), "kept")
+    whole = F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id")
+    return rows.select(*whole, (F.col("id") == F.col("component")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
