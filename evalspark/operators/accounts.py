@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.columns import instant
 from evalspark.functions.tiers import UNLIMITED, effective_tier, limit_of
+from evalspark.operators.changes import deleted_users
 from evalspark.operators.ranking import top_k_per_key
 
 # Fixed values of subscription changes.
@@ -153,21 +154,9 @@ def erase(
     ``tables`` holds users, collections, links, api_keys and events; ``leaving`` has user_id.
     """
     gone = leaving.select("user_id").distinct()
-    theirs = tables["collections"].join(gone, "user_id", "left_semi")
-    lost = theirs.select(F.col("id").alias("collection_id"))
-    events = tables["events"].join(gone.withColumn("_gone", F.lit(True)), "user_id", "left")
-    events = events.join(lost.withColumn("_lost", F.lit(True)), "collection_id", "left")
-    stays = F.col("_gone").isNull()
-    return {
-        "users": tables["users"].join(gone, F.col("id") == F.col("user_id"), "left_anti"),
-        "collections": tables["collections"].join(gone, "user_id", "left_anti"),
-        "links": tables["links"].join(lost, "collection_id", "left_anti"),
-        "api_keys": tables["api_keys"].join(gone, "user_id", "left_anti"),
-        "events": events.withColumn("user_id", F.when(stays, F.col("user_id")))
-        .withColumn("session_id", F.when(stays, F.col("session_id")))
-        .withColumn("collection_id", F.when(F.col("_lost").isNull(), F.col("collection_id")))
-        .drop("_gone", "_lost"),
-    }
+    theirs = tables["collections"].join(gone, "user_id", "left_semi").select("id")
+    changes = deleted_users(gone, theirs)
+    return {name: changes.applied(frame, name) for name, frame in tables.items()}
 
 
 def paid_tier(product_id: Column, ultra_product: str) -> Column:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark import schemas
 from evalspark.functions.columns import metadata_text, stable_id
+from evalspark.operators.changes import deleted_datasets
 from evalspark.operators.ranking import page, top_k_per_key
+from evalspark.operators.row_functions import REQUIRED, tried
 from evalspark.sources.adapters import Adapter
 
-REQUIRED = ("dataset_id", "question", "split")
 SAMPLE_ROWS = 3
 POSITION_BUCKETS = 4096
 
@@ -207,41 +207,13 @@ def ingest_custom(
 ) -> DataFrame:
     """Examples from a caller's row function, run on the executors batch by batch.
 
-    ``raw`` carries ``split`` and a unique ``pos``; the split ends up in the metadata.
+    ``raw`` carries ``split`` and a unique ``pos``; the split ends up in the metadata. A row that fails ends the job with
+    its position and reason; ``row_functions.ingest_checked`` sets such rows aside.
     """
-    import json
-
-    schema = (
-        "pos long, dataset_id long, question string, answer string, choices array<string>, "
-        "example_metadata string, split string"
-    )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for row in frame.to_dict("records"):
-                parsed = parse_row(row, dataset_id, row["split"])
-                split = parsed.get("split", row["split"])
-                metadata = {**(parsed.get("example_metadata") or {}), "split": split}
-                rows.append(
-                    (
-                        row["pos"],
-                        parsed["dataset_id"],
-                        parsed["question"],
-                        parsed.get("answer"),
-                        parsed.get("choices"),
-                        json.dumps(metadata, ensure_ascii=False, separators=(",", ":")),
-                        split,
-                    )
-                )
-            yield pd.DataFrame(
-                rows,
-                columns=[
-                    "pos", "dataset_id", "question", "answer", "choices", "example_metadata", "split",
-                ],
-            )
-
-    return raw.mapInPandas(run, schema)
+    results = tried(raw, parse_row, dataset_id, lenient=True)
+    reason = F.concat(F.lit("row "), F.col("pos").cast("string"), F.lit(": "), F.array_join("errors", "; "))
+    question = F.when(F.size("errors") > 0, F.raise_error(reason)).otherwise(F.col("question"))
+    return results.withColumn("question", question).drop("errors", "source")
 
 
 # -- referential actions -------------------------------------------------------------------------
@@ -255,19 +227,10 @@ def cascade_delete(
     ``deleted`` lists the values of ``key``, the dataset column of ``examples``, beside dataset_id.
     """
     gone = deleted.select(key).distinct()
-    kept = examples.join(gone, key, "left_anti")
-    gone_ids = examples.join(gone, key, "left_semi").select(F.col("id").alias("example_id"))
-    links = links.join(gone_ids, "example_id", "left_anti")
-    marked = gone_ids.withColumn("_gone", F.lit(True))
-    events = (
-        events.join(marked, "example_id", "left")
-        .withColumn("example_id", F.when(F.col("_gone").isNull(), F.col("example_id")))
-        .drop("_gone")
-    )
-    datasets = deleted.select("dataset_id", F.lit(True).alias("_gone")).distinct()
-    events = (
-        events.join(datasets, "dataset_id", "left")
-        .withColumn("dataset_id", F.when(F.col("_gone").isNull(), F.col("dataset_id")))
-        .drop("_gone")
+    gone_ids = examples.join(gone, key, "left_semi").select("id")
+    changes = deleted_datasets(gone, deleted.select("dataset_id"), gone_ids, key)
+    return (
+        changes.applied(examples, "examples"),
+        changes.applied(links, "links"),
+        changes.applied(events, "events"),
     )
-    return kept, links, events

@@ -438,9 +438,38 @@ SQL["user_erasure"] = """
       UNION ALL SELECT 'links', example_id FROM v_links WHERE collection_id IN (SELECT id FROM kept)
       UNION ALL SELECT 'api_keys', id FROM v_api_keys WHERE user_id NOT IN (SELECT id FROM gone)
       UNION ALL SELECT 'events', CASE WHEN user_id NOT IN (SELECT id FROM gone) THEN user_id END
-      FROM v_events)
+      FROM v_events
+      UNION ALL SELECT 'events.collection_id',
+        CASE WHEN id NOT IN (SELECT id FROM v_collections) OR id IN (SELECT id FROM kept) THEN id END FROM v_events)
     SELECT table_name, count(*) AS n, count(k) AS filled, CAST(sum(k) AS BIGINT) AS checksum
-    FROM all_rows GROUP BY table_name"""
+    FROM all_rows GROUP BY table_name
+    UNION ALL SELECT 'events.session_id', count(*), count(session_id) FILTER (user_id NOT IN (SELECT id FROM gone)), NULL
+    FROM v_events"""
+SQL["delete_collections"] = """
+    WITH gone AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0),
+    left_over AS (SELECT collection_id, example_id FROM v_links WHERE collection_id NOT IN (SELECT id FROM gone)),
+    all_rows AS (
+      SELECT 'collections.id' AS column_name, id AS k FROM v_collections WHERE id NOT IN (SELECT id FROM gone)
+      UNION ALL SELECT 'links.collection_id', collection_id FROM left_over
+      UNION ALL SELECT 'links.example_id', example_id FROM left_over
+      UNION ALL SELECT 'events.collection_id', CASE WHEN id NOT IN (SELECT id FROM gone) THEN id END FROM v_events
+      UNION ALL SELECT 'events.example_id', example_id FROM v_events
+      UNION ALL SELECT 'events.dataset_id', dataset_id FROM v_events)
+    SELECT column_name, count(*) AS n, count(k) AS filled, CAST(sum(k) AS BIGINT) AS checksum
+    FROM all_rows GROUP BY column_name"""
+SQL["record_events"] = f"""
+    WITH r AS (SELECT *, CASE WHEN id % 2 = 1 THEN 'odd' ELSE 'even' END AS name FROM v_events)
+    SELECT CAST('0x' || substr(md5(name || '/' || id), 1, 15) AS BIGINT) AS id, CASE WHEN id % 97 <> 0 THEN event_type END AS event_type,
+      CASE WHEN regexp_matches(session_id, '^[0-9a-zA-Z\\-_]{{1,100}}$') THEN session_id END AS session_id,
+      'user' || user_id || CASE WHEN id % 89 = 0 THEN repeat('x', 100) ELSE '' END AS user_id,
+      example_id, collection_id, dataset_id, query, {stamp("created_at")} AS created_at,
+      CASE WHEN event_type = 'search' THEN {cycle("id", ("keyword", "semantic", "hybrid", "intelligent"))} END AS search_mode,
+      CASE WHEN event_type = 'pick' THEN id % 20 END AS result_position,
+      CASE WHEN event_type = 'pick' THEN CAST(example_id AS DOUBLE) / 100 END AS result_score,
+      CASE WHEN event_type = 'export' THEN {cycle("id", ("json", "jsonl", "csv", "langfuse"))} END AS export_format,
+      CASE WHEN event_type = 'view' THEN '{{"source":"s' || id % 3 || '"}}' END AS event_metadata,
+      CASE WHEN id % 97 <> 0 AND id % 89 <> 0 THEN name END AS batch
+    FROM r"""
 SQL["dataset_stats_record"] = """
     SELECT dataset_id, '{"total_examples":' || CAST(sum(n) AS BIGINT) || ',"splits":{'
       || string_agg('"' || split || '":' || n, ',' ORDER BY split) || '}}' AS stats
@@ -475,6 +504,16 @@ SQL["ingest_custom"] = """
       CAST(turn AS VARCHAR) AS turn
     FROM conversations"""
 
+SQL["validate_parser"] = """
+    SELECT conv_id * 1000 + turn AS pos, md5(text) AS question_md5,
+      CASE (conv_id * 1000 + turn) % 7
+        WHEN 0 THEN 'parse_row returned list, expected dict'
+        WHEN 1 THEN 'missing keys split' || CASE WHEN text = '' THEN '; question is empty or None' ELSE '' END
+        WHEN 2 THEN 'KeyError: ''no such column'''
+        WHEN 3 THEN 'question is empty or None'
+        ELSE CASE WHEN text = '' THEN 'question is empty or None' END END AS error
+    FROM conversations"""
+
 # -- search --------------------------------------------------------------------------------------
 
 

@@ -9,16 +9,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark import schemas
 from evalspark.functions import model_json, text
 from evalspark.functions.columns import instant
 from evalspark.functions.tiers import effective_tier
 from evalspark.operators import (
     accounts,
     catalog,
+    changes,
     curation,
+    event_log,
     exporting,
     fusion,
     mining,
+    row_functions,
     search,
     vector,
 )
@@ -316,7 +320,7 @@ def _(v: Views) -> DataFrame:
             "collections": v.collections(),
             "links": v.collection_examples(),
             "api_keys": v.api_keys(),
-            "events": v.curation_events(),
+            "events": events_of_collections(v),
         },
         leaving.select(F.col("id").alias("user_id")),
     )
@@ -335,10 +339,70 @@ def _(v: Views) -> DataFrame:
         ).withColumn("table_name", F.lit(name))
         for name, df in tables.items()
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    for name in ("session_id", "collection_id"):
+        number = F.sum(F.col(name).cast("long")) if name == "collection_id" else F.lit(None).cast("long")
+        counted = tables["events"].agg(F.count("*").alias("n"), F.count(name).alias("filled"), number.alias("checksum"))
+        parts.append(counted.withColumn("table_name", F.lit(f"events.{name}")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def events_of_collections(v: Views) -> DataFrame:
+    """Events on collections of other users than their own."""
+    return v.curation_events().withColumn("collection_id", F.col("id"))
+
+
+@query("delete_collections")
+def _(v: Views) -> DataFrame:
+    """Stored collections, links and events after a third of the closed orders' collections were deleted."""
+    deleted = v.table("orders").where("o_orderstatus = 'F' AND o_orderkey % 3 = 0").select("o_orderkey")
+    stored = {
+        "collections": v.collections().select("id", "name", F.pmod("id", F.lit(16)).alias("part")),
+        "links": v.collection_examples().withColumn("part", F.pmod("collection_id", F.lit(16))),
+        "events": events_of_collections(v).withColumn("part", F.to_date("created_at")),
+    }
+    removal = changes.deleted_collections(deleted)
+    parts = []
+    for name, frame in stored.items():
+        path = work_dir(v.spark, f"stored-{name}")
+        frame.write.partitionBy("part").parquet(path)
+        removal.rewrite(v.spark, path, name, "part")
+        rows = v.spark.read.schema(frame.schema).parquet(path)
+        for key in {"collections": ["id"], "links": ["collection_id", "example_id"]}.get(name, ["collection_id", "example_id", "dataset_id"]):
+            counted = rows.agg(F.count("*").alias("n"), F.count(key).alias("filled"), F.sum(key).alias("checksum"))
+            parts.append(counted.withColumn("column_name", F.lit(f"{name}.{key}")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("record_events")
+def _(v: Views) -> DataFrame:
+    """Two batches of whole events, the first recorded twice; what the log can't hold is handed back."""
+    raw = v.curation_events()
+    modes = F.array(*[F.lit(m) for m in ("keyword", "semantic", "hybrid", "intelligent")])
+    formats = F.array(*[F.lit(f) for f in schemas.EXPORT_FORMATS])
+    kind = F.col("event_type")
+    requests = raw.select(
+        F.col("id").alias("key"),
+        F.when(F.col("id") % 97 != 0, kind).alias("event_type"),
+        "session_id",
+        F.concat(F.lit("user"), F.col("user_id"), F.when(F.col("id") % 89 == 0, F.repeat(F.lit("x"), F.lit(100))).otherwise("")).alias("user_id"),
+        "example_id", "collection_id", "dataset_id", "query", "created_at",
+        F.when(kind == "search", F.get(modes, F.pmod("id", F.lit(4)).cast("int"))).alias("search_mode"),
+        F.when(kind == "pick", F.pmod("id", F.lit(20))).alias("result_position"),
+        F.when(kind == "pick", F.col("example_id") / 100).alias("result_score"),
+        F.when(kind == "export", F.get(formats, F.pmod("id", F.lit(4)).cast("int"))).alias("export_format"),
+        F.when(kind == "view", F.create_map(F.lit("source"), F.concat(F.lit("s"), F.pmod("id", F.lit(3))))).alias("event_metadata"),
+    )
+    path = work_dir(v.spark, "event-log")
+    odd = F.pmod("key", F.lit(2)) == 1
+    refused = [
+        event_log.record(requests.where(where), path, batch, "key")
+        for batch, where in (("odd", odd), ("even", ~odd), ("odd", odd))
+    ]
+    kept = event_log.read_log(v.spark, path)
+    lost = refused[0].withColumn("batch", F.lit(None).cast("string")).unionByName(
+        refused[1].withColumn("batch", F.lit(None).cast("string"))
+    )
+    return kept.unionByName(lost).withColumn("created_at", instant(F.col("created_at")))
 
 
 @query("dataset_stats_record")
@@ -449,6 +513,30 @@ def _(v: Views) -> DataFrame:
     )
 
 
+def parse_some_turns(row: dict, dataset_id: int, split: str) -> dict:
+    """A row function that fails in four ways."""
+    case = row["pos"] % 7
+    if case == 0:
+        return [row["text"]]
+    if case == 1:
+        return {"question": row["text"], "dataset_id": dataset_id}
+    if case == 2:
+        return {"question": row["no such column"], "dataset_id": dataset_id, "split": split}
+    return parse_turn({**row, "text": "" if case == 3 else row["text"]}, dataset_id, split)
+
+
+@query("validate_parser")
+def _(v: Views) -> DataFrame:
+    """Examples and quarantine of a row function that fails on half of the rows, in one table."""
+    raw = v.table("conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.lit("train").alias("split"), "turn", "role", "text"
+    )
+    good, bad = row_functions.ingest_checked(raw, parse_some_turns, dataset_id=77)
+    kept = good.select("pos", F.md5("question").alias("question_md5"), F.lit(None).cast("string").alias("error"))
+    source = F.md5(F.get_json_object("source", "$.text"))
+    return kept.unionByName(bad.select("pos", source.alias("question_md5"), F.array_join("errors", "; ").alias("error")))
+
+
 # -- search --------------------------------------------------------------------------------------
 
 

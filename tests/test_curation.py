@@ -1,12 +1,15 @@
 """Collections, the interaction log and accounts."""
 
 import datetime as dt
+import pathlib
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from evalspark.operators import accounts, curation, mining
+from evalspark import schemas
+from evalspark.operators import accounts, changes, curation, event_log, mining
 
 LINKS = "collection_id long, example_id long"
 
@@ -160,3 +163,87 @@ def test_erasure(rows):
     assert out["api_keys"].count() == 0 and [r["id"] for r in out["collections"].collect()] == [6]
     kept = sorted((r["id"], r["user_id"], r["session_id"], r["collection_id"]) for r in out["events"].collect())
     assert kept == [(1, None, None, 6), (2, 2, "t", None), (3, 2, "t", 6)]
+
+
+def stored_tables(spark, tmp_path):
+    """Collections, links and events of three users, in partitions."""
+    event = (
+        "id", "if(id % 5 = 0, null, id % 40) AS collection_id", "id AS example_id", "id % 9 AS dataset_id",
+        "id % 3 AS user_id", "concat('s', id) AS session_id", "id % 40 % 8 AS part",
+    )
+    frames = {
+        "collections": spark.range(40).selectExpr("id", "id % 3 AS user_id", "id % 8 AS part"),
+        "links": spark.range(400).selectExpr("id % 40 AS collection_id", "id AS example_id", "id % 40 % 8 AS part"),
+        "events": spark.range(200).selectExpr(*event),
+    }
+    paths = {}
+    for name, frame in frames.items():
+        paths[name] = str(tmp_path / name)
+        frame.write.partitionBy("part").parquet(paths[name])
+    return frames, paths
+
+
+def files(path):
+    return {str(f) for f in pathlib.Path(path).rglob("*.parquet")}
+
+
+def test_deleted_collections_touch_their_partitions_only(spark, tmp_path):
+    frames, paths = stored_tables(spark, tmp_path)
+    gone = [0, 8, 16, 24, 32, 3, 99]  # all of partition 0, one of partition 3, one that is not there
+    removal = changes.deleted_collections(spark.createDataFrame([(i,) for i in [*gone, 3, None]], "id long"))
+    before = {name: files(path) for name, path in paths.items()}
+    for turn in range(2):
+        touched = {name: removal.rewrite(spark, path, name, "part") for name, path in paths.items()}
+        # The second run finds nothing left to do.
+        assert touched == {name: [] if turn else [0, 3] for name in paths}
+        read = {name: spark.read.schema(frames[name].schema).parquet(path).collect() for name, path in paths.items()}
+        assert {r["id"] for r in read["collections"]} == set(range(40)) - set(gone)
+        assert {r["example_id"] for r in read["links"]} == {i for i in range(400) if i % 40 not in gone}
+        want = {i: None if i % 5 == 0 or i % 40 in gone else i % 40 for i in range(200)}
+        assert {r["id"]: r["collection_id"] for r in read["events"]} == want and len(read["events"]) == 200
+        assert all((r["example_id"], r["session_id"]) == (r["id"], f"s{r['id']}") for r in read["events"])
+    for name, path in paths.items():
+        untouched = {f for f in before[name] if "part=0" not in f and "part=3" not in f}
+        assert untouched <= files(path) and not (before[name] - untouched) & files(path)
+
+
+def test_erasure_as_a_change_set(spark, tmp_path):
+    frames, _ = stored_tables(spark, tmp_path)
+    leaving = spark.createDataFrame([(1,)], "user_id long")
+    theirs = frames["collections"].join(leaving, "user_id", "left_semi").select("id")
+    out = changes.deleted_users(leaving, theirs).applied(frames["events"], "events").collect()
+    for r in out:
+        user, lost = r["id"] % 3, r["id"] % 40 % 3 == 1
+        assert (r["user_id"], r["session_id"]) == ((None, None) if user == 1 else (user, f"s{r['id']}"))
+        assert r["collection_id"] == (None if r["id"] % 5 == 0 or lost else r["id"] % 40)
+    assert len(out) == 200
+
+
+def test_event_batches_are_recorded_once(spark, rows, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "key long, event_type string, created_at timestamp_ntz, session_id string, query string, event_metadata struct<a:int>, other string"
+    at = dt.datetime(2024, 1, 1)
+    batch = rows(
+        schema,
+        (1, "search", at, "s-1", "q", (1,), "x"), (2, "pick", at, "bad id", None, None, "y"),
+        (3, None, at, None, None, None, "z"), (4, "v" * 51, at, None, None, None, "z"),
+    )
+    unfit = event_log.event_rows(batch, "b1", "key").where("event_type IS NULL OR length(event_type) = 51")
+    for _ in range(2):
+        refused = event_log.record(batch, path, "b1", "key")
+        assert sorted(r["id"] for r in refused.collect()) == sorted(r["id"] for r in unfit.collect())
+    event_log.record(batch.where("key < 3"), path, "b2", "key")
+    log = event_log.read_log(spark, path).collect()
+    assert Counter(r["batch"] for r in log) == {"b1": 2, "b2": 2} and len({r["id"] for r in log}) == 4
+    first = next(r for r in log if r["batch"] == "b1" and r["event_type"] == "search")
+    assert (first["session_id"], first["query"], first["event_metadata"], first["example_id"]) == ("s-1", "q", '{"a":1}', None)
+    assert all(r["session_id"] is None for r in log if r["event_type"] == "pick")
+    assert [f.name for f in schemas.CURATION_EVENTS.fields] == event_log.read_log(spark, path).columns[:-1]
+    with pytest.raises(ValueError, match="batch name"):
+        event_log.record(batch, path, "../x", "key")
+    shown = event_log.searches(rows("query_id string, query string", ("a", "x"), ("a", "x")), "hybrid", F.lit(at))
+    saved = event_log.exports(rows("collection_id long, example_id long", (5, 1), (5, 2)), "csv", F.lit(at))
+    event_log.record(shown, path, "b3", "query_id")
+    event_log.record(saved, path, "b4", "collection_id")
+    late = event_log.read_log(spark, path).where("batch IN ('b3', 'b4')").collect()
+    assert {(r["event_type"], r["search_mode"], r["export_format"], r["collection_id"]) for r in late} == {("search", "hybrid", None, None), ("export", None, "csv", 5)}

@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from evalspark.operators import catalog
+from evalspark.operators import catalog, row_functions
 from evalspark.session import work_dir
 from evalspark.sources import splits
 from evalspark.sources.adapters import REGISTRY
@@ -80,6 +81,30 @@ def test_custom_ingest_puts_the_split_into_metadata(rows):
     assert got == [(1, "x", ["c"], '{"split":"train"}'), (2, "y", ["c"], '{"split":"test"}')]
 
 
+def test_row_functions_are_tried_and_failing_rows_set_aside(rows):
+    raw = rows("pos long, split string, body string, n long", (3, "train", "c", 1), (1, "train", None, None), (2, "test", "b", 5))
+    seen_null = lambda r, d, s: {"dataset_id": d, "question": r["body"] or f"none {r['n']}", "split": s}
+    good, bad = row_functions.ingest_checked(raw, seen_null, 4)
+    assert sorted((r["pos"], r["question"], r["split"]) for r in good.collect()) == [(1, "none None", "train"), (2, "b", "test"), (3, "c", "train")]
+    assert bad.count() == 0 and row_functions.trial(raw, seen_null, 4) == []
+
+    def breaks(r, d, s):
+        if r["pos"] == 1:
+            return {"dataset_id": "x", "question": "q", "split": s}
+        return {"dataset_id": d, "question": r["body"], "split": s, "choices": 7 if r["pos"] == 2 else ["a"]}
+
+    good, bad = row_functions.ingest_checked(raw, breaks, 4)
+    assert [r["pos"] for r in good.collect()] == [3]
+    found = {r["pos"]: (r["errors"][0].split(":")[:2], r["source"]) for r in bad.collect()}
+    assert found[1][0] == ["TypeError", " dataset_id"] and found[2][0] == ["TypeError", " choices"]
+    assert '"body": "b"' in found[2][1]
+    assert [e.split(":")[0] for e in row_functions.trial(raw, breaks, 4, rows=2)] == ["Row 1", "Row 2"]
+    with pytest.raises(Exception, match="row [12]: TypeError"):
+        catalog.ingest_custom(raw, breaks, 4).collect()
+    empty = row_functions.ingest_checked(raw.limit(0), breaks, 4)
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
 def test_counts_keep_empty_datasets(rows):
     datasets = rows("id long, name string", (1, "a"), (2, "b"))
     examples = rows("id long, dataset_id long", (1, 1), (2, 1))
