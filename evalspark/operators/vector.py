@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import replace
-from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -347,29 +346,47 @@ def collections_present(vectors: DataFrame, names: list[str]) -> set[str]:
     return {row["collection"] for row in rows.limit(len(names)).collect()}
 
 
+def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosine of each row's vector and probe, which are of one width."""
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two = numbers(batch.column("vector")), numbers(batch.column("probe"))
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("vector")).to_numpy())[:-1]])
+        dots, left, right = (np.add.reduceat(x, starts) for x in (one * two, one * one, two * two))
+        norms = np.sqrt(left) * np.sqrt(right)
+        scores = np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), SCORE_DIGITS)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("collection"), batch.column("example_id"), pa.array(scores)],
+            names=["collection", "neighbour_id", "score"],
+        )
+
+
 def audit(vectors: DataFrame, neighbours: int = 3) -> DataFrame:
-    """Per collection: size, dimensions, a sample point, and the sample's own neighbours."""
+    """Per collection: size, dimensions, a sample point, and the sample's own neighbours; any number of collections.
+
+    Samples are a table that is joined, one per collection, and its neighbours are ranked by salted top-k: nothing
+    reaches the driver. Vectors of another width than the sample are no neighbours of it.
+    """
+    dims = F.size("vector")
     facts = vectors.groupBy("collection").agg(
         F.count("*").alias("points"),
-        F.min(F.size("vector")).cast("long").alias("min_dims"),
-        F.max(F.size("vector")).cast("long").alias("max_dims"),
+        F.min(dims).cast("long").alias("min_dims"),
+        F.max(dims).cast("long").alias("max_dims"),
         F.min("example_id").alias("sample_id"),
     )
-    # One row per vector collection, of which there is one per dataset.
-    requests = [
-        SearchRequest(r["collection"], "sample", vec_id=r["sample_id"], collection=r["collection"])
-        for r in facts.select("collection", "sample_id").collect()
-    ]
-    batches = [
-        nearest(vectors, requests[i : i + schemas.MAX_BATCH], neighbours)
-        for i in range(0, len(requests), schemas.MAX_BATCH)
-    ]
-    found = reduce(DataFrame.unionByName, batches).select(
-        F.col("query_id").alias("collection"),
-        "rank",
-        F.col("example_id").alias("neighbour_id"),
-        "score",
-    )
+    chosen = facts.select("collection", F.col("sample_id").alias("example_id"))
+    samples = vectors.join(chosen, ["collection", "example_id"]).dropDuplicates(["collection"])
+    samples = samples.select("collection", F.col("vector").alias("probe"))
+    paired = vectors.select("collection", "example_id", "vector").join(samples, "collection")
+    paired = paired.where((dims == F.size("probe")) & (dims > 0))
+    scored = paired.mapInArrow(_pair_scores, "collection string, neighbour_id long, score double")
+    order = [F.desc("score"), F.asc("neighbour_id")]
+    found = top_k_per_key(scored, ["collection"], order, neighbours, spread=["neighbour_id"])
     return facts.join(found, "collection", "left")
 
 

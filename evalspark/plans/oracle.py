@@ -347,6 +347,12 @@ SQL["cascade_delete"] = """
       THEN example_id END) AS BIGINT) FROM v_events
     UNION ALL SELECT 'event_datasets', count(dataset_id), CAST(sum(dataset_id) AS BIGINT)
     FROM v_events WHERE dataset_id NOT IN (SELECT CAST(regexp_extract(dataset, '[0-9]+$') AS BIGINT) FROM v_catalog WHERE right(dataset, 1) = '3')"""
+SQL["vector_collections"] = """
+    SELECT v.collection, CAST(64 AS BIGINT) AS dims, ['COSINE', 'EUCLID', 'DOT'][CAST(right(v.collection, 1) AS INT) + 1] AS metric,
+      count(*) AS points, CAST(sum(v.example_id) AS BIGINT) AS id_checksum, count(e.subject) AS subjects,
+      CAST(sum(length(substr(e.question, 1, 500))) AS BIGINT) AS question_chars,
+      round(sum(CAST(v.vector[1] AS DOUBLE) * CASE WHEN v.example_id % 3 = 0 THEN 2 ELSE 1 END), 4) AS first_sum
+    FROM v_vectors v LEFT JOIN v_examples e ON e.id = v.example_id GROUP BY v.collection"""
 SQL["vector_upsert"] = """
     WITH rows AS (
       SELECT collection, example_id, 0 AS batch, vector[1] AS first FROM v_vectors

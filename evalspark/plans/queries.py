@@ -28,6 +28,7 @@ from evalspark.operators import (
 )
 from evalspark.operators.ranking import spread, top_k_per_key
 from evalspark.operators.search import SearchRequest
+from evalspark.operators.vector_store import VectorStore
 from evalspark.plans import search as plans
 from evalspark.sources import splits
 from evalspark.sources.adapters import REGISTRY, ingest_all
@@ -49,6 +50,7 @@ REQUESTS = [
 ]
 # The last collection holds no vectors, so this request falls back to keyword search.
 MIXED_REQUESTS = [*REQUESTS[:3], SearchRequest("q4", "er", vec_id=5, collection="emb_9")]
+VECTOR_METRICS = {"emb_0": "COSINE", "emb_1": "EUCLID", "emb_2": "DOT"}
 # What a model answered to the first three requests.
 RESPONSES = {
     "q0": '{"search_query": "the ", "dataset": null, "subject": "en", "explanation": "english"}',
@@ -208,6 +210,28 @@ def _(v: Views) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("vector_collections")
+def _(v: Views) -> DataFrame:
+    """Registered collections after two upserts: all points, then every third one again with a longer vector."""
+    store = VectorStore(v.spark, work_dir(v.spark, "vector-store"))
+    payload = vector.payload_of(v.examples(answers=False), v.datasets()).withColumnRenamed("id", "example_id")
+    points = v.vectors().join(payload, "example_id", "left").withColumn("batch", F.lit(0))
+    for name, metric in VECTOR_METRICS.items():
+        mine = points.where(F.col("collection") == name).drop("collection")
+        again = mine.where("example_id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: x * 2))
+        store.create(name, 64, metric)
+        store.upsert(name, mine)
+        store.upsert(name, again)
+    stored = store.points().groupBy("collection").agg(
+        F.count("*").alias("points"),
+        F.sum("example_id").alias("id_checksum"),
+        F.count("subject").alias("subjects"),
+        F.sum(F.length("question")).alias("question_chars"),
+        F.round(F.sum(F.get("vector", F.lit(0)).cast("double")), 4).alias("first_sum"),
+    )
+    return store.registry().select("collection", F.col("dims").cast("long").alias("dims"), "metric").join(stored, "collection")
+
+
 @query("vector_upsert")
 def _(v: Views) -> DataFrame:
     stored = v.vectors().withColumn("batch", F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import fusion, search, vector
 from evalspark.operators.catalog import write_examples
+from evalspark.operators.vector_store import VectorStore
 from evalspark.operators.search import SearchRequest
 from evalspark.plans import search as plans
 
@@ -365,3 +366,56 @@ def test_embedding_text_and_provider(spark, seed):
     out = {r["example_id"]: r["vector"] for r in vector.embed(examples, vector.HashingProvider).collect()}
     want = vector.HashingProvider().embed_batch(["q A: x B: y", "q"])
     assert np.allclose(out[1], want[0]) and np.allclose(out[2], want[1]) and out[2] == out[3]
+
+
+def test_audit_of_many_collections(spark):
+    rng = np.random.default_rng(9)
+    matrix = rng.normal(size=(600, 6))
+    rows = [(f"c{i % 150}", i, [float(x) for x in v]) for i, v in enumerate(matrix)]
+    rows += [("c0", 9000, [1.0, 2.0]), ("none", 1, None), ("zero", 5, [0.0, 0.0]), ("zero", 6, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "collection string, example_id long, vector array<double>")
+    out = vector.audit(frame).collect()
+    for c in (0, 7, 149):
+        mine = sorted((r["rank"], r["neighbour_id"]) for r in out if r["collection"] == f"c{c}")
+        block = matrix[np.arange(c, 600, 150)]
+        scores = block @ matrix[c] / np.linalg.norm(block, axis=1) / np.linalg.norm(matrix[c])
+        want = [c + 150 * int(i) for i in np.argsort(-scores)[:3]]
+        assert mine == list(enumerate(want, 1))
+    facts = {r["collection"]: (r["points"], r["min_dims"], r["max_dims"]) for r in out}
+    assert facts["c0"] == (5, 2, 6) and len(facts) == 152 and facts["none"][0] == 1
+
+
+def test_vector_store(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="no collection"):
+        store.upsert("a", spark.createDataFrame([(1, [1.0], 0)], "example_id long, vector array<float>, batch int"))
+    store.create("a", 2, buckets=4)
+    store.create("a", 2, buckets=4)
+    store.create("b", 3, "DOT", buckets=2)
+    for dims, metric in ((3, "COSINE"), (2, "DOT")):
+        with pytest.raises(ValueError, match="holds 2 dims"):
+            store.create("a", dims, metric)
+    with pytest.raises(ValueError, match="metric"):
+        store.create("c", 2, "HAMMING")
+    assert store.metric("b") == "DOT" and store.registry().count() == 2
+    schema = "example_id long, vector array<float>, batch int, subject string, question string"
+    rows = [(i, [float(i), 1.0], 0, "xy"[i % 2], f"q{i}") for i in range(20)]
+    assert store.upsert("a", spark.createDataFrame(rows, schema)) == [0, 1, 2, 3]
+    files = {str(f) for f in (tmp_path / "store" / "points").rglob("*.parquet")}
+    late = [(4, [7.0, 7.0], 1, "x", "old"), (4, [9.0, 9.0], 2, "y", "new"), (24, [1.0, 1.0], 1, None, None)]
+    assert store.upsert("a", spark.createDataFrame(late, schema)) == [0]
+    now = {str(f) for f in (tmp_path / "store" / "points").rglob("*.parquet")}
+    assert {f for f in files if "bucket=0" not in f} <= now and not {f for f in files if "bucket=0" in f} & now
+    found = {r["example_id"]: (list(r["vector"]), r["subject"], r["question"]) for r in store.points().collect()}
+    assert len(found) == 21 and found[4] == ([9.0, 9.0], "y", "new") and found[24] == ([1.0, 1.0], None, None) and found[8][2] == "q8"
+    with pytest.raises(Exception, match="vector width differs from 2"):
+        store.upsert("a", spark.createDataFrame([(1, [1.0, 2.0, 3.0], 0, None, None)], schema))
+    assert store.points().count() == 21
+    # With the payload beside the vector a filtered search joins and shuffles nothing before the scorer.
+    request = [SearchRequest("q", "q", vector=(1.0, 1.0), collection="a", subject="x")]
+    hits = vector.semantic_search(store.points(), store.payload(), request, 3)
+    assert {r["id"] for r in hits.collect()} <= {i for i in range(20) if i % 2 == 0 and i != 4}
+    vectors, used = vector.with_filters(store.points(), store.payload(), request, ("subject",))
+    scored = vectors.where("collection = 'a'").select("collection", "example_id", "vector", *used)
+    plan = scored.mapInArrow(vector._scorer(request, used, 3, None, "COSINE"), vector.HIT_SCHEMA)._jdf.queryExecution().executedPlan().toString()
+    assert used == ("subject",) and "Exchange" not in plan and "Join" not in plan and "MapInArrow" in plan
