@@ -36,8 +36,9 @@ from evalspark.llm.common import documents, worker_cache
 
 LONG = 96
 FREQUENT = 8
-CACHED_PIECES = 1 << 20
-SLICE = 8 << 20
+CACHED_BYTES = 64 << 20  # of ids and pieces a worker remembers
+SLICE = 4 << 20
+ENTRY = 66  # bytes of an entry and of an object's head
 BUCKETS = 1 << 16
 KEY = 1 << 40  # keys lie above, tokens below
 
@@ -171,16 +172,20 @@ def spread(path: str):
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
                 coded, counts, index = (row.column(c).flatten() for c in ("coded", "counts", "index"))
-                known, ranks = worker_cache(f"pieces {path}"), worker_cache(f"ranks {path}")
+                known, ranks, held = (worker_cache(f"{kind} {path}") for kind in ("pieces", "ranks", "held"))
+                held.setdefault("bytes", 0)
                 if not ranks:
                     ranks.update(read_ranks(path))
-                if len(known) > CACHED_PIECES:
-                    known.clear()
                 rare = []
                 for piece in row.column("rare").flatten().to_pylist():
                     ids = known.get(piece)
                     if ids is None:
-                        ids = known[piece] = array("i", merge_piece(piece, ranks)).tobytes()
+                        ids = array("i", merge_piece(piece, ranks)).tobytes()
+                        if held["bytes"] > CACHED_BYTES:
+                            known.clear()
+                            held["bytes"] = 0
+                        known[piece] = ids
+                        held["bytes"] += 2 * ENTRY + len(piece) + len(ids)
                     rare.append(ids)
                 # All pieces' ids one behind the other: the folded ones, then the rare ones.
                 size = pc.fill_null(pc.list_value_length(coded), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -195,6 +200,7 @@ def spread(path: str):
                 bounds = np.concatenate([[0], np.cumsum(counts.to_numpy())])
                 lists = pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), lists], names=["doc_id", "ids"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
