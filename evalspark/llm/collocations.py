@@ -46,9 +46,8 @@ PIECE_SCHEMA = "span long, lang string, " + ", ".join(f"{b} binary" for b in BLO
 FREQUENT_SCHEMA = "lang string, words int, phrase string, f long"
 
 
-def lines(blob: pa.Buffer) -> pa.Array:
-    """The newline-ended words of a piece."""
-    data = np.frombuffer(blob, np.uint8)
+def lines(data: np.ndarray) -> pa.Array:
+    """The newline-ended words of some bytes."""
     ends = np.flatnonzero(data == NEWLINE)
     offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != NEWLINE])])
@@ -71,8 +70,21 @@ class Transducer:
         self.tails, self.fans, self.arcs, self.arc_n = tails, fans, arcs, arc_n
 
     @classmethod
-    def read(cls, blobs: dict[str, pa.Buffer]) -> Transducer:
-        return cls(*[np.frombuffer(blobs[b], "<i4").astype(np.int64) if b in ("head_n", "pair_n", "tails", "fans", "arc_n") else lines(blobs[b]) for b in BLOBS])
+    def read(cls, rows: pa.RecordBatch) -> Transducer:
+        """Neighbouring pieces of one range and language, read at once; their phrases may repeat until they are united."""
+        parts = {}
+        for name in BLOBS:
+            data, offsets = ts.buffers(rows.column(name))
+            count = np.diff(offsets) // 4
+            if name in ("heads", "pairs", "arcs"):
+                parts[name] = lines(data)
+            else:
+                parts[name] = np.frombuffer(data.tobytes(), "<i4").astype(np.int64)
+            if name == "tails":
+                states = count
+            elif name == "fans":
+                parts["tails"] += np.repeat(np.cumsum(count) - count, states)
+        return cls(*[parts[name] for name in BLOBS])
 
     def unshared(self) -> tuple[np.ndarray, np.ndarray]:
         """State and arc number of every arc of every state."""
@@ -83,8 +95,6 @@ class Transducer:
     @classmethod
     def united(cls, parts: list[Transducer]) -> Transducer:
         """The union; weights of equal phrases are summed."""
-        if len(parts) == 1:
-            return parts[0]
         coded = [pa.concat_arrays([getattr(p, name) for p in parts]).dictionary_encode() for name in ("heads", "pairs", "arcs")]
         heads, pairs, arcs = (c.dictionary for c in coded)
         head, pair, arc = (c.indices.to_numpy().astype(np.int64) for c in coded)
@@ -154,17 +164,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words, row, follows
 
 
-def blob_edges(strings: pa.Array) -> tuple[bytes, np.ndarray]:
-    """Bytes of a string column, and where each string begins."""
-    data, offsets = ts.buffers(strings)
-    return data.tobytes(), offsets
+def binaries(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column of the bytes between the edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def shard(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, spans: int) -> Iterator[dict]:
-    """The transducer of one slice, cut by (lang, prefix range)."""
+def shard(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, spans: int) -> pa.RecordBatch | None:
+    """The transducer of one slice, one row for each (lang, prefix range); None without words."""
     words, row, follows = words_of(data, offsets)
     if not len(words):
-        return
+        return None
     coded = words.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
     known = coded.dictionary.take(pa.array(order))
@@ -172,7 +181,7 @@ def shard(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, spans: int) ->
     number[order] = np.arange(len(order))
     word, n = number[coded.indices.to_numpy()], len(order)
     coded = lang.dictionary_encode()
-    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)[row]
+    code = coded.indices.to_numpy().astype(np.int64)[row]
     # Sorted phrases of 1, 2 and 3 words: each key holds the number of its prefix among the sorted ones.
     head, head_of, head_n = np.unique(code * n + word, return_inverse=True, return_counts=True)
     two = np.flatnonzero(follows)
@@ -213,39 +222,35 @@ def shard(data: np.ndarray, offsets: np.ndarray, lang: pa.Array, spans: int) ->
     by_head, by_pair = np.argsort(head_group, kind="stable"), np.argsort(pair_group, kind="stable")
     ended = pc.binary_join_element_wise(known, pa.scalar(b"", pa.large_binary()), pa.scalar(bytes([NEWLINE]), pa.large_binary()))
     joined = pc.binary_join_element_wise(known.take(pa.array(first[by_pair] % n)), ended.take(pa.array(second[by_pair])), pa.scalar(b" ", pa.large_binary()))
-    heads, head_at = blob_edges(ended.take(pa.array(head[by_head] % n)))
-    pairs, pair_at = blob_edges(joined)
-    arcs, arc_at = blob_edges(ended.take(pa.array(third[own_arc])))
-    small = lambda x: x.astype("<i4").tobytes()
-    head_sorted, pair_sorted, tail_group = head_group[by_head], pair_group[by_pair], pair_group[owner]
-    tail_end = np.concatenate([[0], np.cumsum(own_fan)])
-    groups = np.unique(np.concatenate([head_sorted, pair_sorted]))
-    edges = [np.stack([np.searchsorted(s, groups), np.searchsorted(s, groups, "right")], axis=1).tolist() for s in (head_sorted, pair_sorted, tail_group)]
-    for group, (h0, h1), (p0, p1), (t0, t1) in zip(groups.tolist(), *edges):
-        a0, a1 = int(tail_end[t0]), int(tail_end[t1])
-        yield {
-            "span": group % spans,
-            "lang": names[group // spans],
-            "heads": heads[head_at[h0] : head_at[h1]],
-            "head_n": small(head_n[by_head[h0:h1]]),
-            "pairs": pairs[pair_at[p0] : pair_at[p1]],
-            "pair_n": small(pair_n[by_pair[p0:p1]]),
-            "tails": small(tail[by_pair[p0:p1]] - t0),
-            "fans": small(own_fan[t0:t1]),
-            "arcs": arcs[arc_at[a0] : arc_at[a1]],
-            "arc_n": small(arc_n[own_arc[a0:a1]]),
-        }
+    strings = (ended.take(pa.array(head[by_head] % n)), joined, ended.take(pa.array(third[own_arc])))
+    (heads, head_at), (pairs, pair_at), (arcs, arc_at) = map(ts.buffers, strings)
+    # Pieces stand side by side in every column, so each is cut at one list of edges.
+    groups = np.unique(np.concatenate([head_group, pair_group]))
+    h, p, t = (np.append(np.searchsorted(g, groups), len(g)) for g in (head_group[by_head], pair_group[by_pair], pair_group[owner]))
+    a = np.concatenate([[0], np.cumsum(own_fan)])[t]
+    small = lambda x: x.astype("<i4").view(np.uint8)
+    columns = {
+        "span": pa.array(groups % spans),
+        "lang": coded.dictionary.take(pa.array(groups // spans)).cast(pa.string()),
+        "heads": binaries(heads, head_at[h]),
+        "head_n": binaries(small(head_n[by_head]), 4 * h),
+        "pairs": binaries(pairs, pair_at[p]),
+        "pair_n": binaries(small(pair_n[by_pair]), 4 * p),
+        "tails": binaries(small(tail[by_pair] - np.repeat(t[:-1], np.diff(p))), 4 * p),
+        "fans": binaries(small(own_fan), 4 * t),
+        "arcs": binaries(arcs, arc_at[a]),
+        "arc_n": binaries(small(arc_n[own_arc]), 4 * a),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def build(spans: int, limit: int):
-    kinds = [pa.int64(), pa.string(), *[pa.binary()] * len(BLOBS)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ts.slices(batches, "text", limit):
             for data, offsets, lang in text_parts(batch, limit):
-                rows = list(shard(data, offsets, lang, spans))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(rows[0], kinds)], names=list(rows[0]))
+                pieces = shard(data, offsets, lang, spans)
+                if pieces is not None:
+                    yield pieces
 
     return run
 
@@ -262,15 +267,20 @@ def unite(least: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size = None, [], 0
         for batch in batches:
-            spans, langs = batch.column("span").to_pylist(), batch.column("lang").to_pylist()
-            for i, own in enumerate(zip(spans, langs)):
+            if not batch.num_rows:
+                continue
+            spans, langs = batch.column("span").to_numpy(), batch.column("lang")
+            codes = langs.dictionary_encode().indices.to_numpy()
+            fresh = np.flatnonzero((np.diff(spans) != 0) | (np.diff(codes) != 0)) + 1
+            for low, high in zip([0, *fresh.tolist()], [*fresh.tolist(), batch.num_rows]):
+                own = (int(spans[low]), langs[low].as_py())
                 if own != key and held:
                     yield from finished(key[1], Transducer.united(held))
                     held, size = [], 0
                 key = own
-                blobs = {b: batch.column(b)[i].as_buffer() for b in BLOBS}
-                size += sum(b.size for b in blobs.values())
-                held.append(Transducer.read(blobs))
+                pieces = batch.slice(low, high - low)
+                size += sum(len(ts.buffers(pieces.column(b))[0]) for b in BLOBS)
+                held.append(Transducer.read(pieces))
                 if size > limit:
                     held, size = [Transducer.united(held)], 0
         if held:
