@@ -19,7 +19,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-# No SQL: the stages learn weights, sketch and tokenize. The tests compare with a brute-force version.
+# No SQL: the stages learn weights, sketch and tokenize. Their operators are tested against brute force one by one.
 ORACLE_SQL = None
 
 
