@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.joins import dimension
+from evalspark.operators.tables import written
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 CSV_COLUMNS = ["id", "dataset_id", "dataset_name", "question", "answer", "choices", "metadata"]
@@ -171,31 +171,23 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
-def write_array(lines: DataFrame, path: str) -> None:
-    """JSON array part files: every part is a valid array of its own lines.
+def write_array(lines: DataFrame, path: str, order: tuple[str, ...] = ("id",)) -> None:
+    """One JSON array over all part files: put together by their numbers, they are one valid array in ``order``.
 
-    Framing happens inside each partition, so no row moves; an empty export is an empty array.
+    The lines are written once with a number each, which breaks ties in ``order`` and names the first and the last line; these
+    two numbers are all that reaches the driver. A range sort deals the lines to the parts, so the array opens
+    in the first part and closes in the last whatever parts are empty. An empty export is an empty array.
     """
-
-    def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        opened = False
-        for batch in batches:
-            rows = batch["line"].tolist()
-            if not rows:
-                continue
-            if last is not None:
-                rows.insert(0, last)
-            last = rows.pop()
-            out = [f"  {row}," for row in rows]
-            if not opened:
-                out.insert(0, "[")
-                opened = True
-            yield pd.DataFrame({"value": out})
-        tail = [] if opened else ["["]
-        yield pd.DataFrame({"value": tail + ([f"  {last}"] if last is not None else []) + ["]"]})
-
-    lines.select("line").mapInPandas(frame, "value string").write.mode("overwrite").text(path)
+    numbered = written(lines.select(*order, "line", F.monotonically_increasing_id().alias("_at")), "export-lines")
+    place = F.struct(*order, "_at")
+    ends = numbered.agg(F.min_by("_at", place).alias("first"), F.max_by("_at", place).alias("last")).first()
+    if ends["first"] is None:
+        framed = lines.sparkSession.range(1, numPartitions=1).select(F.lit("[]").alias("value"))
+    else:
+        opening = F.when(F.col("_at") == ends["first"], "[\n").otherwise("")
+        closing = F.when(F.col("_at") == ends["last"], "\n]").otherwise(",")
+        framed = numbered.orderBy(*order, "_at").select(F.concat(opening, F.lit("  "), "line", closing).alias("value"))
+    framed.write.mode("overwrite").text(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -7,10 +7,9 @@ from dataclasses import replace
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark import schemas
@@ -288,8 +287,8 @@ def with_payload(found: DataFrame, payload: DataFrame, extra: list[str] | None =
     )
 
 
-def payload_of(examples: DataFrame, datasets: DataFrame) -> DataFrame:
-    """What is stored beside each vector."""
+def payload_of(examples: DataFrame, datasets: DataFrame, *more: Column) -> DataFrame:
+    """What is stored beside each vector, and ``more`` columns of the examples."""
     names = datasets.select(
         F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), "task_type"
     )
@@ -301,6 +300,7 @@ def payload_of(examples: DataFrame, datasets: DataFrame) -> DataFrame:
         F.substring("question", 1, PAYLOAD_CHARS).alias("question"),
         metadata_text(examples, "subject").alias("subject"),
         metadata_text(examples, "split").alias("split"),
+        *more,
     )
 
 
@@ -426,31 +426,49 @@ class HashingProvider:
         self.model_name = f"hashing-{dimensions}"
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        import zlib
+        import hashlib
 
         out = np.zeros((len(texts), self.dimensions))
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                code = zlib.crc32(word.encode())
+                code = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
                 out[i, (code >> 1) % self.dimensions] += 1.0 if code & 1 else -1.0
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0).tolist()
 
 
+def embed_texts(
+    rows: DataFrame, provider: Callable[[], EmbeddingProvider], batch_size: int = 100, carry: list[str] | None = None
+) -> DataFrame:
+    """(example_id, vector) of rows with id and text, and the columns in ``carry`` as they were.
+
+    ``provider`` is called once per task. A missing text counts as empty; a model that answers with another number of
+    vectors than it was given texts ends the job.
+    """
+    carry = carry or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = provider()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                vectors = model.embed_batch([text or "" for text in part.column("text").to_pylist()])
+                if len(vectors) != part.num_rows:
+                    raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
+                columns = [part.column("id"), pa.array(vectors, pa.list_(pa.float32())), *[part.column(c) for c in carry]]
+                yield pa.RecordBatch.from_arrays(columns, names=["example_id", "vector", *carry])
+
+    given = rows.select(F.col("id").cast("long").alias("id"), "text", *carry)
+    kinds = dict(given.dtypes)
+    schema = ", ".join(["example_id long, vector array<float>", *[f"`{c}` {kinds[c]}" for c in carry]])
+    return spread(given, "id").mapInArrow(run, schema)
+
+
 def embed(
     examples: DataFrame,
     provider: Callable[[], EmbeddingProvider],
     batch_size: int = 100,
 ) -> DataFrame:
-    """(example_id, vector) of every example. ``provider`` is called once per task."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = provider()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                vectors = model.embed_batch(part["text"].tolist())
-                yield pd.DataFrame({"example_id": part["id"].to_numpy(), "vector": vectors})
-
+    """(example_id, vector) of every example."""
     texts = examples.select("id", embedding_text(F.col("question"), F.col("choices")).alias("text"))
-    return spread(texts, "id").mapInPandas(run, "example_id long, vector array<float>")
+    return embed_texts(texts, provider, batch_size)

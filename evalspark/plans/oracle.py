@@ -362,6 +362,18 @@ SQL["vector_upsert"] = """
       round(first, 6) AS first
     FROM rows QUALIFY row_number() OVER (PARTITION BY collection, example_id ORDER BY batch DESC) = 1"""
 
+# The offline provider: the first 32 bits of a word's md5 give its place and sign; vectors of unit length, kept as float.
+SQL["embed_dataset"] = r"""
+    WITH words AS (SELECT id, unnest(regexp_extract_all(lower(question), '\S+')) AS word FROM v_examples),
+    codes AS (SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS code FROM words),
+    sums AS (
+      SELECT id, (code >> 1) % 64 AS position, sum(CASE WHEN code % 2 = 1 THEN 1 ELSE -1 END) AS x FROM codes GROUP BY ALL),
+    norms AS (SELECT id, sqrt(CAST(sum(x * x) AS DOUBLE)) AS norm FROM sums GROUP BY id)
+    SELECT s.id AS example_id, d.name AS dataset_name, e.subject, length(substr(e.question, 1, 500)) AS question_chars,
+      s.position, round(CAST(CAST(CAST(s.x AS DOUBLE) / n.norm AS FLOAT) AS DOUBLE), 6) AS value
+    FROM sums s JOIN norms n USING (id) JOIN v_examples e USING (id) LEFT JOIN v_datasets d ON d.id = e.dataset_id
+    WHERE s.x <> 0"""
+
 VIEWS["v_exported"] = f"""
     SELECT pos AS id, pos % 20 AS dataset_id, question, answer,
       CASE WHEN pos % 6 <> 0 THEN choices END AS choices,
@@ -379,7 +391,10 @@ _JSONL = f"""'{{"id":' || id || ',"dataset_id":' || dataset_id || ',"question":'
       || coalesce(',"dataset_name":"' || dataset_name || '"', '')
       || coalesce(',"metadata":' || metadata, '') || '}}'"""
 SQL["export_jsonl"] = f"SELECT id, {_JSONL} AS line FROM v_exported"
-SQL["export_json"] = f"SELECT {_JSONL} AS line FROM v_exported"
+SQL["export_json"] = f"""
+    WITH j AS (SELECT id, {_JSONL} AS line FROM v_exported)
+    SELECT '  ' || line || CASE WHEN id = (SELECT max(id) FROM j) THEN '' ELSE ',' END AS line FROM j
+    UNION ALL SELECT unnest(['[', ']'])"""
 SQL["export_csv"] = """
     SELECT CAST(id AS VARCHAR) AS id, CAST(dataset_id AS VARCHAR) AS dataset_id, dataset_name,
       md5(question) AS question, answer,
@@ -1050,6 +1065,7 @@ SQL["subscription_fold"] = f"""
       coalesce(f.customer_id, u.customer_id) AS customer_id, f.subscription_id,
       f.status AS subscription_status, coalesce(f.applied, 0) AS applied
     FROM v_users u LEFT JOIN f ON f.user_id = u.id"""
+SQL["subscription_stream"] = SQL["subscription_fold"]
 SQL["admission_replay"] = f"""
     WITH RECURSIVE calls AS (
       SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n

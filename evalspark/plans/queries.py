@@ -18,6 +18,7 @@ from evalspark.operators import (
     catalog,
     changes,
     curation,
+    embedding_job,
     event_log,
     exporting,
     fusion,
@@ -34,7 +35,7 @@ from evalspark.sources import splits
 from evalspark.sources.adapters import REGISTRY, ingest_all
 from evalspark.sources.views import Views
 from evalspark.session import work_dir
-from evalspark.streaming import counts, replay
+from evalspark.streaming import counts, replay, subscriptions
 
 AS_OF = dt.datetime(2024, 1, 10)
 ULTRA_PRODUCT = "prod_ultra"
@@ -275,7 +276,6 @@ def known_datasets(v: Views) -> DataFrame:
 
 
 for _key, _shape in {
-    "export_jsonl": "jsonl",
     "export_trace_items": "trace",
     "export_inspect": "inspect",
     "export_langsmith": "langsmith",
@@ -284,15 +284,23 @@ for _key, _shape in {
     query(_key)(_export(_shape))
 
 
+@query("export_jsonl")
+def _(v: Views) -> DataFrame:
+    """The line files written, then read back."""
+    path = work_dir(v.spark, "jsonl")
+    exporting.write_lines(exporting.item_lines(export_examples(v), known_datasets(v), "jsonl"), path)
+    back = v.spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.id").cast("long").alias("id"), F.col("value").alias("line"))
+
+
 @query("export_json")
 def _(v: Views) -> DataFrame:
-    """The array files written, then read back as lines."""
+    """The array files written, then read back as bare lines, framing and commas included."""
     path = work_dir(v.spark, "json")
     exporting.write_array(
         exporting.item_lines(export_examples(v), known_datasets(v), "jsonl"), path
     )
-    lines = v.spark.read.text(path).where(~F.col("value").isin("[", "]"))
-    return lines.select(F.regexp_replace("value", r"^  |,$", "").alias("line"))
+    return v.spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("export_csv")
@@ -771,12 +779,16 @@ def _(v: Views) -> DataFrame:
 
 @query("embed_dataset")
 def _(v: Views) -> DataFrame:
-    embedded = vector.embed(export_examples(v), vector.HashingProvider)
-    return embedded.select(
-        "example_id",
-        F.size("vector").cast("long").alias("dims"),
-        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"),
+    """All examples embedded into the store; every element of the stored vectors that isn't zero, with its payload."""
+    store = VectorStore(v.spark, work_dir(v.spark, "embedded-store"))
+    embedding_job.embed_into(store, "all_embeddings", v.examples(answers=False), v.datasets(), vector.HashingProvider)
+    points = store.points().select(
+        "example_id", "dataset_name", "subject", F.length("question").cast("long").alias("question_chars"), F.posexplode("vector").alias("position", "value")
     )
+    return points.where("value <> 0").select(
+        "example_id", "dataset_name", "subject", "question_chars",
+        F.col("position").cast("long").alias("position"), F.round(F.col("value").cast("double"), 6).alias("value"),
+    )
 
 
 # -- counting ------------------------------------------------------------------------------------
@@ -1007,6 +1019,18 @@ def _(v: Views) -> DataFrame:
     )
 
 
+@query("subscription_stream")
+def _(v: Views) -> DataFrame:
+    """The same fold as a stream: changed users per batch over a base, compacted, read as the newest state."""
+    stream = v.subscription_events(counts.read_stream(v.spark, v.sf_dir, "events.parquet"))
+    state = subscriptions.run_subscriptions(stream, v.users(), work_dir(v.spark, "subscriptions"), ULTRA_PRODUCT)
+    state.compact()
+    return state.users().select(
+        "id", "tier", instant(F.col("trial_ends_at")).alias("trial_ends_at"), "customer_id",
+        "subscription_id", "subscription_status", "applied",
+    )
+
+
 def limiter_calls(v: Views) -> DataFrame:
     events = v.table("events")
     return events.select("user_id", "event_id", F.col("ts").alias("created_at"))

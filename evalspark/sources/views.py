@@ -325,11 +325,13 @@ class Views:
             F.col("ts").alias("created_at"),
         )
 
-    def subscription_events(self) -> DataFrame:
+    def subscription_events(self, events: DataFrame | None = None) -> DataFrame:
+        """``events`` may be the stream of the same table."""
+        events = self.table("events") if events is None else events
         key = F.col("event_id")
         user = F.col("user_id")
         kind = cycle(key, ("created", "updated", "canceled", "revoked", "trial_ended"))
-        return self.table("events").select(
+        return events.select(
             "event_id",
             F.col("ts").alias("created_at"),
             F.concat(F.lit("subscription."), kind).alias("type"),

@@ -1,11 +1,10 @@
-"""Event log as a stream: windowed counts and subscription changes."""
+"""Event log as a stream: windowed counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.accounts import fold_subscriptions
 from evalspark.session import work_dir
 
 
@@ -66,30 +65,3 @@ def drain(rows: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
-
-
-def fold_subscription_stream(
-    events: DataFrame, users: DataFrame, path: str, ultra_product: str
-) -> str:
-    """Applies a stream of subscription events batch by batch.
-
-    Every batch writes a new version of the users table below ``path`` and starts from the version
-    before it; a retried batch rewrites the same version. Returns the newest version's folder.
-    """
-    spark = users.sparkSession
-    users.write.mode("overwrite").parquet(f"{path}/users/version=0")
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        current = spark.read.parquet(f"{path}/users/version={batch_id}")
-        folded = fold_subscriptions(batch, current.drop("applied"), ultra_product)
-        folded.write.mode("overwrite").parquet(f"{path}/users/version={batch_id + 1}")
-
-    query = (
-        events.writeStream.option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(apply)
-        .start()
-    )
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    return f"{path}/users/version={last + 1}"

@@ -48,13 +48,40 @@ def test_jsonl(export, tmp_path):
     assert sorted((json.loads(x) for x in text.splitlines()), key=lambda d: d["id"]) == WANT
 
 
+def joined_parts(path):
+    return "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(path + "/part-*")))
+
+
 @pytest.mark.parametrize("parts", [1, 2, 7])
 def test_json_array(export, tmp_path, parts):
     path = str(tmp_path / "out")
     exporting.write_array(exporting.item_lines(*export, "jsonl").repartition(parts), path)
-    files = [open(f, encoding="utf-8").read() for f in glob.glob(path + "/part-*")]
-    got = [item for text in files if text for item in json.loads(text)]
-    assert sorted(got, key=lambda d: d["id"]) == WANT
+    text = joined_parts(path)
+    assert json.loads(text) == WANT and "é" in text
+    assert text.startswith('[\n  {"id":1') and text.endswith("}\n]\n")
+
+
+def test_json_array_of_many_parts(spark, tmp_path):
+    """Parts put together are one array in the wanted order, with empty parts, one id that holds a third, and null ids."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 100 != 1, F.pmod(F.col("id") * 37, F.lit(500)))
+    items = spark.range(3000).select(key.alias("id"), F.to_json(F.struct(F.col("id").alias("n"))).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        exporting.write_array(items.where("id is null or id < 400").repartition(11), str(tmp_path / "many"))
+        exporting.write_array(items.limit(1), str(tmp_path / "one"))
+        exporting.write_array(items.where("id < 0"), str(tmp_path / "none"))
+        exporting.write_array(items.coalesce(1), str(tmp_path / "own"), order=())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    keys = {r["line"]: r["id"] for r in items.collect()}
+    got = json.loads(joined_parts(str(tmp_path / "many")))
+    ids = [keys[json.dumps(item, separators=(",", ":"))] for item in got]
+    assert len(glob.glob(str(tmp_path / "many") + "/part-*")) > 1
+    assert ids == sorted((i for i in keys.values() if i is None or i < 400), key=lambda i: -1 if i is None else i)
+    assert len({item["n"] for item in got}) == len(got)
+    assert json.loads(joined_parts(str(tmp_path / "one"))) == [{"n": 0}]
+    assert json.loads(joined_parts(str(tmp_path / "none"))) == []
+    assert [item["n"] for item in json.loads(joined_parts(str(tmp_path / "own")))] == list(range(3000))
 
 
 def test_csv(export, tmp_path):

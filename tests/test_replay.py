@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import accounts
 from evalspark.session import work_dir
-from evalspark.streaming import counts, replay
+from evalspark.streaming import counts, replay, subscriptions
+from test_curation import SUBS, USERS
 
 START = dt.datetime(2024, 1, 1)
 CALLS = "user_id long, event_id long, created_at timestamp"
@@ -131,22 +132,72 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert {(r["window_start"].date(), r["event_type"]): r["n"] for r in got} == want
 
 
-def test_subscription_stream_equals_batch(spark, tmp_path):
-    from test_curation import SUBS, USERS
+STATE = ["id", "tier", "trial_ends_at", "customer_id", "subscription_id", "subscription_status", "applied"]
 
-    users = spark.createDataFrame([(i, f"u{i}@x", "free", START, None, None, None) for i in range(5)], USERS)
-    rng = random.Random(6)
+
+def subscription_files(spark, folder, events, size):
+    for i in range(0, len(events), size):
+        spark.createDataFrame(events[i : i + size], SUBS).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(SUBS).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def some_events(seed, first, last, users):
+    rng = random.Random(seed)
     kinds = ("subscription.created", "subscription.updated", "subscription.canceled", "other")
-    events = [
-        (i, START + dt.timedelta(minutes=i), rng.choice(kinds), f"u{rng.randrange(6)}@x", "", f"s{i}",
+    return [
+        (i, START + dt.timedelta(minutes=i), rng.choice(kinds), f"u{rng.randrange(users)}@x", "", f"s{i}",
          rng.choice(("active", "past_due")), rng.choice(("ultra", "pro")))
-        for i in range(60)
+        for i in range(first, last)
     ]
-    for i in range(0, 60, 20):
-        spark.createDataFrame(events[i : i + 20], SUBS).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
-    stream = spark.readStream.schema(SUBS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
-    newest = counts.fold_subscription_stream(stream, users, work_dir(spark, "test-subs"), "ultra")
-    columns = ["id", "tier", "trial_ends_at", "subscription_id", "subscription_status"]
-    batch = accounts.fold_subscriptions(spark.createDataFrame(events, SUBS), users, "ultra")
-    mine = sorted(map(tuple, spark.read.parquet(newest).select(*columns).collect()))
-    assert mine == sorted(map(tuple, batch.select(*columns).collect()))
+
+
+def test_subscription_stream(spark, tmp_path):
+    users = spark.createDataFrame([(i, f"u{i}@x", "free", START, None, None, None) for i in range(40)], USERS)
+    events = some_events(6, 0, 90, 6)
+    path, folder = work_dir(spark, "test-subs"), str(tmp_path / "s")
+
+    def state_of(frame):
+        return sorted(map(tuple, frame.select(*STATE).collect()))
+
+    def whole(upto):
+        return state_of(accounts.fold_subscriptions(spark.createDataFrame(events[:upto], SUBS), users, "ultra"))
+
+    stream = subscription_files(spark, folder, events[:60], 20)
+    state = subscriptions.run_subscriptions(stream, users, path, "ultra", compact_every=2)
+    assert state_of(state.users()) == whole(60)
+    # Batches 0 and 1 are in the base now; a batch holds no users but those it changed.
+    assert state._through() == 1 and {r["batch"] for r in state.changes().select("batch").distinct().collect()} == {0, 1, 2}
+    assert state.changes().groupBy("batch").count().agg(F.max("count")).first()[0] <= 6
+    # A restart without new events changes nothing, whatever users it is given.
+    other = users.withColumn("tier", F.lit("pro"))
+    again = subscriptions.run_subscriptions(stream, other, path, "ultra", compact_every=2)
+    assert state_of(again.users()) == whole(60) and again._through() == 1
+    # New events go on from there.
+    stream = subscription_files(spark, folder, events[60:], 30)
+    assert state_of(subscriptions.run_subscriptions(stream, other, path, "ultra", compact_every=99).users()) == whole(90)
+    # A batch that runs again replaces its folder; one that the base holds is left out.
+    state.apply(spark.createDataFrame(events[60:], SUBS), 3, "ultra")
+    state.apply(spark.createDataFrame(events[:20], SUBS), 0, "ultra")
+    assert state_of(state.users()) == whole(90)
+    # A compaction changes no row, and one that was cut off before its mark is not read.
+    users.withColumn("applied", F.lit(99).cast("long")).write.parquet(f"{path}/base/through=77")
+    state.compact()
+    assert state._through() == 3 and state_of(state.users()) == whole(90)
+    state.compact()
+    assert state._through() == 3 and state_of(state.users()) == whole(90)
+
+
+def test_subscription_state_before_events(spark):
+    state = subscriptions.SubscriptionState(spark, work_dir(spark, "test-subs"))
+    with pytest.raises(ValueError, match="no subscription state"):
+        state.users()
+    users = spark.createDataFrame([(1, "u1@x", "free", None, None, None, None)], USERS)
+    state.create(users)
+    state.compact()
+    assert [tuple(r) for r in state.users().select("id", "tier", "applied").collect()] == [(1, "free", 0)]
+    state.apply(spark.createDataFrame([], SUBS), 0, "ultra")
+    assert state.changes().count() == 0 and state.users().count() == 1
+    # A customer id learned in one batch matches events of the next.
+    state.apply(spark.createDataFrame([(1, START, "subscription.created", "u1@x", "c1", "s1", "active", "ultra")], SUBS), 1, "ultra")
+    state.apply(spark.createDataFrame([(2, START, "subscription.canceled", "new@x", "c1", "s1", "canceled", "")], SUBS), 2, "ultra")
+    assert [tuple(r) for r in state.users().select("tier", "customer_id", "applied").collect()] == [("free", "c1", 2)]

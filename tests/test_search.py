@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.operators import fusion, search, vector
+from evalspark.operators import embedding_job, fusion, search, vector
 from evalspark.operators.catalog import write_examples
 from evalspark.operators.vector_store import VectorStore
 from evalspark.operators.search import SearchRequest
@@ -368,6 +368,50 @@ def test_embedding_text_and_provider(spark, seed):
     assert np.allclose(out[1], want[0]) and np.allclose(out[2], want[1]) and out[2] == out[3]
 
 
+def counting(missing=0):
+    """A model that allows two texts a call. A class of a function is sent to the workers by value."""
+
+    class Counting(vector.HashingProvider):
+        def embed_batch(self, texts):
+            assert 0 < len(texts) <= 2 and all(isinstance(t, str) for t in texts)
+            return super().embed_batch(texts)[missing:]
+
+    return lambda: Counting(8)
+
+
+def test_embedding_job(spark, seed, tmp_path):
+    examples, datasets = seed[0], seed[1]
+    names = {r["id"]: r["name"] for r in datasets.collect()}
+    store = VectorStore(spark, str(tmp_path / "store"))
+    row = embedding_job.embed_dataset(store, names[1], examples, datasets, counting(), batch_size=2).first()
+    name = embedding_job.collection_of(names[1])
+    mine = {r["id"]: r["question"] for r in examples.where("dataset_id = 1").collect()}
+    assert (row["collection"], row["model"], row["dims"]) == (name, "hashing-8", 8)
+    assert row["embedded"] == row["stored"] == len(mine) == 3 and row["buckets"] == 3
+    assert row["elapsed_seconds"] > 0 and abs(row["examples_per_second"] * row["elapsed_seconds"] - 3) < 1e-6
+    points = {r["example_id"]: r for r in store.points().collect()}
+    assert {i: p["question"] for i, p in points.items()} == mine
+    assert all(p["dataset_name"] == names[1] and p["dataset_id"] == 1 for p in points.values())
+    assert points[1]["subject"] == "geography" and points[5]["subject"] is None
+    assert np.allclose(points[2]["vector"], vector.HashingProvider(8).embed_batch([mine[2]])[0])
+    # The job again, over changed and new examples: points are replaced by id, the others stay.
+    later = examples.where("id in (2, 3)").withColumn("question", F.when(F.col("id") == 2, F.lit("changed")))
+    row = embedding_job.embed_into(store, name, later, datasets, counting(), batch_size=1).first()
+    assert (row["embedded"], row["stored"]) == (2, 4)
+    points = {r["example_id"]: r for r in store.points().collect()}
+    assert points[2]["question"] == "changed" and points[5]["question"] == mine[5]
+    assert list(points[3]["vector"]) == [0.0] * 8 and points[3]["question"] is None
+    row = embedding_job.embed_into(store, "empty", examples.where("id < 0"), datasets, counting()).first()
+    assert (row["embedded"], row["stored"], row["buckets"]) == (0, 0, 0)
+    with pytest.raises(ValueError, match="no dataset"):
+        embedding_job.embed_dataset(store, "unheard of", examples, datasets, counting())
+    with pytest.raises(ValueError, match="holds 8 dims"):
+        embedding_job.embed_into(store, name, examples, datasets, vector.HashingProvider)
+    with pytest.raises(Exception, match="vectors for 1 texts"):
+        embedding_job.embed_into(store, name, examples, datasets, counting(1), batch_size=1)
+    assert store.points().count() == 4
+
+
 def test_audit_of_many_collections(spark):
     rng = np.random.default_rng(9)
     matrix = rng.normal(size=(600, 6))
