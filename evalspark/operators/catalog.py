@@ -38,6 +38,31 @@ def list_examples(
     return page(found, [F.asc("id")], limit, offset), found.agg(F.count("*").alias("total"))
 
 
+def list_examples_after(
+    examples: DataFrame,
+    after_id: int | None = None,
+    dataset_id: int | None = None,
+    subject: str | None = None,
+    limit: int = 20,
+) -> DataFrame:
+    """The page by id that follows ``after_id``, the last id of the page before; no rows are skipped one by one.
+
+    The first step reads ids and filter columns alone and ends with the page's last id. The second reads whole rows
+    between the two ids: over files sorted by id (``write_examples``) these are the row groups that hold the page.
+    """
+    schemas.check_page(limit, 0)
+    found = examples if after_id is None else examples.where(F.col("id") > after_id)
+    if dataset_id is not None:
+        found = found.where(F.col("dataset_id") == dataset_id)
+    if subject is not None:
+        found = found.where(metadata_text(found, "subject") == subject)
+    ids = page(found.select("id"), [F.asc("id")], limit)
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    if high is None:
+        return found.where(F.lit(False))
+    return page(found.where((F.col("id") >= low) & (F.col("id") <= high)), [F.asc("id")], limit)
+
+
 def lookup(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of a table whose ``id`` is wanted; ids of any number, by semi join."""
     return table.join(ids.select("id"), "id", "left_semi")
@@ -132,9 +157,16 @@ def register(known: DataFrame, offered: DataFrame) -> DataFrame:
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
-    """Appends or replaces whole dataset partitions: ingesting a dataset again replaces it."""
+    """Appends or replaces whole dataset partitions: ingesting a dataset again replaces it.
+
+    Rows are dealt by ranges of (dataset, id) and sorted, so that a file holds a range of ids, its row groups tell apart
+    what an id lookup or a page needs, and a dataset of any size is written by many tasks.
+    """
+    key = ["dataset_id", "id"]
     (
-        examples.write.mode("overwrite")
+        examples.repartitionByRange(*key)
+        .sortWithinPartitions(*key)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dataset_id")
         .parquet(path)

@@ -1065,6 +1065,9 @@ SQL["subscription_fold"] = f"""
       coalesce(f.customer_id, u.customer_id) AS customer_id, f.subscription_id,
       f.status AS subscription_status, coalesce(f.applied, 0) AS applied
     FROM v_users u LEFT JOIN f ON f.user_id = u.id"""
+SQL["list_examples_after"] = """
+    SELECT CAST((n - 1) // 15 AS BIGINT) AS page, id, dataset_id, subject, md5(question) AS question
+    FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM v_examples WHERE dataset_id = 3) WHERE n <= 45"""
 SQL["subscription_stream"] = SQL["subscription_fold"]
 SQL["admission_replay"] = f"""
     WITH RECURSIVE calls AS (

@@ -29,6 +29,7 @@ from evalspark.operators import (
 )
 from evalspark.operators.ranking import spread, top_k_per_key
 from evalspark.operators.search import SearchRequest
+from evalspark.operators.tables import written
 from evalspark.operators.vector_store import VectorStore
 from evalspark.plans import search as plans
 from evalspark.sources import splits
@@ -137,6 +138,23 @@ def _(v: Views) -> DataFrame:
     return catalog.list_examples(v.examples(answers=False), dataset_id=3, subject="en")[1]
 
 
+@query("list_examples_after")
+def _(v: Views) -> DataFrame:
+    """Three pages of one dataset's stored examples, each from where the one before it ended."""
+    path = work_dir(v.spark, "sorted-examples")
+    catalog.write_examples(v.examples(answers=False), path)
+    stored = v.spark.read.parquet(path)
+    pages, after = [], None
+    for number in range(3):
+        one = written(catalog.list_examples_after(stored, after, dataset_id=3, limit=15), "page")
+        pages.append(one.withColumn("page", F.lit(number).cast("long")))
+        after = one.agg(F.max("id")).first()[0]
+        if after is None:
+            break
+    rows = reduce(DataFrame.unionByName, pages)
+    return rows.select("page", "id", F.col("dataset_id").cast("long").alias("dataset_id"), "subject", F.md5("question").alias("question"))
+
+
 @query("lookup_by_ids")
 def _(v: Views) -> DataFrame:
     wanted = v.table("labels").where("toxic = 1").select(F.col("doc_id").alias("id"))

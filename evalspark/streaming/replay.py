@@ -249,10 +249,15 @@ def quota_replay(calls: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 # -- stream jobs ---------------------------------------------------------------------------------
 
 
-def _stateful(step: Step) -> Callable:
+def _stateful(step: Step, ends: Callable[[list[int]], int] | None) -> Callable:
+    """``ends``: from when on a state decides like none at all. The watermark drops it then."""
+
     def run(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log, newest = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         late = rows["us"] < newest if newest is not None else pd.Series(False, index=rows.index)
@@ -261,6 +266,9 @@ def _stateful(step: Step) -> Callable:
         admitted, log = step(log, columns, 0, len(in_time)) if len(in_time) else ([], log)
         newest = int(in_time["us"].max()) if len(in_time) else newest
         state.update((log, newest))
+        if ends is not None:
+            over = max(newest, ends(log)) // 1000 + 1
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         yield pd.concat(
             [
                 in_time[["event_id"]].assign(admitted=admitted, late=False),
@@ -271,38 +279,51 @@ def _stateful(step: Step) -> Callable:
     return run
 
 
-def _decide(rows: DataFrame, step: Step) -> DataFrame:
-    return rows.groupBy("user_id").applyInPandasWithState(
-        _stateful(step),
+def _decide(
+    calls: DataFrame, columns: list[Column], step: Step, ends: Callable[[list[int]], int], delay: str | None
+) -> DataFrame:
+    """Without ``delay`` states are kept for good. With it they end by the watermark, and Spark leaves out the calls behind
+    that and counts them in the progress (``numRowsDroppedByWatermark``), as their states may be gone."""
+    timed, timeout = delay is not None, GroupStateTimeout.NoTimeout
+    if timed:
+        calls = calls.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
+        columns, timeout = [*columns, F.col("created_at")], GroupStateTimeout.EventTimeTimeout
+    return calls.select(*columns).groupBy("user_id").applyInPandasWithState(
+        _stateful(step, ends if timed else None),
         "user_id long, event_id long, admitted boolean, late boolean",
         "log array<long>, newest long",
         "append",
-        GroupStateTimeout.NoTimeout,
+        timeout,
     )
 
 
 def admission_stream(
-    events: DataFrame, allowed: Column, window_seconds: int = WINDOW_SECONDS
+    events: DataFrame, allowed: Column, window_seconds: int = WINDOW_SECONDS, delay: str | None = None
 ) -> DataFrame:
-    """Streaming twin of the admission replay; calls older than the user's newest are late."""
-    rows = events.select(
-        "user_id",
-        "event_id",
+    """Streaming twin of the admission replay; calls older than the user's newest are late.
+
+    With ``delay`` a user's state ends once the watermark, that much behind the newest call of all, has passed the window of the
+    user's last accepted call.
+    """
+    window_us = window_seconds * MICROS
+    columns = [
+        F.col("user_id"),
+        F.col("event_id"),
         micros(F.col("created_at")).alias("us"),
         allowed.cast("long").alias("allowed"),
         F.lit(False).alias("seed"),
-    )
-    return _decide(rows, admission_step(window_seconds * MICROS))
+    ]
+    return _decide(events, columns, admission_step(window_us), lambda log: log[-1] + window_us if log else 0, delay)
 
 
-def quota_stream(calls: DataFrame) -> DataFrame:
-    """Streaming twin of the quota replay."""
-    rows = calls.select(
-        "user_id",
-        "event_id",
+def quota_stream(calls: DataFrame, delay: str | None = None) -> DataFrame:
+    """Streaming twin of the quota replay. With ``delay`` a user's state ends once the watermark has passed its reset time."""
+    columns = [
+        F.col("user_id"),
+        F.col("event_id"),
         micros(F.col("created_at")).alias("us"),
         F.col("allowed").cast("long").alias("allowed"),
         F.col("kind").cast("long").alias("kind"),
         micros(F.col("reset_at")).alias("first_reset"),
-    )
-    return _decide(rows, quota_step(DAY_SECONDS * MICROS))
+    ]
+    return _decide(calls, columns, quota_step(DAY_SECONDS * MICROS), lambda state: state[0], delay)

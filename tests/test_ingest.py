@@ -138,3 +138,44 @@ def test_dimension_hint_follows_the_row_count(spark, monkeypatch):
         assert not hinted(joins.dimension(small))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pages_by_key_read_their_row_groups(spark, tmp_path):
+    """Deep pages over sorted files: the whole rows come from the few row groups that hold the page."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    ids = F.col("id")
+    # One dataset holds two thirds of all rows.
+    table = spark.range(20_000).repartition(7).select(
+        (ids * 3).alias("id"), F.when(ids % 3 == 0, ids % 5).otherwise(9).alias("dataset_id"), F.repeat(F.md5(ids.cast("string")), 20).alias("question"),
+        F.when(ids % 2 == 0, "even").alias("subject"),
+    )
+    path = str(tmp_path / "examples")
+    spark.conf.set("parquet.block.size", 256 << 10)
+    try:
+        catalog.write_examples(table, path)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    stored = spark.read.parquet(path)
+    assert stored.count() == 20_000
+    mine = sorted(r["id"] for r in table.where("dataset_id = 9").collect())
+    after = mine[10_000]
+    rows = catalog.list_examples_after(stored, after, dataset_id=9, limit=20)
+    got = [r["id"] for r in rows.collect()]
+    assert got == mine[10_001:10_021]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id," in plan and "LessThanOrEqual(id," in plan and "dataset_id" in plan.split("PartitionFilters")[1]
+    bounds = []
+    for file in glob.glob(path + "/dataset_id=9/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index("id")
+        bounds += [(g.min, g.max) for g in (meta.row_group(i).column(at).statistics for i in range(meta.num_row_groups))]
+    assert len(bounds) > 8 and sum(low <= got[-1] and high >= got[0] for low, high in bounds) <= 2
+
+    pages, after = [], None
+    while rows := catalog.list_examples_after(stored.where("id < 900"), after, subject="even", limit=37).collect():
+        pages += [r["id"] for r in rows]
+        after = pages[-1]
+    assert pages == list(range(0, 900, 6))

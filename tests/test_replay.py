@@ -132,6 +132,70 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert {(r["window_start"].date(), r["event_type"]): r["n"] for r in got} == want
 
 
+def streamed(spark, folder, decide):
+    """Runs a stream over all files of a folder, one a batch: its rows, how many states each batch left, and calls left out."""
+    out = work_dir(spark, "test-stream")
+    source = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = decide(source).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [s for p in query.recentProgress for s in p["stateOperators"]]
+    rows = {r["event_id"]: (r["admitted"], r["late"]) for r in spark.read.parquet(f"{out}/rows").collect()}
+    return rows, [s["numRowsTotal"] for s in states], sum(s["numRowsDroppedByWatermark"] for s in states)
+
+
+def test_stream_state_ends(spark, tmp_path):
+    """One burst of a user's own per step of time: a state is dropped after its window, and results stay those of the replay."""
+    folder, calls = str(tmp_path / "c"), []
+    for step in range(6):
+        part = [(step * 10 + u, step * 100 + u * 4 + i, START + dt.timedelta(hours=step, seconds=i)) for u in range(8) for i in range(4)]
+        # One user calls in every burst and is never forgotten wrongly.
+        part += [(999, step * 100 + 90 + i, START + dt.timedelta(hours=step, seconds=i * 10)) for i in range(3)]
+        calls += part
+        spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(folder)
+    got, left, dropped = streamed(spark, folder, lambda c: replay.admission_stream(c, F.lit(2), window_seconds=60, delay="10 minutes"))
+    want = {event: (admitted, False) for event, admitted in plain_admission(calls, 2, 60).items()}
+    assert got == want and dropped == 0
+    assert max(left) <= 3 * 9 and left[-1] <= 2 * 9
+    # Without a watermark every user's state stays.
+    got, left, _ = streamed(spark, folder, lambda c: replay.admission_stream(c, F.lit(2), window_seconds=60))
+    assert got == want and left[-1] == 6 * 8 + 1
+
+    quotas = lambda c: replay.quota_stream(
+        c.select("*", F.lit(1).alias("kind"), F.lit(2).alias("allowed"), F.lit(START).alias("reset_at")), delay="10 minutes"
+    )
+    days = str(tmp_path / "d")
+    spread = [(u, e, START + (ts - START) * 30) for u, e, ts in calls]
+    for step in range(6):
+        part = [c for c in spread if c[1] // 100 == step]
+        spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(days)
+    got, left, dropped = streamed(spark, days, quotas)
+    counted, reset = {}, {}
+    for user, event, ts in sorted(spread, key=lambda c: (c[2], c[1])):
+        if reset.get(user, START) <= ts:
+            reset[user], counted[user] = ts + dt.timedelta(days=1), 0
+        assert got[event] == (counted[user] < 2, False)
+        counted[user] += counted[user] < 2
+    assert dropped == 0 and max(left) <= 3 * 9 and left[-1] <= 2 * 9
+
+
+def test_stream_tells_late_calls(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    hour = dt.timedelta(hours=1)
+    for part in (
+        [(1, 1, START), (2, 2, START + 10 * hour)],
+        [(2, 3, START + 11 * hour)],
+        # Users 1 and 3 have no call after the watermark so far; user 2 has called later already; the last one is in time.
+        [(1, 4, START + hour), (3, 5, START + 2 * hour), (2, 6, START + 9 * hour), (1, 7, START + 12 * hour)],
+    ):
+        spark.createDataFrame(part, CALLS).coalesce(1).write.mode("append").parquet(folder)
+    first = {1: (True, False), 2: (True, False), 3: (True, False)}
+    got, _, dropped = streamed(spark, folder, lambda c: replay.admission_stream(c, F.lit(5), window_seconds=60, delay="30 minutes"))
+    assert got == {**first, 7: (True, False)} and dropped == 3
+    got, _, dropped = streamed(spark, folder, lambda c: replay.admission_stream(c, F.lit(5), window_seconds=60))
+    assert got == {**first, 4: (True, False), 5: (True, False), 6: (False, True), 7: (True, False)} and dropped == 0
+
+
 STATE = ["id", "tier", "trial_ends_at", "customer_id", "subscription_id", "subscription_status", "applied"]
 
 
