@@ -6,12 +6,16 @@
 2. Each task builds a graph of its vectors: candidate neighbours, thinned by the robust rule (a neighbour goes if a kept one is
    nearer to it by the factor ``ALPHA``). The adjacency lists of a vector from all its tasks are united.
 3. Each task searches the united graph for all of its vectors at once: greedily from the medoid, then expanding from
-   every node inside the range (plus a margin) until nothing new is in range.
+   every node inside the range (plus a margin) until nothing new is in range. Edges that lead to a vector which shares no shard
+   with the query are handed on: rounds of joins compare these pairs and expand from those in range (plus the margin) along
+   the united lists, until a round finds nothing new.
 4. Links are the pairs whose cosine, in double precision, reaches the bound. Components follow from the links.
 
-``recall`` audits a sample of vectors against all others. Defined cases: vectors that are null, empty, zero or hold null or
-non-finite components link with nothing. Vectors of different lengths never link. Equal rows count as
-vectors of their own; rows that repeat a vec_id with other vectors share its links. Null vec_ids take part under -2^63 and come back as null.
+``audit`` looks up the true partners of a sample of classes among all others in the links, ``recall`` compares counts of links.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of different
+lengths never link. Equal rows count as vectors of their own; rows that repeat a vec_id with other vectors share its links. Null
+vec_ids take part under -2^63 and come back as null. Components of any size count, single ones stay as they are, all others are
+doubles. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ NO_ID = -(1 << 63)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    # A power of two takes out the size first, so that squares of very large or small components stay finite.
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -74,14 +80,14 @@ def centroids(classes: DataFrame, block: int) -> np.ndarray:
 
 
 def assign(middle: np.ndarray, overlap: int):
-    """One row per class and shard; other lengths than the centroids' get a shard of their own."""
+    """One row per class and shard, with all its shards as ``home``; other lengths than the centroids' get a shard of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 length = np.array(pc.list_value_length(batch.column("embedding")))
-                source, shard = [], []
+                source, shard, home = [], [], []
                 fit = np.flatnonzero(length == middle.shape[1]) if middle.size else np.zeros(0, int)
                 if len(fit):
                     near = unit(matrix(batch.column("embedding").take(pa.array(fit)))) @ middle.T
@@ -89,11 +95,14 @@ def assign(middle: np.ndarray, overlap: int):
                     top = np.argpartition(-near, count - 1, axis=1)[:, :count]
                     source.append(np.repeat(fit, count))
                     shard.append(top.reshape(-1))
+                    home += np.repeat(top, count, axis=0).tolist()
                 other = np.setdiff1d(np.arange(len(length)), fit)
                 source.append(other)
                 shard.append(-length[other].astype(np.int64))
+                home += [[x] for x in shard[-1].tolist()]
                 take = pa.array(np.concatenate(source))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard).astype(np.int64)), batch.column("id").take(take), batch.column("embedding").take(take)], names=["shard", "id", "embedding"])
+                columns = [pa.array(np.concatenate(shard).astype(np.int64)), pa.array(home, pa.list_(pa.int64())), batch.column("id").take(take), batch.column("embedding").take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "home", "id", "embedding"])
 
     return run
 
@@ -126,7 +135,7 @@ def robust_lists(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_search(v: np.ndarray, heads: np.ndarray, tails: np.ndarray, cosine: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) in range, for all nodes as queries, over the graph's edges."""
+    """Pairs (query, node) in range plus margin, and which of them are in range, for all nodes as queries, over the graph's edges."""
     n = len(v)
     order = np.argsort(heads, kind="stable")
     tails, start = tails[order], np.searchsorted(heads[order], np.arange(n + 1))
@@ -153,7 +162,8 @@ def range_search(v: np.ndarray, heads: np.ndarray, tails: np.ndarray, cosine: fl
     seen = np.zeros(n * n, bool)
     frontier = np.unique(np.concatenate([np.arange(n) * n + now, np.arange(n) * (n + 1)]))
     seen[frontier] = True
-    found = [frontier[cosines(v, frontier // n, frontier % n) >= cosine]]
+    value = cosines(v, frontier // n, frontier % n)
+    found, close = [frontier[value >= cosine - margin]], [value[value >= cosine - margin]]
     while len(frontier):
         pieces = []
         for at in range(0, len(frontier), 1 << 15):
@@ -162,18 +172,51 @@ def range_search(v: np.ndarray, heads: np.ndarray, tails: np.ndarray, cosine: fl
             flat = np.unique(flat[~seen[flat]])
             seen[flat] = True
             near = cosines(v, flat // n, flat % n)
-            found.append(flat[near >= cosine])
             pieces.append(flat[near >= cosine - margin])
+            close.append(near[near >= cosine - margin])
         frontier = np.concatenate(pieces)
-    flat = np.concatenate(found)
+        found.append(frontier)
+    flat, close = np.concatenate(found), np.concatenate(close)
     query, node = flat // n, flat % n
-    return query[query != node], node[query != node]
+    other = query != node
+    return query[other], node[other], close[other] >= cosine
+
+
+def leaving(query: np.ndarray, node: np.ndarray, heads: np.ndarray, others: np.ndarray, homes: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, id): ids in the lists of the nodes a query came to that share no shard with the query.
+
+    ``others`` are the ids of all lists and ``homes`` their shards, sorted by ``heads``; ``home`` are the shards of the nodes.
+    """
+    start = np.searchsorted(heads, np.arange(len(home) + 1))
+    kinds, kind = np.unique(home, axis=0, return_inverse=True)
+    order = np.argsort(kind[query], kind="stable")
+    query, node = query[order], node[order]
+    bounds = np.searchsorted(kind[query], np.arange(len(kinds) + 1))
+    from_, to = [], []
+    for i in range(len(kinds)):
+        q, b = query[bounds[i] : bounds[i + 1]], node[bounds[i] : bounds[i + 1]]
+        apart = np.flatnonzero(~np.isin(homes, kinds[i]).any(axis=1))
+        if not len(q) or not len(apart):
+            continue
+        low, high = np.searchsorted(apart, start[b]), np.searchsorted(apart, start[b + 1])
+        some = high > low
+        q, low, size = q[some], low[some], (high - low)[some]
+        # A million expanded entries at a time; copies of a pair go at once.
+        cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), 1 << 20)) if len(size) else np.zeros(0, int)
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q)]):
+            count = size[a:z]
+            place = apart[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[a:z], count)]
+            pairs = np.unique(np.stack([np.repeat(q[a:z], count), others[place]], axis=1), axis=0)
+            from_.append(pairs[:, 0])
+            to.append(pairs[:, 1])
+    return (np.concatenate(from_), np.concatenate(to)) if from_ else (np.zeros(0, int), np.zeros(0, int))
 
 
 def build(table: pa.Table) -> pa.Table:
     ids = table.column("id").to_numpy()
     heads, tails = robust_lists(unit(matrix(table.column("embedding"))))
-    return pa.table({"id": ids[np.r_[heads, tails]], "other": ids[np.r_[tails, heads]]})
+    others = np.r_[tails, heads]
+    return pa.table({"id": ids[np.r_[heads, tails]], "other": ids[others], "home": table.column("home").combine_chunks().take(pa.array(others))})
 
 
 def search(cosine: float, margin: float):
@@ -182,31 +225,69 @@ def search(cosine: float, margin: float):
         ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
         lists = table.column("others").combine_chunks()
         heads = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-        wanted = lists.flatten().to_numpy()
+        wanted, homes = lists.flatten().flatten()
+        wanted = wanted.to_numpy()
         tails = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
         here = ids[tails] == wanted
-        query, node = range_search(unit(matrix(table.column("embedding"))), heads[here], tails[here], cosine, margin)
+        query, node, link = range_search(unit(matrix(table.column("embedding"))), heads[here], tails[here], cosine, margin)
+        home = matrix(table.column("home")).astype(np.int64)
+        homes = matrix(homes).astype(np.int64) if len(wanted) else np.zeros((0, 1), np.int64)
+        outside = leaving(query, node, heads[~here], wanted[~here], homes[~here], home)
+        query, node = query[link], node[link]
         # Blocks of one shard meet pairwise; pairs inside a block belong to the block's meeting with itself.
         same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
         good = same | (block[query] != block[node])
-        a, b = ids[query[good]], ids[node[good]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        a, b = np.r_[ids[query[good]], ids[outside[0]]], np.r_[ids[node[good]], outside[1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "link": np.arange(len(a)) < good.sum()})
 
     return run
 
 
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the cosine to rows (a, b, x, y) of two vectors."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            near = np.einsum("ij,ij->i", unit(matrix(batch.column("x"))), unit(matrix(batch.column("y"))))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], names=["a", "b", "near"])
+
+
+def walk(found: DataFrame, tries: DataFrame, classes: DataFrame, lists: DataFrame, homes: DataFrame, cosine: float, margin: float) -> DataFrame:
+    """``found`` and the pairs in range that rounds of joins reach from the pairs ``tries``, which share no shard."""
+    seen = tries
+    x, y = classes.select(F.col("id").alias("a"), F.col("embedding").alias("x")), classes.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
+    own = homes.select(F.col("id").alias("q"), F.col("home").alias("from"))
+    while not tries.isEmpty():
+        # Lists join vectors of one length only, because shards do.
+        near = stored(tries.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, near double"), "walked")
+        found = found.union(near.where(F.col("near") >= cosine).select("a", "b"))
+        near = near.where(F.col("near") >= cosine - margin)
+        ends = near.select(F.col("a").alias("q"), F.col("b").alias("id")).union(near.select(F.col("b").alias("q"), F.col("a").alias("id")))
+        steps = ends.join(lists, "id").select("q", F.explode("others").alias("to")).join(own, "q")
+        steps = steps.where((F.col("q") != F.col("to.other")) & ~F.arrays_overlap("from", "to.home"))
+        steps = steps.select(F.least("q", "to.other").alias("a"), F.greatest("q", "to.other").alias("b")).distinct()
+        tries = stored(steps.join(seen, ["a", "b"], "left_anti"), "walk")
+        seen = seen.union(tries)
+    return found
+
+
 def links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK, overlap: int = OVERLAP, margin: float = MARGIN) -> DataFrame:
     """Pairs (a < b) of classes (id, embedding) in range."""
-    shards = stored(classes.mapInArrow(assign(centroids(classes, block), overlap), "shard long, id long, embedding array<float>"), "shards")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    placed = classes.mapInArrow(assign(centroids(classes, block), overlap), f"shard long, home array<long>, id long, embedding {kind}")
+    shards = stored(placed, "shards")
     # At most MAX_CENTROIDS rows and one for each other length.
     blocks = shards.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = shards.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meeting = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = stored(meeting.select("shard", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "embedding"), "tasks")
-    edges = tasks.groupBy("shard", "lo", "hi").applyInArrow(build, "id long, other long")
-    lists = stored(edges.groupBy("id").agg(F.collect_set("other").alias("others")), "lists")
-    found = tasks.join(lists, "id", "left").groupBy("shard", "lo", "hi").applyInArrow(search(cosine, margin), "a long, b long")
-    return stored(found.distinct(), "links")
+    tasks = stored(meeting.select("shard", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "home", "id", "embedding"), "tasks")
+    edges = tasks.groupBy("shard", "lo", "hi").applyInArrow(build, "id long, other long, home array<long>")
+    lists = stored(edges.groupBy("id").agg(F.collect_set(F.struct("other", "home")).alias("others")), "lists")
+    found = tasks.join(lists, "id", "left").groupBy("shard", "lo", "hi").applyInArrow(search(cosine, margin), "a long, b long, link boolean")
+    found = stored(found.distinct(), "found")
+    homes = shards.select("id", "home").dropDuplicates(["id"])
+    reached = walk(found.where("link").select("a", "b"), found.where("not link").select("a", "b"), classes, lists, homes, cosine, margin)
+    return stored(reached, "links")
 
 
 def usable(embedding: Column) -> Column:
@@ -214,11 +295,17 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(F.forall(embedding, finite) & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def classed(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (id, embedding), the usable ones, and their classes (embedding, rep, size)."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("embedding").cast(kind).alias("embedding"))
+    good = rows.where(usable(F.col("embedding")))
+    return rows, good, stored(good.groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
+
+
 def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    good = rows.where(usable(F.col("embedding")))
-    groups = stored(good.groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
+    rows, good, groups = classed(vectors)
     groups = groups.withColumn("id", F.col("rep"))
     found = links(groups.select("id", "embedding"), **options)
     size = groups.select("id", "size")
@@ -232,18 +319,37 @@ def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
     return joined.select(F.nullif("id", F.lit(NO_ID)).alias("vec_id"), "n_links", F.nullif("component", F.lit(NO_ID)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def recall(vectors: DataFrame, result: DataFrame, queries: int = 64, cosine: float = COSINE) -> float:
-    """Share of the true links of ``queries`` hashed-picked vectors that ``result`` counts."""
-    rows = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), "embedding")
+def partners(rows: DataFrame, queries: int, cosine: float) -> DataFrame:
+    """All pairs (q, id) in range of ``queries`` hashed-picked rows (id, embedding), by comparing each with every row."""
     asked = rows.orderBy(F.xxhash64("id"), "id").limit(queries).toArrow()
-    q, ids = unit(matrix(asked.column("embedding"))), asked.column("id").to_numpy()
+    ids, length = asked.column("id").to_numpy(), np.array(pc.list_value_length(asked.column("embedding")))
+    by_length = {int(n): (ids[length == n], unit(matrix(asked.column("embedding").filter(pa.array(length == n))))) for n in set(length.tolist())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = np.argwhere(unit(matrix(batch.column("embedding"))) @ q.T >= cosine)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit[:, 1]]), batch.column("id").take(pa.array(hit[:, 0]))], names=["q", "id"])
+            size = np.array(pc.list_value_length(batch.column("embedding")))
+            for n, (names, q) in by_length.items():
+                some = batch.filter(pa.array(size == n))
+                hit = np.argwhere(unit(matrix(some.column("embedding"))) @ q.T >= cosine) if some.num_rows else np.zeros((0, 2), int)
+                yield pa.RecordBatch.from_arrays([pa.array(names[hit[:, 1]]), some.column("id").take(pa.array(hit[:, 0]))], names=["q", "id"])
+
+    return rows.mapInArrow(run, "q long, id long").where("q <> id")
+
+
+def audit(vectors: DataFrame, queries: int = 64, cosine: float = COSINE, **options) -> float:
+    """Share of the true partners of ``queries`` hashed-picked classes of equal vectors that the links name."""
+    classes = classed(vectors)[2].select(F.col("rep").alias("id"), "embedding")
+    found = links(classes, cosine, **options)
+    both = found.select(F.col("a").alias("q"), F.col("b").alias("id")).union(found.select(F.col("b").alias("q"), F.col("a").alias("id")))
+    true = partners(classes, queries, cosine)
+    row = true.join(both.withColumn("hit", F.lit(1)), ["q", "id"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
+    return row["hit"] / row["n"] if row["n"] else 1.0
+
 
-    true = rows.mapInArrow(run, "q long, id long").where("q <> id").groupBy("q").agg(F.count("*").alias("n"))
+def recall(vectors: DataFrame, result: DataFrame, queries: int = 64, cosine: float = COSINE) -> float:
+    """Share of the true links of ``queries`` hashed-picked vectors that ``result`` counts."""
+    rows = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), "embedding")
+    true = partners(rows, queries, cosine).groupBy("q").agg(F.count("*").alias("n"))
     row = true.join(result, F.col("q") == F.col("vec_id")).agg(F.sum("n").alias("n"), F.sum(F.least("n", "n_links")).alias("hit")).first()
     return row["hit"] / row["n"] if row["n"] else 1.0
 
