@@ -10,7 +10,8 @@ The fit reads a bounded sample: the ``LABELS`` labelled training rows with the s
 streams all documents once; nothing is shuffled.
 
 Defined cases: null text counts as empty and is scored by its (zero) features. Labels that are null or neither 0 nor 1
-are ignored; of repeated labels the smallest counts. Without labels of both kinds all weights are 0 and
+are ignored; of repeated labels the smallest counts, of documents that repeat a doc_id the one with the smallest features. Empty
+tables give empty results, and other columns than doc_id and text are not looked at. Without labels of both kinds all weights are 0 and
 every score is 0.5 (predicted 1). A null doc_id is never held out.
 """
 
@@ -116,7 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELS) -> dict[str, n
     sample = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    found = joined.mapInArrow(feature_rows, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id").slice(0, 2 * rows)
+    found = joined.mapInArrow(feature_rows, "doc_id long, quality int, x array<double>")
+    # One row for each doc_id, so that a repeated one brings no more than its share to the driver.
+    found = found.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("low")).select("doc_id", "low.*").toArrow().sort_by("doc_id")
     x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, len(FEATURES))
     return fit(x, found.column("quality").to_numpy())
 
