@@ -19,7 +19,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-# No SQL: the stages learn weights, sketch and tokenize. Their operators are tested against brute force one by one.
+# No SQL: the stages learn weights, sketch and tokenize. The tests hold each of them against plain Python, see test_plain_versions.py.
 ORACLE_SQL = None
 
 
