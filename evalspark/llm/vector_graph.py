@@ -182,34 +182,44 @@ def range_search(v: np.ndarray, heads: np.ndarray, tails: np.ndarray, cosine: fl
     return query[other], node[other], close[other] >= cosine
 
 
+def runs(size: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Bounds of runs whose sizes sum up to about ``limit`` at most."""
+    cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), limit))).tolist() if len(size) else []
+    return list(zip(cuts, [*cuts[1:], len(size)]))
+
+
+def spread(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each of the ranges, one behind the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+
+
 def leaving(query: np.ndarray, node: np.ndarray, heads: np.ndarray, others: np.ndarray, homes: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, id): ids in the lists of the nodes a query came to that share no shard with the query.
 
     ``others`` are the ids of all lists and ``homes`` their shards, sorted by ``heads``; ``home`` are the shards of the nodes.
+    Queries with the same shards ask a list once, so that a crowd costs no more than its members.
     """
-    start = np.searchsorted(heads, np.arange(len(home) + 1))
+    n, none = len(home), np.zeros(0, np.int64)
+    start = np.searchsorted(heads, np.arange(n + 1))
+    names, name = np.unique(others, return_inverse=True)
     kinds, kind = np.unique(home, axis=0, return_inverse=True)
-    order = np.argsort(kind[query], kind="stable")
-    query, node = query[order], node[order]
-    bounds = np.searchsorted(kind[query], np.arange(len(kinds) + 1))
-    from_, to = [], []
-    for i in range(len(kinds)):
-        q, b = query[bounds[i] : bounds[i + 1]], node[bounds[i] : bounds[i + 1]]
-        apart = np.flatnonzero(~np.isin(homes, kinds[i]).any(axis=1))
-        if not len(q) or not len(apart):
-            continue
-        low, high = np.searchsorted(apart, start[b]), np.searchsorted(apart, start[b + 1])
-        some = high > low
-        q, low, size = q[some], low[some], (high - low)[some]
-        # A million expanded entries at a time; copies of a pair go at once.
-        cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), 1 << 20)) if len(size) else np.zeros(0, int)
-        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q)]):
-            count = size[a:z]
-            place = apart[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[a:z], count)]
-            pairs = np.unique(np.stack([np.repeat(q[a:z], count), others[place]], axis=1), axis=0)
-            from_.append(pairs[:, 0])
-            to.append(pairs[:, 1])
-    return (np.concatenate(from_), np.concatenate(to)) if from_ else (np.zeros(0, int), np.zeros(0, int))
+    asked, ask = np.unique(kind[query] * n + node, return_inverse=True)
+    order = np.argsort(ask, kind="stable")
+    query, ask = query[order], ask[order]
+    low = start[asked % n]
+    size = start[asked % n + 1] - low
+    found = [none]
+    for a, z in runs(size, 1 << 18):
+        place, by = spread(low[a:z], size[a:z]), np.repeat(np.arange(a, z), size[a:z])
+        apart = ~(homes[place][:, :, None] == kinds[asked[by] // n][:, None, :]).any(axis=(1, 2))
+        place, by = place[apart], by[apart]
+        mine = slice(np.searchsorted(ask, a), np.searchsorted(ask, z))
+        first, last = np.searchsorted(by, ask[mine]), np.searchsorted(by, ask[mine], "right")
+        for i, j in runs(last - first, 1 << 20):
+            count = (last - first)[i:j]
+            found.append(np.unique(np.repeat(query[mine][i:j], count) * len(names) + name[place[spread(first[i:j], count)]]))
+    flat = np.unique(np.concatenate(found))
+    return (flat // len(names), names[flat % len(names)]) if len(flat) else (none, none)
 
 
 def build(table: pa.Table) -> pa.Table:
