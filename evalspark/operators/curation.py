@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINK = ["collection_id", "example_id"]
+# Pairs that one task groups, sorts and joins; so its memory stays the same as the tables grow.
+PAIRS_PER_TASK = 500_000
 
 
 def list_collections(
@@ -37,10 +39,25 @@ def datasets_in(links: DataFrame, examples: DataFrame, dataset: str) -> DataFram
     return links.join(members, "example_id").select("collection_id", dataset).distinct()
 
 
+def dealt_pairs(
+    requests: DataFrame, pairs: DataFrame, pairs_per_task: int = PAIRS_PER_TASK
+) -> tuple[DataFrame, DataFrame]:
+    """Requests and the distinct links of ``pairs``, both dealt by pair to as many tasks as their rows need.
+
+    The tasks are counted, not left to the session's partitions: their number there does not follow the
+    input, and merged partitions hold far more pairs than their compressed bytes tell.
+    """
+    requests, pairs = requests.select(*LINK), pairs.select(*LINK)
+    tasks = -(-requests.unionByName(pairs).count() // pairs_per_task)
+    tasks = max(tasks, requests.sparkSession.sparkContext.defaultParallelism)
+    return requests.repartition(tasks, *LINK), pairs.repartition(tasks, *LINK).distinct()
+
+
 def classify_adds(requests: DataFrame, links: DataFrame, examples: DataFrame) -> DataFrame:
     """One row per distinct request with its outcome and how often it was repeated.
 
-    A request asks for (collection_id, example_id). Outcomes: added, present, not_found.
+    A request asks for (collection_id, example_id). Outcomes: added, present, not_found. What
+    :func:`dealt_pairs` has dealt is joined where it lies.
     """
     asked = requests.groupBy(*LINK).agg(F.count("*").alias("times"))
     present = links.select(*LINK).withColumn("_present", F.lit(True))

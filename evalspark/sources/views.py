@@ -294,6 +294,12 @@ class Views:
             )
         )
 
+    def link_rows(self) -> DataFrame:
+        """The pairs of ``collection_examples``, some more than once."""
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("collection_id"), F.col("l_partkey").alias("example_id")
+        )
+
     def pick_log(self) -> DataFrame:
         return self.table("lineitem").select(
             F.lit("pick").alias("event_type"),

@@ -1,8 +1,10 @@
 """Collections, the interaction log and accounts."""
 
 import datetime as dt
+import functools
 import pathlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evalspark import schemas
 from evalspark.operators import accounts, changes, curation, event_log, mining
+from evalspark.plans.queries import QUERIES
 
 LINKS = "collection_id long, example_id long"
 
@@ -30,6 +33,43 @@ def test_add_outcomes(rows):
     assert [(e["event_type"], e["example_id"], e["dataset_id"]) for e in event] == [("pick", 11, 6)]
 
 
+def test_add_examples_tasks_follow_the_rows(spark, rows, tmp_path, monkeypatch):
+    dealt = functools.partial(curation.dealt_pairs, pairs_per_task=20)
+    monkeypatch.setattr(curation, "dealt_pairs", dealt)
+    known, brand = range(0, 8), lambda p: f"Brand#{p + 10}"
+    lines = [(o, o * 3 % 11, n) for o in range(60) for n in (1, 1, 2)] + [(None, 3, 1), (4, None, 1), (5, 6, 2)]
+    orders = [(o, o * 7 % 2503) for o in range(65)] + [(None, 3), (6, None), (7, 49)]
+    rows("l_orderkey long, l_partkey long, l_linenumber int", *lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows("o_orderkey long, o_custkey long", *orders).write.parquet(f"{tmp_path}/orders.parquet")
+    parts = [(p, "n", brand(p), "t") for p in known]
+    rows("p_partkey long, p_name string, p_brand string, p_type string", *parts).write.parquet(f"{tmp_path}/part.parquet")
+
+    asked = [(o, p) for o, p, n in lines if n == 1]
+    for o, c in orders:
+        wanted = None if c is None else c % 2500
+        asked += [(o, wanted), (o, wanted), (o, None if c is None else -1 - c)]
+    present = {(o, p) for o, p, _ in lines if o is not None and p is not None}
+    sums, events = {}, []
+    for (o, p), times in Counter(asked).items():
+        sums.setdefault(o, [0, 0, 0])
+        if (o, p) in present:
+            sums[o][1] += times
+        elif p in known:
+            sums[o][0] += 1
+            sums[o][1] += times - 1
+            events.append((o, p, p + 10))
+        else:
+            sums[o][2] += times
+    done = QUERIES["add_examples"](spark, str(tmp_path))
+    assert {r[0]: list(r[1:]) for r in done.collect()} == sums
+    picks = QUERIES["pick_events"](spark, str(tmp_path)).collect()
+    assert Counter(r[1:] for r in picks) == Counter(events)
+    # Both sides are dealt by pair, once, to as many tasks as their rows need, whatever the session's partitions.
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    tasks = re.findall(r"hashpartitioning\(collection_id#\d+L?, example_id#\d+L?, (\d+)\)", plan)
+    assert tasks == [str(-(-(len(asked) + len(lines)) // 20))] * 2
+
+
 def test_remove_undoes_add(rows):
     links = rows(LINKS, (1, 10), (2, 10))
     extra = rows(LINKS, (1, 11), (2, 12))
